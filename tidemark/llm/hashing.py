@@ -20,9 +20,8 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """M^0..M^(n-1) and the same for the inverse of M."""
     if len(_powers[0]) < n:
-        n = max(n, 1 << 20)
         for k, base in enumerate((_M, pow(_M, -1, 2**64))):
-            p = np.full(n, base, np.uint64)
+            p = np.full(max(n, 1 << 20), base, np.uint64)
             p[0] = 1
             _powers[k] = np.cumprod(p, dtype=np.uint64)
     return _powers[0][:n], _powers[1][:n]

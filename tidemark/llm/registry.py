@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import jaccard_join, mixing, pii, quality_rules, sentencepieces
+from tidemark.llm import embedding_dedup, jaccard_join, mixing, pii, quality_rules, repeats, sentencepieces
 from tidemark.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(spark, read(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.deduplicated(spark, read(spark, sf_dir, "embeddings"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(spark, read(spark, sf_dir, "documents")).drop("found")
 
@@ -26,6 +30,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(spark, read(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(spark, read(spark, sf_dir, "documents")).drop("removed")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(spark, read(spark, sf_dir, "documents"))
 
@@ -36,9 +44,32 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_pii, op4_quality_rules, op5_mixing, op7_sentencepiece, op10_jaccard_join, pipeline)}
-
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_embedding_dedup, op3_pii, op4_quality_rules, op5_mixing, op7_sentencepiece, op9_repeats, op10_jaccard_join, pipeline)}
+
+#: Both twins hold small tables whole: all pairs within a label, all pairs that share a shingle.
+SQL: dict[str, str] = {
+    "op2_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+comp AS (SELECT a AS vec_id, MIN(b) AS component_id FROM reach GROUP BY a),
+deg AS (SELECT a AS vec_id, COUNT(*) AS n FROM links GROUP BY a)
+SELECT c.vec_id, CAST(COALESCE(d.n, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM comp c LEFT JOIN deg d ON c.vec_id = d.vec_id""",
+    "op10_jaccard_join": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, UNNEST(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s FROM words)),
+sizes AS (SELECT doc_id, COUNT(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, CAST(COALESCE(s.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN (SELECT a, MIN(b) AS component_id FROM reach GROUP BY a) c ON d.doc_id = c.a""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
