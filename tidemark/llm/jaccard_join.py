@@ -7,11 +7,11 @@ Prefix filter under one global token order, with relations between sets used to
   last), then by hash. Any fixed order gives right results; this one keeps frequent passages out of prefixes.
 * A token's index list is sorted by set size. Its first (smallest) set is the pivot. Round 1 links the other sets of
   the list to the pivot only, so that a list of n near copies makes n pairs, not n * n.
-* A set that is similar to its pivot takes over the pivot's component as its answer. Round 2 visits only lists that
+* A set that is similar to its pivot takes over the pivot's component as its answer. Later rounds visit only lists that
   still hold two components, and in them only pairs across components; it runs over blocks of the list, and skips a
   block when the sets' positions and sizes there cannot reach the threshold.
-* A pair is verified only if its common prefix tokens plus what the rest of either set can add reach the threshold.
-  Verification compares the whole sets.
+* A pair is verified only if its sizes, positions, and either its number of common prefix tokens (round 1) or the
+  parity sketches of its sets (later rounds) allow the threshold. Verification compares the whole sets.
 
 Every pair that could lie over the threshold is verified, or is already inside one component, so components are exact.
 """
@@ -32,6 +32,11 @@ from tidemark.llm.hashing import mix, shingle_sets
 
 #: Buckets of the count table; a constant, whatever the input.
 BUCKET_BITS = 20
+#: Rounds across components: first each set of a list with the one nearest to it, which joins most, then all pairs that
+#: still lie across components.
+ROUNDS = (1, None)
+#: Bits of a set's sketch.
+SKETCH = 512
 #: Sets of one list that one round-2 task holds at a time.
 BLOCK = 2048
 #: Members that one task verifies against a pivot.
@@ -58,6 +63,15 @@ def _print(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
+def _sketch(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Parity of the tokens in each of SKETCH buckets, as bits. Where two sketches differ, some token is in one set
+    only, so their sets differ in as many tokens at least as their sketches do in bits."""
+    n = len(edge) - 1
+    row = np.repeat(np.arange(n), np.diff(edge))
+    flips = np.bincount(row * SKETCH + (values & np.uint64(SKETCH - 1)).astype(np.int64), minlength=n * SKETCH)
+    return np.packbits((flips & 1).astype(np.uint8).reshape(n, SKETCH), axis=1)
+
+
 def _need(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
     """The overlap that sets of sizes n and m have at least at a similarity of num/den."""
     return -((-num * (n + m)) // (num + den))
@@ -200,49 +214,63 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, n
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(lists: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components in one list, one row per common prefix token, from the lists that hold two
-    components or more. A list longer than BLOCK is dealt to pairs of its blocks. A token at positions i and j of two
-    sets allows an overlap of min(i, j) before it and min(n - i, m - j) from it on."""
+def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, num: int, den: int, best: int | None) -> DataFrame:
+    """Pairs of different components in one list, from the lists that hold two components or more. A list longer than
+    BLOCK is dealt to pairs of its blocks.
+
+    A pair that reaches the threshold shares a token among the first n - need + 1 of one set and m - need + 1 of the
+    other, so that only such positions count; a token at positions i and j allows an overlap of min(i, j) before it and
+    min(n - i, m - j) from it on; and the sets' sketches differ in n + m - 2 * need bits at most. best: a set's pairs with
+    smaller ones in a list, only so many with the nearest sketches; None: all of them."""
     rows = lists.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     open_ = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("token", F.ceil(F.col("k") / BLOCK).cast("int").alias("nb"))
-    rows = rows.join(open_, "token").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
-    rows = rows.select("token", "fp", "n", "pos", "root", "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "n", "pos", "root", "mine")
+    rows = rows.join(open_, "token").join(nodes.groupBy("fp").agg(F.first("sketch").alias("sketch")), "fp")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
+    rows = rows.select("token", "fp", "n", "pos", "root", "mine", "sketch", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "n", "pos", "root", "mine", "sketch")
     ordered = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "fp")
 
     def pairs_of(g):
-        fp, n, pos, root, mine, cross = g
+        fp, n, pos, root, mine, sketch, cross = g
         for lo in range(0, len(fp), 64):  # a block of the list, sorted by size
             hi = min(lo + 64, len(fp))
             # sets before the block are no larger; those under num/den of its smallest set are skipped whole
             first = int(np.searchsorted(n, -(-num * int(n[lo]) // den)))
-            x, y = np.arange(lo, hi)[:, None], np.arange(first, hi)[None, :]
-            if (root[first:hi] == root[lo]).all() and (root[lo:hi] == root[lo]).all():
+            if (root[lo:hi] == root[lo]).all() and (root[first:hi] == root[lo]).all():
                 continue
+            x, y = np.arange(lo, hi)[:, None], np.arange(first, hi)[None, :]
             need = _need(n[x], n[y], num, den)
-            ok = (y < x) & (root[x] != root[y])
+            ok = (y < x) & (root[x] != root[y]) & (den * n[y] >= num * n[x])
+            ok &= (pos[x] <= n[x] - need) & (pos[y] <= n[y] - need)
             ok &= np.minimum(n[x] - pos[x], n[y] - pos[y]) + np.minimum(pos[x], pos[y]) >= need
-            ok &= den * n[y] >= num * n[x]
             if cross:
                 ok &= mine[x] != mine[y]
             i, j = np.nonzero(ok)
+            bits = np.bitwise_count(sketch[lo + i] ^ sketch[first + j]).sum(1)
+            near = bits <= n[lo + i] + n[first + j] - 2 * need[i, j]
+            i, j, bits = lo + i[near], first + j[near], bits[near]
+            if best is not None and len(i) > best:
+                order = np.lexsort((bits, i))
+                i, j = i[order], j[order]
+                start = np.maximum.accumulate(np.where(np.append(True, i[1:] != i[:-1]), np.arange(len(i)), 0))
+                take = np.arange(len(i)) - start < best
+                i, j = i[take], j[take]
             if len(i):
-                yield fp[lo + i], fp[first + j], n[lo + i], n[first + j]
+                yield fp[i], fp[j]
 
     def run(batches):
         key, held = None, []
 
         def flush():
             g = [np.concatenate(c) for c in zip(*held)]
-            for a, b, an, bn in pairs_of((*g, key[1] != key[2])):
-                swap = a > b
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b)), pa.array(np.where(swap, bn, an).astype(np.int32)), pa.array(np.where(swap, an, bn).astype(np.int32))], ["a", "b", "a_n", "b_n"])
+            for a, b in pairs_of((*g, key[1] != key[2])):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for b in batches:
-            t, i, j, *cols = (np.asarray(c) for c in b.columns)
-            if not len(t):
+            if not b.num_rows:
                 continue
+            t, i, j, *cols = (np.asarray(c) for c in b.columns[:-1])
+            cols.append(np.frombuffer(b"".join(b.column(b.num_columns - 1).to_pylist()), np.uint64).reshape(len(t), -1))
             cuts = np.flatnonzero((t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             edges = [0, *cuts.tolist(), len(t)]
             for lo, hi in zip(edges[:-1], edges[1:]):
@@ -255,7 +283,7 @@ def _across(lists: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
         if key is not None:
             yield from flush()
 
-    return ordered.mapInArrow(run, "a long, b long, a_n int, b_n int")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def joined(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float | Fraction = Fraction(4, 5)) -> DataFrame:
@@ -272,20 +300,24 @@ def joined(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: floa
 
     def node(batches):
         for part, values, edge in _sets(batches, width):
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).cast(pa.int64()), "fp": pa.array(_print(values, edge)), "n": pa.array(np.diff(edge).astype(np.int64))})
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).cast(pa.int64()), "fp": pa.array(_print(values, edge)), "n": pa.array(np.diff(edge).astype(np.int64)), "sketch": pa.array([x.tobytes() for x in _sketch(values, edge)], pa.binary())})
 
     levels = spark.sparkContext.broadcast(_levels(counted(spark, docs, width)))
-    nodes = stage(spark, docs.mapInArrow(node, "doc_id long, fp long, n long"), "nodes")
+    nodes = stage(spark, docs.mapInArrow(node, "doc_id long, fp long, n long, sketch binary"), "nodes")
     lists = stage(spark, _lists(_postings(docs, levels, width, num, den)), "lists")
     stars = lists.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b"), F.col("pivot_n").alias("a_n"), F.col("n").alias("b_n"))
     tried = stage(spark, _likely(stars, num, den), "pairs")
     first = stage(spark, _verified(docs, nodes, tried, width, num, den), "links")
     comp = stage(spark, components(spark, first), "comp")
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stage(spark, _likely(_across(lists, comp, num, den), num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
-    if rest.limit(1).count():
-        second = stage(spark, _verified(docs, nodes, rest, width, num, den), "links")
-        comp = stage(spark, components(spark, first.union(second)), "comp")
+    found = first
+    for best in ROUNDS:
+        rest = stage(spark, _across(lists, nodes, comp, num, den, best).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not rest.limit(1).count():
+            continue
+        found = found.union(stage(spark, _verified(docs, nodes, rest, width, num, den), "links"))
+        comp = stage(spark, components(spark, found), "comp")
+        tried = tried.union(rest)
     class_of = nodes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = class_of.groupBy("root").agg(F.min("least").alias("component_id"))
     of_set = class_of.join(least, "root").select("fp", "component_id")
