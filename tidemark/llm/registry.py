@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import embedding_dedup, jaccard_join, mixing, pii, quality_rules, repeats, sentencepieces
+from tidemark.llm import embedding_dedup, jaccard_join, mixing, pii, quality_classifier, quality_rules, repeats, sentencepieces, token_counts, url_filter
 from tidemark.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(spark, read(spark, sf_dir, "documents"))
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(spark, read(spark, sf_dir, "pages"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.deduplicated(spark, read(spark, sf_dir, "embeddings"))
 
@@ -26,10 +30,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(spark, read(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(spark, read(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(spark, read(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scored(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(spark, read(spark, sf_dir, "documents")).drop("removed")
 
@@ -44,7 +56,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_embedding_dedup, op3_pii, op4_quality_rules, op5_mixing, op7_sentencepiece, op9_repeats, op10_jaccard_join, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_pii, op4_quality_rules, op5_mixing, op6_token_counts, op7_sentencepiece, op8_quality_classifier, op9_repeats, op10_jaccard_join, pipeline)}
 
 #: Both twins hold small tables whole: all pairs within a label, all pairs that share a shingle.
 SQL: dict[str, str] = {
