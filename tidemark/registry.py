@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import words
+from tidemark.plans import auctions, graphs, reports, words
 
-MODULES = (words,)
+MODULES = (words, auctions, reports, graphs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
