@@ -1,4 +1,4 @@
-"""Queries of the reference's workloads and their SQL twins, one module of plans after the other."""
+"""Queries of the workloads and their SQL twins, one module of plans after the other."""
 
 from __future__ import annotations
 
