@@ -16,6 +16,11 @@ def spaced_words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != "")
 
 
+def ascii_rows(df: DataFrame, line: Column, name: str = "word") -> DataFrame:
+    """A row per word of ascii_words(). Words are lower-cased as rows, inside generated code, not as array elements."""
+    return df.select(F.explode(F.regexp_extract_all(line, F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias(name))
+
+
 def exploded(df: DataFrame, words: Column, name: str = "word") -> DataFrame:
     return df.select(F.explode(words).alias(name))
 

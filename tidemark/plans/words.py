@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import ascii_words, exploded, spaced_words
+from tidemark.functions.text import ascii_rows, exploded, spaced_words
 from tidemark.operators.windows import count_windows
 from tidemark.sources.tables import table
 
 
-def _words(spark: SparkSession, sf_dir: str, split=ascii_words) -> DataFrame:
-    return exploded(table(spark, sf_dir, "documents"), split(F.col("text")))
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ascii_rows(table(spark, sf_dir, "documents"), F.col("text"))
 
 
 def counts(words: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def wc_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wc_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts(_words(spark, sf_dir, spaced_words))
+    return counts(exploded(table(spark, sf_dir, "documents"), spaced_words(F.col("text"))))
 
 
 def wc_top10(spark: SparkSession, sf_dir: str) -> DataFrame:

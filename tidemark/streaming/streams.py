@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import euros
-from tidemark.functions.text import ascii_words
+from tidemark.functions.text import ascii_rows
 from tidemark.operators.iterate import cut
 
 
@@ -44,7 +44,7 @@ def to_ntz(df: DataFrame, *names: str) -> DataFrame:
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = read(spark, sf_dir, "documents").select(F.explode(ascii_words(F.col("text"))).alias("word"))
+    words = ascii_rows(read(spark, sf_dir, "documents"), F.col("text"))
     return run(words.groupBy("word").agg(F.count("*").alias("n")), "complete")
 
 
