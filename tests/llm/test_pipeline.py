@@ -41,3 +41,20 @@ def test_pipeline_of_nothing(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_rows_without_a_key_and_repeated_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    odd = docs.limit(3).selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "lang", "source", "n_chars")
+    kept = corpus_pipeline.quality(spark, docs.union(odd), sf)
+    assert {r["text"] for r in kept.where("doc_id is null").collect()} == {r["text"] for r in odd.collect()} & {r["text"] for r in kept.collect()}
+    once = corpus_pipeline.near_duplicates(spark, docs.union(docs.limit(4)).union(odd), sf)
+    assert once.where("doc_id is null").count() == 3 and once.where("doc_id is not null").count() == corpus_pipeline.near_duplicates(spark, docs, sf).count()
+
+
+def test_mixture_keeps_clashing_columns(spark, sf):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"size": F.lit("big"), "rate": F.lit(None).cast("string"), "copies": F.array(F.lit(1))})
+    mix = corpus_pipeline.mixture(spark, docs, sf)
+    assert mix.columns == docs.columns and mix.where("size <> 'big' OR rate IS NOT NULL").count() == 0 < mix.count()

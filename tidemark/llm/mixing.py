@@ -149,6 +149,7 @@ def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it has copies, with the columns of docs."""
-    rows = mixed(spark, docs, "doc_id")
-    return rows.where("copies > 0").withColumn("tm_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
+    """The mix itself: each document as often as it has copies, with the columns of docs, whatever their names."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("tm_doc"), "doc_id", "source", size_of(F.col("text")).alias("size"))
+    rows = copied(spark, whole, "doc_id").where("copies > 0")
+    return rows.select("tm_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("tm_doc.*")
