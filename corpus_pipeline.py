@@ -12,21 +12,21 @@ from pyspark.sql import functions as F
 from tidemark.llm import jaccard_join, mixing, pii, quality_rules, sentencepieces
 from tidemark.llm.common import read, stage
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    return docs.join(keys, "doc_id", "left_semi").select(*docs.columns)
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return _only(docs, quality_rules.judged(spark, docs).where("kept").select("doc_id"))
+    """Documents that the quality rules reject go. Rows are told apart by their content, so that those without a doc_id
+    are judged too."""
+    parts = [F.col(c).cast("string") for c in ("doc_id", "text", "lang", "source")]
+    keyed = docs.withColumn("tm_row", F.concat_ws("-", F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit("2"), *parts[::-1]))))
+    kept = quality_rules.judged(spark, keyed, "tm_row").where("kept").select("tm_row").distinct()
+    return keyed.join(kept, "tm_row", "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return _only(docs, jaccard_join.joined(spark, docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id"))
+    """Of each group of near duplicates the document with the smallest doc_id stays, once if its row is repeated. Rows
+    without a doc_id are not compared and stay."""
+    first = jaccard_join.joined(spark, docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
