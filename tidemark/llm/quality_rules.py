@@ -119,7 +119,7 @@ def outlying(spark: SparkSession, rows: DataFrame, share: float = 0.7, steps: in
     rows = rows.join(send(sizes), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_lang", "g_source").withColumn("grp", F.coalesce("grp", F.lit("c")))
     fit = rows.where("fits").select("grp", *names)
 
-    # starts: medians and MADs from exact value counts of the coarse statistics, then distances without correlation
+    # starts: medians and MADs (to a ten-thousandth in rank), then distances without correlation
     mid = fit.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"q_{i}") for i, x in enumerate(names)])
     off = fit.join(send(mid), "grp").groupBy("grp").agg(*[F.first(f"q_{i}").alias(f"q_{i}") for i in range(d)], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"q_{i}")), 0.5, 10_000).alias(f"a_{i}") for i, x in enumerate(names)])
     off = off.select("grp", *[f"q_{i}" for i in range(d)], *[F.sqrt((F.col(f"a_{i}") * 1.4826) ** 2 + (STATS[x] * FIXED) ** 2).alias(f"a_{i}") for i, x in enumerate(names)])
