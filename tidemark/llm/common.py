@@ -49,16 +49,17 @@ def _clean() -> None:
     _made.clear()
 
 
-def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def stage(spark: SparkSession, df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, and a lost executor costs
-    no more than the tasks since. Shuffle files that nothing refers to any more are let go."""
+    no more than the tasks since. free lets go of shuffle files that nothing refers to any more, after large ones."""
     path = f"{work_dir(spark)}/tidemark-{uuid.uuid4().hex}-{name}"
     _made[path] = spark
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     del df
-    gc.collect()
-    spark._jvm.System.gc()
+    if free:
+        gc.collect()
+        spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

@@ -304,18 +304,18 @@ def joined(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: floa
 
     levels = spark.sparkContext.broadcast(_levels(counted(spark, docs, width)))
     nodes = stage(spark, docs.mapInArrow(node, "doc_id long, fp long, n long, sketch binary"), "nodes")
-    lists = stage(spark, _lists(_postings(docs, levels, width, num, den)), "lists")
+    lists = stage(spark, _lists(_postings(docs, levels, width, num, den)), "lists", free=True)
     stars = lists.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b"), F.col("pivot_n").alias("a_n"), F.col("n").alias("b_n"))
-    tried = stage(spark, _likely(stars, num, den), "pairs")
-    first = stage(spark, _verified(docs, nodes, tried, width, num, den), "links")
+    tried = stage(spark, _likely(stars, num, den), "pairs", free=True)
+    first = stage(spark, _verified(docs, nodes, tried, width, num, den), "links", free=True)
     comp = stage(spark, components(spark, first), "comp")
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = first
     for best in ROUNDS:
-        rest = stage(spark, _across(lists, nodes, comp, num, den, best).join(tried, ["a", "b"], "left_anti"), "pairs")
+        rest = stage(spark, _across(lists, nodes, comp, num, den, best).join(tried, ["a", "b"], "left_anti"), "pairs", free=True)
         if not rest.limit(1).count():
             continue
-        found = found.union(stage(spark, _verified(docs, nodes, rest, width, num, den), "links"))
+        found = found.union(stage(spark, _verified(docs, nodes, rest, width, num, den), "links", free=True))
         comp = stage(spark, components(spark, found), "comp")
         tried = tried.union(rest)
     class_of = nodes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

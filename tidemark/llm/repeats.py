@@ -240,10 +240,10 @@ def _singly(many: DataFrame, width: int) -> DataFrame:
 def spans(spark: SparkSession, docs: DataFrame, width: int = 200) -> DataFrame:
     """(doc_id, rk, start, count): count suffixes from start on, in bytes, whose first width bytes start elsewhere too."""
     keyed = _keyed(docs)
-    marks = stage(spark, _settled(_all_runs(keyed, width)), "marks")
+    marks = stage(spark, _settled(_all_runs(keyed, width)), "marks", free=True)
     open_ = marks.where("kind = 1").drop("kind", "whole")
     sizes = open_.groupBy("digit").agg((F.count("*") > FEW).alias("many"))
-    cut = stage(spark, _bytes(_cut(keyed, open_.join(sizes, "digit")), width), "cut")
+    cut = stage(spark, _bytes(_cut(keyed, open_.join(sizes, "digit")), width), "cut", free=True)
     whole = marks.where("kind = 0").select("doc_id", "rk", "start", "count")
     return whole.union(_grouped(cut.where("not many"), width)).union(_singly(cut.where("many"), width))
 
@@ -262,7 +262,7 @@ def removed(spark: SparkSession, docs: DataFrame, width: int = 200) -> DataFrame
     docs = docs.select("doc_id", "text")
     found = spans(spark, docs, width)
     lists = found.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("start", "count")).alias("found"))
-    lists = stage(spark, lists.withColumnRenamed("doc_id", "of_id").withColumnRenamed("rk", "of_rk"), "spans")
+    lists = stage(spark, lists.withColumnRenamed("doc_id", "of_id").withColumnRenamed("rk", "of_rk"), "spans", free=True)
     pairs = _keyed(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("rk") == F.col("of_rk")), "left").select("doc_id", "text", "found")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
