@@ -121,7 +121,7 @@ class Codec:
     library; back says that decoding gives the text again.
     """
 
-    MOST_WORDS = 600_000
+    MOST_WORDS = 200_000
 
     def __init__(self, data: bytes, verify: bool = True):
         import sentencepiece
@@ -188,6 +188,7 @@ def _batches(batches, data: bytes, make):
             part = b.slice(lo, hi - lo)
             texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
             yield make(part, *at.encode(texts))
+    at.known, at.odd, at.lossy = {}, set(), set()  # the worker goes on to other tasks
 
 
 def digests(spark: SparkSession, docs: DataFrame, path: str = MODEL, key: str = "doc_id") -> DataFrame:
