@@ -34,11 +34,11 @@ from tidemark.llm.hashing import mix, shingle_sets
 BUCKET_BITS = 20
 #: Rounds across components: first each set of a list with the one nearest to it, which joins most, then all pairs that
 #: still lie across components.
-ROUNDS = (1, None)
+ROUNDS = (1, 1, None)
 #: Bits of a set's sketch.
 SKETCH = 1024
-#: Prefix positions that the round of nearest pairs looks at; it need not be complete.
-NEAR = 8
+#: The rounds of nearest pairs look at one list in so many, by hash of its token; they need not be complete.
+NEAR = 4
 #: Sets of one list that one round-2 task holds at a time.
 BLOCK = 2048
 #: Members that one task verifies against a pivot.
@@ -224,7 +224,7 @@ def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, num: int, den:
     other, so that only such positions count; a token at positions i and j allows an overlap of min(i, j) before it and
     min(n - i, m - j) from it on; and the sets' sketches differ in n + m - 2 * need bits at most. best: a set's pairs with
     smaller ones in a list, only so many with the nearest sketches; None: all of them."""
-    lists = lists if best is None else lists.where(F.col("pos") < NEAR)
+    lists = lists if best is None else lists.where(F.pmod(F.xxhash64("token"), F.lit(NEAR)) == 0)
     rows = lists.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     open_ = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("token", F.ceil(F.col("k") / BLOCK).cast("int").alias("nb"))
     rows = rows.join(open_, "token").join(nodes.groupBy("fp").agg(F.first("sketch").alias("sketch")), "fp")
