@@ -187,3 +187,42 @@ def test_closed_auctions(spark, tmp_path):
     late.coalesce(1).write.parquet(str(tmp_path / "in/2"))
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")).withWatermark("ts", "0 seconds")
     assert rows(streams.run(streams.closed_auctions(stream))) == [(1, 3, 9, 70)]
+
+
+def test_graphs_of_all_orders(spark, sf):
+    """The _all queries hold every edge of the table, and what follows from them by brute force."""
+    from collections import defaultdict
+
+    from tidemark.plans.graphs import QUERIES, ROUNDS
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()
+    pairs = sorted({(r[0], r[1]) for r in lines if r[0] != r[1]})
+    after, near = defaultdict(list), defaultdict(set)
+    for u, v in pairs:
+        after[u].append(v)
+        near[u].add(v)
+        near[v].add(u)
+
+    def reached(start, links):
+        seen, todo = set(start), list(start)
+        while todo:
+            todo = [v for u in todo for v in links[u] if v not in seen and not seen.add(v)]
+        return seen
+
+    got = lambda name: rows(QUERIES[name](spark, sf))
+    assert got("graph_cc_all") == [(n, min(reached([n], near))) for n in sorted(near)]
+    assert got("graph_closure_all") == sorted((u, v) for u in list(after) for v in reached(after[u], after) if u != v)
+    assert got("graph_triangles_all") == sorted((a, b, c) for a in near for b in near[a] if b > a for c in near[a] & near[b] if c > b)
+    rank, whole = {n: 1 / len(near) for n in near}, {n: 6_000_000 for n in near}
+    for _ in range(ROUNDS):
+        sent, given = defaultdict(float), defaultdict(int)
+        for u, v in pairs:
+            sent[v] += rank[u] / len(after[u])
+            given[v] += whole[u] * 5 // (len(after[u]) * 6)
+        rank = {n: 0.15 / len(near) + 0.85 * sent[n] for n in near}
+        whole = {n: 1_000_000 + given[n] for n in near}
+    assert got("graph_pagerank_int_all") == sorted(whole.items())
+    ranks = dict(got("graph_pagerank_all"))
+    assert set(ranks) == set(rank) and all(abs(ranks[n] - rank[n]) < 2e-8 for n in rank)
+    parts = [(u, v, u * 7 % 100 // len(after[u]) + (sorted(after[u]).index(v) < u * 7 % 100 % len(after[u]))) for u, v in pairs]
+    assert got("graph_allotted_all") == parts

@@ -32,9 +32,12 @@ def bid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("auction"), F.col("l_suppkey").alias("bidder"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"), F.col("l_shipdate").alias("date_time"))
 
 
-def edges(spark: SparkSession, sf_dir: str, every: int = 40) -> DataFrame:
-    """Distinct (u, v), u <> v: parts and suppliers of every n-th order as nodes of one graph."""
-    return table(spark, sf_dir, "lineitem").where((F.col("l_orderkey") % every == 0) & (F.col("l_partkey") != F.col("l_suppkey"))).select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v")).distinct()
+def edges(spark: SparkSession, sf_dir: str, every: int | None = 40) -> DataFrame:
+    """Distinct (u, v), u <> v: parts and suppliers as nodes of one graph, of orders whose key is a multiple of every, or
+    of all orders if it is None."""
+    lines = table(spark, sf_dir, "lineitem")
+    lines = lines if every is None else lines.where(F.col("l_orderkey") % every == 0)
+    return lines.where("l_partkey <> l_suppkey").select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v")).distinct()
 
 
 def accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
