@@ -230,6 +230,31 @@ def test_quality_outliers(spark, sf):
     assert quality_rules.judged(spark, same, "id").where("not kept").count() == 0
 
 
+def test_quality_of_small_sources(spark):
+    """Two sources of 40 rows far from each other and from a third of 150: clean rows stay, and what lies where another
+    source is goes."""
+    rng = random.Random(5)
+    rows = []
+
+    def put(source, n, length, symbols, sort):
+        for _ in range(n):
+            words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=max(1, round(rng.gauss(length, 0.15 * length))))) for _ in range(120)]
+            for k in rng.sample(range(120), round(120 * symbols * rng.uniform(0.9, 1.1))):
+                words[k] += "#"
+            rows.append((len(rows), " ".join(words), "en", source, sort))
+
+    put("large", 150, 5, 0.0, "clean")
+    put("short", 40, 3, 0.5, "clean")
+    put("long", 40, 11, 0.15, "clean")
+    put("short", 2, 11, 0.15, "junk")
+    put("long", 2, 3, 0.5, "junk")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, sort string")
+    got = quality_rules.judged(spark, docs).join(docs.select("doc_id", "source", "sort"), "doc_id")
+    assert got.where("base_failed").count() == 0
+    assert got.where("sort = 'clean' and not kept").count() == 0
+    assert got.where("sort = 'junk' and kept").count() == 0
+
+
 # 5. mixing
 
 

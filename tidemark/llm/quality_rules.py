@@ -7,6 +7,10 @@ The estimate runs concentration steps from two deterministic starts per group (m
 the one with the smaller determinant. A step is one pass over the table of statistics: every row's distance falls into
 a logarithmic bin, moments are summed per group and bin (integers, so that the order of rows changes nothing), and the
 bins up to the one that holds the h-th smallest distance make the next estimate.
+
+Every language and source has its own centre from FULL rows on. Its covariance is its own and the mean one within the
+sources of its language, weighted by rows. Below FULL rows, centre and covariance go over to the language's estimate (all
+its rows, whatever their source), and below FULL rows of the language to that of all rows, in proportion to the rows.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from tidemark.llm.common import BROADCAST_ROWS, stage
 STATS = {"x_length": 0.06, "x_symbols": 0.04, "x_lines": 0.08, "x_repeats": 0.08}
 FIXED = 4096  # statistics are kept as multiples of 1/FIXED
 BINS = 16  # distance bins per power of two
+FULL = 4 * (len(STATS) + 1)  # rows of a group with a centre of its own; a table with fewer rejects none
 
 COUNTS = [
     "size(words) AS n_words",
@@ -68,15 +73,35 @@ def vector() -> list[Column]:
 
 
 def _solved(moments: DataFrame) -> DataFrame:
-    """From n, sums s_i and products p_ij per (grp, start): mean m_i, unit lower factor l_ij and pivots d_i of the
-    covariance with the least variances added to its diagonal, and the logarithm of the determinant."""
+    """From n, sums s_i and products p_ij per (grp, start): mean m_i, covariance c_ij with the least variances added to
+    its diagonal, and what _factored() adds."""
     names, d = list(STATS), len(STATS)
     n = F.col("n").cast("double")
-    out = moments.select("grp", "start", "total", *[(F.col(f"s_{i}") / n / FIXED).alias(f"m_{i}") for i in range(d)], *[(F.col(f"p_{i}_{j}") / n / FIXED / FIXED - F.col(f"s_{i}") / n / FIXED * F.col(f"s_{j}") / n / FIXED + (STATS[names[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)])
+    return _factored(moments.select("grp", "start", *[(F.col(f"s_{i}") / n / FIXED).alias(f"m_{i}") for i in range(d)], *[(F.col(f"p_{i}_{j}") / n / FIXED / FIXED - F.col(f"s_{i}") / n / FIXED * F.col(f"s_{j}") / n / FIXED + (STATS[names[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in _cells()]))
+
+
+def _cells() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(STATS)) for j in range(i + 1)]
+
+
+def _factored(out: DataFrame) -> DataFrame:
+    """Unit lower factor l_ij and pivots d_i of the covariance c_ij, and the logarithm of the determinant."""
+    d = len(STATS)
     for j in range(d):  # one column of the factor after the other
         out = out.withColumn(f"d_{j}", F.greatest(F.col(f"c_{j}_{j}") - sum((F.col(f"l_{j}_{k}") ** 2 * F.col(f"d_{k}") for k in range(j)), F.lit(0.0)), F.lit(1e-9)))
         out = out.withColumns({f"l_{i}_{j}": (F.col(f"c_{i}_{j}") - sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") * F.col(f"d_{k}") for k in range(j)), F.lit(0.0))) / F.col(f"d_{j}") for i in range(j + 1, d)}) if j + 1 < d else out
-    return out.withColumn("log_det", sum((F.log(f"d_{i}") for i in range(d)), F.lit(0.0))).drop(*[f"c_{i}_{j}" for i in range(d) for j in range(i + 1)])
+    return out.withColumn("log_det", sum((F.log(f"d_{i}") for i in range(d)), F.lit(0.0)))
+
+
+def _mixed(out: DataFrame, up: str, prior) -> DataFrame:
+    """m_i, c_ij moved towards {up}m_i and prior(i, j) as far as share (own centre) and weight (own covariance) leave
+    room. The step between the two centres counts as spread by share^2 * (1 - share): a few rows far off the language
+    say little about their source, more rows say that it lies elsewhere."""
+    d, u = len(STATS), F.col("share")
+    step = [F.col(f"m_{i}") - F.col(f"{up}m_{i}") for i in range(d)]
+    m = {f"m_{i}": F.when(u >= 1, F.col(f"m_{i}")).when(F.col("m_0").isNull(), F.col(f"{up}m_{i}")).otherwise(u * F.col(f"m_{i}") + (1 - u) * F.col(f"{up}m_{i}")) for i in range(d)}
+    c = {f"c_{i}_{j}": F.when(F.col("m_0").isNull(), prior(i, j)).otherwise(F.col("weight") * F.col(f"c_{i}_{j}") + F.when(F.col("weight") >= 1, 0.0).otherwise((1 - F.col("weight")) * prior(i, j)) + F.when(u >= 1, 0.0).otherwise(u * u * (1 - u) * step[i] * step[j])) for i, j in _cells()}
+    return out.withColumns(m | c)
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -97,27 +122,28 @@ def _concentrated(rows: DataFrame, share: float) -> DataFrame:
     binned = rows.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"), *[F.sum(v).alias(k) for k, v in sums.items()])
     up = Window.partitionBy("grp", "start").orderBy("bin")
     binned = binned.withColumns({"before": F.sum("n").over(up) - F.col("n"), "total": F.sum("n").over(Window.partitionBy("grp", "start"))})
-    return binned.where(F.col("before") < F.ceil(F.col("total") * share)).groupBy("grp", "start").agg(F.first("total").alias("total"), *[F.sum(c).alias(c) for c in ("n", *sums)])
+    return binned.where(F.col("before") < F.ceil(F.col("total") * share)).groupBy("grp", "start").agg(*[F.sum(c).alias(c) for c in ("n", *sums)])
 
 
-def outlying(spark: SparkSession, rows: DataFrame, share: float = 0.7, steps: int = 3, cutoff: float = 30.0, min_rows: int = 200) -> DataFrame:
+def outlying(spark: SparkSession, rows: DataFrame, share: float = 0.7, steps: int = 3, cutoff: float = 30.0) -> DataFrame:
     """rows (lang, source, the statistics, fits, key...) with a column outlier: distance over cutoff.
 
-    Estimates use the rows where fits is true, share of them in each group's subset. A group of under min_rows joins
-    the small groups of its language, and those that stay too small one group of the rest. cutoff is a squared
-    distance, scaled so that the median distance of a group is at least that of four normal variates; 23.5 is their
-    0.9999 quantile. rows must be staged, as each step reads them once. Null lang or source is a value of its own.
+    Estimates use the rows where fits is true, share of them in each group's subset. cutoff is a squared distance, scaled
+    so that the median distance of a group is at least that of four normal variates; 23.5 is their 0.9999 quantile.
+    rows must be staged, as each step reads them once. Null lang or source is a value of its own.
     """
     d, names = len(STATS), list(STATS)
     part = lambda c: F.coalesce(F.concat(F.length(c), F.lit(":"), F.col(c)), F.lit("null"))
-    sizes = rows.where("fits").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("of_lang", F.sum(F.when(F.col("n") < min_rows, F.col("n")).otherwise(0)).over(Window.partitionBy("lang")))
-    sizes = sizes.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.when(F.col("n") >= min_rows, F.concat(F.lit("a"), part("lang"), F.lit("/"), part("source"))).when(F.col("of_lang") >= min_rows, F.concat(F.lit("b"), part("lang"))).otherwise(F.lit("c")).alias("grp"))
+    sizes = rows.groupBy("lang", "source").agg(F.count_if("fits").alias("n"))
+    sizes = sizes.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.concat(F.lit("a"), part("lang"), F.lit("/"), part("source")).alias("grp"), F.concat(F.lit("b"), part("lang")).alias("lang_grp"), "n", F.min("n").over(Window.partitionBy("lang")).alias("least"))
     sizes = stage(spark, sizes, "groups")
     small = sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     send = F.broadcast if small else lambda x: x
-    rows = rows.join(send(sizes), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_lang", "g_source").withColumn("grp", F.coalesce("grp", F.lit("c")))
-    fit = rows.where("fits").select("grp", *names)
+    least, everything = sizes.groupBy("lang_grp").agg(F.sum("n").alias("n")).agg(F.min("n"), F.sum("n")).first()
+    rows = rows.join(send(sizes.drop("n")), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))).drop("g_lang", "g_source")
+    # a language's rows make an estimate where it has a source that needs it, all rows where a language does
+    levels = [F.col("grp"), F.when(F.col("least") < FULL, F.col("lang_grp")), *([F.lit("c")] if (least or 0) < FULL else [])]
+    fit = rows.where("fits").select(F.explode(F.array_compact(F.array(*levels))).alias("grp"), *names)
 
     # starts: medians and MADs (to a ten-thousandth in rank), then distances without correlation
     mid = fit.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"q_{i}") for i, x in enumerate(names)])
@@ -131,16 +157,48 @@ def outlying(spark: SparkSession, rows: DataFrame, share: float = 0.7, steps: in
         model = stage(spark, model, "mcd")
         model = _solved(_concentrated(_distance(fit.join(send(model), "grp")).select("grp", "start", *names, _bin(F.col("dist")).alias("bin")), share))
     best = Window.partitionBy("grp").orderBy("log_det", "start")
-    model = stage(spark, model.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank", "start"), "mcd")
-    up, binned = Window.partitionBy("grp").orderBy("bin"), _distance(fit.join(send(model), "grp")).groupBy("grp", _bin(F.col("dist")).alias("bin")).agg(F.count("*").alias("n"))
-    half = binned.withColumns({"to": F.sum("n").over(up), "all": F.sum("n").over(Window.partitionBy("grp"))}).where("2 * to >= all").groupBy("grp").agg(F.min("bin").alias("mid"))
-    normal = _chi2_median(d)
-    model = model.join(send(half), "grp").withColumn("scale", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("mid") + 1) / BINS) / normal)).drop("mid")
-    out = _distance(rows.join(send(stage(spark, model, "mcd")), "grp", "left"))
-    outlier = (F.col("total") >= 4 * (d + 1)) & (F.col("dist") / F.col("scale") > cutoff)
+    model = stage(spark, model.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("grp", *[f"m_{i}" for i in range(d)], *[f"c_{i}_{j}" for i, j in _cells()]), "mcd")
+    model = stage(spark, _factored(_shrunk(sizes, model, send)), "mcd")
+
+    # scales: medians of the distances of a source's, a language's and all rows
+    own = model.select("grp", "lang_grp", *[c for c in model.columns if c[:2] in ("m_", "l_", "d_")])
+    binned = _distance(rows.where("fits").select("grp", *names).join(send(own), "grp")).groupBy("grp", "lang_grp", _bin(F.col("dist")).alias("bin")).agg(F.count("*").alias("n"))
+    binned = binned.select(F.explode(F.array("grp", "lang_grp", F.lit("c"))).alias("key"), "bin", "n").groupBy("key", "bin").agg(F.sum("n").alias("n"))
+    up = Window.partitionBy("key").orderBy("bin")
+    half = binned.withColumns({"to": F.sum("n").over(up), "all": F.sum("n").over(Window.partitionBy("key"))}).where("2 * to >= all").groupBy("key").agg(F.min("bin").alias("mid"))
+    half = stage(spark, half.select("key", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("mid") + 1) / BINS) / _chi2_median(d)).alias("scale")), "mcd")
+    for key, name in (("grp", "scale_own"), ("lang_grp", "scale_lang"), (F.lit("c"), "scale_all")):
+        model = model.withColumn("key", F.col(key) if isinstance(key, str) else key).join(send(half.withColumnRenamed("scale", name)), "key", "left").drop("key")
+    either = lambda u, x, y: F.coalesce(u * F.col(x) + (1 - u) * y, y)
+    model = model.withColumn("scale", either(F.col("share"), "scale_own", either(F.col("lang_share"), "scale_lang", F.coalesce("scale_all", F.lit(1.0)))))
+    model = stage(spark, model.select("grp", "scale", *[c for c in model.columns if c[:2] in ("m_", "l_", "d_")]), "mcd")
+    out = _distance(rows.drop("lang_grp", "least").join(send(model), "grp", "left"))
+    outlier = F.lit((everything or 0) >= FULL) & (F.col("dist") / F.col("scale") > cutoff)
     return out.withColumn("outlier", F.coalesce(outlier, F.lit(False)))
 
 
+def _shrunk(sizes: DataFrame, model: DataFrame, send) -> DataFrame:
+    """sizes (grp, lang_grp, n, ...), own estimates of sources, languages and all rows -> grp, lang_grp, share and
+    lang_share (of the source's and the language's own centre), m_i, c_ij for every source."""
+    d = len(STATS)
+    m, c = [f"m_{i}" for i in range(d)], [f"c_{i}_{j}" for i, j in _cells()]
+    renamed = lambda df, prefix, key: df.select(F.col("grp").alias(key), *[F.col(x).alias(prefix + x) for x in m + c])
+    ramp = lambda n: F.least(F.lit(1.0), n / FULL)
+    own = sizes.select("grp", "lang_grp", "n").join(send(model), "grp", "left")
+    free = F.greatest(F.col("n") - 1, F.lit(0))
+    langs = own.groupBy("lang_grp").agg(F.sum("n").alias("n"), F.sum(free).alias("free"), *[(F.sum(free * F.col(x)) / F.sum(F.when(free > 0, free))).alias(f"w_{x}") for x in c])
+    langs = langs.join(send(renamed(model, "", "lang_grp")), "lang_grp", "left").withColumn("all_grp", F.lit("c")).join(send(renamed(model, "all_", "all_grp")), "all_grp", "left")
+    langs = langs.withColumn("share", ramp(F.col("n"))).withColumn("weight", F.col("share"))
+    langs = _mixed(langs, "all_", lambda i, j: F.col(f"all_c_{i}_{j}"))
+    within = F.least(F.lit(1.0), F.col("free") / (FULL - 1))
+    langs = langs.withColumns({f"w_{x}": F.when(within >= 1, F.col(f"w_{x}")).otherwise(within * F.coalesce(f"w_{x}", F.lit(0.0)) + (1 - within) * F.col(x)) for x in c})
+    langs = langs.select("lang_grp", F.col("share").alias("lang_share"), *[F.col(x).alias(f"lang_{x}") for x in m + c], *[f"w_{x}" for x in c])
+    out = own.join(send(langs), "lang_grp").withColumn("share", ramp(F.col("n"))).withColumn("weight", F.col("n") / (F.col("n") + FULL))
+    u = F.col("share")
+    out = _mixed(out, "lang_", lambda i, j: F.when(u >= 1, F.col(f"w_c_{i}_{j}")).otherwise(u * F.col(f"w_c_{i}_{j}") + (1 - u) * F.col(f"lang_c_{i}_{j}")))
+    return out.select("grp", "lang_grp", "share", "lang_share", *m, *c)
+
+
 def _chi2_median(d: int) -> float:
     return d * (1 - 2 / (9 * d)) ** 3
 
