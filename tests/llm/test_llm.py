@@ -317,6 +317,21 @@ def test_edits(code, texts):
             assert tree.tokens == sum(leaf[1] for leaf in tree.leaves)
 
 
+def test_edits_of_contractions(code):
+    """The second letter of 'll, 've and 're may come or go by an edit."""
+    rng = random.Random(4)
+    tree = token_counts.Tree(code, "we'l")
+    tree.edit(4, 4, "l")
+    assert [p for leaf in tree.leaves for p in leaf[2]] == [2, 3]
+    for _ in range(2000):
+        tree = token_counts.Tree(code, "".join(rng.choice("'lvre a") for _ in range(rng.randint(1, 40))))
+        a = rng.randint(0, len(tree.text))
+        b, new = min(len(tree.text), a + rng.randint(0, 2)), "".join(rng.choice("'lvre ") for _ in range(rng.randint(0, 3)))
+        tree.edit(a, b, new)
+        assert [p for leaf in tree.leaves for p in leaf[2]] == [len(p) for p in code.split.findall(tree.text)]
+        assert tree.tokens == len(code.code.encode_ordinary(tree.text))
+
+
 def test_token_counts(spark, docs, code, empty):
     texts = dict(docs.select("doc_id", "text").collect())
     for r in token_counts.digest(spark, docs).collect():

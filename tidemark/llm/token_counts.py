@@ -103,6 +103,9 @@ class Tree:
         near = start
         while near and old[near - 1].isspace():
             near -= 1
+        # an apostrophe before one letter: a second one can make both a contraction
+        if near > 1 and old[near - 2] == "'":
+            near -= 1
         first, begin = self._leaf_at(max(near - 1, 0))
         at, k = begin, 0
         while k < len(self.leaves[first][2]) and at + self.leaves[first][2][k] < near:
