@@ -226,3 +226,16 @@ def test_graphs_of_all_orders(spark, sf):
     assert set(ranks) == set(rank) and all(abs(ranks[n] - rank[n]) < 2e-8 for n in rank)
     parts = [(u, v, u * 7 % 100 // len(after[u]) + (sorted(after[u]).index(v) < u * 7 % 100 % len(after[u]))) for u, v in pairs]
     assert got("graph_allotted_all") == parts
+
+
+def test_loops_that_do_not_settle_are_told(spark):
+    """A cap on rounds is an error where it cuts off work; without one there is none."""
+    import inspect
+
+    path = frame(spark, [(i, i + 1) for i in range(1, 6)])
+    for operator in (graphs.components, graphs.closure):
+        assert inspect.signature(operator).parameters["rounds"].default is None
+        with pytest.raises(RuntimeError, match="not settled after 2 rounds"):
+            operator(path, rounds=2)
+    assert [r[1] for r in rows(graphs.components(path))] == [1] * 6
+    assert graphs.closure(path, rounds=5).count() == 15
