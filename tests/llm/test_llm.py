@@ -477,3 +477,16 @@ def test_jaccard_near_copies(spark, monkeypatch):
             rows.append((len(rows), " ".join(words[: len(words) - rng.randint(0, 6)]) + (" " + common if g % 2 else "")))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert collected(jaccard_join.joined(spark, df), "doc_id", "n_shingles", "component_id") == joined_plainly(rows)
+
+
+def test_runs_of_long_rows(monkeypatch):
+    """Rows of more bytes than positions give every suffix the digit that it has in a row of any length."""
+
+    def digits():
+        return {(r, s + i): d for row, start, count, digit, _ in repeats._cut_runs(raw, offs, 200) for r, s, n, d in zip(row.tolist(), start.tolist(), count.tolist(), digit.tolist()) for i in range(n)}
+
+    raw, offs = np.random.default_rng(7).integers(97, 123, 5300, dtype=np.uint8), np.array([0, 100, 300, 5300], np.int64)
+    want = digits()
+    monkeypatch.setattr(repeats, "POSITION", 10)
+    assert len(want) == 1 + 4801 and digits() == want
+    assert {(r, s + i): d for row, start, count, digit, _ in [repeats._runs(raw, offs, 200)] for r, s, n, d in zip(row.tolist(), start.tolist(), count.tolist(), digit.tolist()) for i in range(n)} != want

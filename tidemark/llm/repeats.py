@@ -27,7 +27,7 @@ from tidemark.llm.hashing import powers as powers_of
 
 #: Bytes of a gram of the first digit.
 GRAM = 32
-#: Bits for positions beside the hash while the least gram is sought: texts of up to 256 MiB.
+#: Bits for positions beside the hash while the least gram is sought: longer texts are cut by _cut_runs().
 POSITION = 28
 #: Runs of one first digit that are compared inside a task; the suffixes of larger groups are dealt out singly.
 FEW = 2048
@@ -63,6 +63,20 @@ def _runs(raw: np.ndarray, offs: np.ndarray, width: int):
     return row, start - offs[row], count, gram[(key[first] & low).astype(np.int64)], whole
 
 
+def _cut_runs(raw: np.ndarray, offs: np.ndarray, width: int):
+    """_runs() of rows of any length: where there are more bytes than positions, row by row, in pieces that overlap by
+    width - 1 bytes. A run over a cut makes two."""
+    most = 1 << POSITION
+    if len(raw) <= most:
+        yield _runs(raw, offs, width)
+        return
+    for i, (lo, hi) in enumerate(zip(offs.tolist(), offs[1:].tolist())):
+        for at in range(lo, hi - width + 1, most - width + 1):
+            piece = raw[at : min(at + most, hi)]
+            row, start, *rest = _runs(piece, np.array([0, len(piece)], np.int64), width)
+            yield row + i, start + (at - lo), *rest
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
 
@@ -72,9 +86,9 @@ def _all_runs(keyed: DataFrame, width: int) -> DataFrame:
         for b in batches:
             raw, offs = utf8(b.column(2))
             for lo, hi in pieces(offs):
-                row, start, count, digit, whole = _runs(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], width)
-                take = pa.array(row + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(digit.astype(np.int64)), pa.array(whole.astype(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(start), pa.array(count.astype(np.int32))], ["digit", "whole", "doc_id", "rk", "start", "count"])
+                for row, start, count, digit, whole in _cut_runs(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], width):
+                    take = pa.array(row + lo)
+                    yield pa.RecordBatch.from_arrays([pa.array(digit.astype(np.int64)), pa.array(whole.astype(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(start), pa.array(count.astype(np.int32))], ["digit", "whole", "doc_id", "rk", "start", "count"])
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
     return keyed.select("doc_id", "rk", "text").mapInArrow(run, f"digit long, whole long, doc_id {kind}, rk long, start long, count int")
