@@ -9,11 +9,13 @@ Prefix filter under one global token order, with relations between sets used to
   the list to the pivot only, so that a list of n near copies makes n pairs, not n * n.
 * A set that is similar to its pivot takes over the pivot's component as its answer. Later rounds visit only lists that
   still hold two components, and in them only pairs across components; it runs over blocks of the list, and skips a
-  block when the sets' positions and sizes there cannot reach the threshold.
+  block when the sizes there cannot reach the threshold or all its sets are in one component; positions leave out
+  single pairs.
 * A pair is verified only if its sizes, positions, and either its number of common prefix tokens (round 1) or the
   parity sketches of its sets (later rounds) allow the threshold. Verification compares the whole sets.
 
-Every pair that could lie over the threshold is verified, or is already inside one component, so components are exact.
+Every pair that could lie over the threshold is verified, or is already inside one component, so components are exact. The links
+themselves are not a result: pairs inside one component are not verified once it has formed.
 """
 
 from __future__ import annotations
