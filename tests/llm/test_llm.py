@@ -420,20 +420,71 @@ def test_classifier_of_odd_tables(spark, docs, empty):
 # 9. repeated passages
 
 
-@pytest.mark.parametrize("few", [2048, 1])
-def test_repeats(spark, docs, monkeypatch, few):
-    monkeypatch.setattr(repeats, "FEW", few)
-    rows = docs.select("doc_id", "text").collect()
-    raw, width = [(r["text"] or "").encode() for r in rows], 200
+def removed_plainly(rows, width=200):
+    raw = [(t or "").encode() for _, t in rows]
     seen = Counter(b[i : i + width] for b in raw for i in range(len(b) - width + 1))
     want = []
-    for r, b in zip(rows, raw):
+    for (key, _), b in zip(rows, raw):
         gone = bytearray(len(b))
         for i in range(len(b) - width + 1):
             if seen[b[i : i + width]] > 1:
                 gone[i : i + width] = b"\1" * width
-        want.append((r["doc_id"], len(b), sum(gone), sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1])), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
-    assert collected(repeats.removed(spark, docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=str)
+        want.append((key, len(b), sum(gone), sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1])), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return sorted(want, key=str)
+
+
+REPEATS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@pytest.mark.parametrize("few, at_once", [(2048, 500_000), (1, 500_000), (2048, 300)])
+def test_repeats(spark, docs, monkeypatch, few, at_once):
+    """Few anchors are sorted in tasks, many are spread; both give the windows of the definition. Null keys and rows that
+    repeat many times among them."""
+    monkeypatch.setattr(repeats, "FEW", few)
+    monkeypatch.setattr(repeats, "SORTED", at_once)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    rows += [(None, rows[3][1]), (None, None)] + [max(rows, key=lambda r: len(r[1] or ""))] * 7
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert collected(repeats.removed(spark, df), *REPEATS) == removed_plainly(rows)
+
+
+def test_radix_orders_by_bytes():
+    """Groups after the last digit are those of equal windows, for widths that are no multiple of a digit too."""
+    rng = np.random.default_rng(5)
+    for width in (32, 37, 200):
+        raw = np.concatenate([rng.integers(97, 99, 900, dtype=np.uint8), np.tile(rng.integers(97, 123, width + 60, dtype=np.uint8), 3)])
+        at = np.arange(len(raw) - width + 1)
+        group = at % 2
+        seen = Counter((raw[i : i + width].tobytes(), i % 2) for i in at.tolist())
+        assert repeats.radix(raw, at, group, width).tolist() == [seen[raw[i : i + width].tobytes(), i % 2] > 1 for i in at.tolist()]
+    assert repeats.radix(raw, at[:0], group[:0], 200).tolist() == []
+
+
+def test_repeats_are_told_by_bytes(spark, monkeypatch):
+    """Were all anchors one, and all runs of one length alike but for their bytes, the sort by bytes would still tell
+    windows apart."""
+    real = repeats._runs
+
+    def same_anchor(raw, offs, width):
+        row, start, count, digit, at, one, two = real(raw, offs, width)
+        return row, start, count, np.zeros_like(digit), at, one, two
+
+    monkeypatch.setattr(repeats, "_runs", same_anchor)
+    rng = random.Random(3)
+    base = " ".join(f"w{rng.randrange(900)}" for _ in range(200))
+    rows = [(1, base), (2, base[:500] + "X" + base[501:]), (3, "y" + base[120:700])]
+    assert collected(repeats.removed(spark, spark.createDataFrame(rows, "doc_id long, text string")), *REPEATS) == removed_plainly(rows)
+
+
+def test_repeated_rows_are_linear(spark, monkeypatch):
+    """n equal rows make lists of one text's runs, not of n texts'."""
+    base = " ".join(f"w{i * 7919 % 1009}" for i in range(400))
+    made = {}
+    for n in (2, 200):
+        df = spark.createDataFrame([(1, base)] * n, "doc_id long, text string")
+        lists = repeats._merged(repeats.spans(spark, df.select("doc_id", "text")), 200).collect()
+        made[n] = sum(len(r["runs"]) for r in lists)
+    assert made[2] == made[200] == 1
 
 
 def test_repeats_of_nothing(spark, empty):
@@ -479,14 +530,83 @@ def test_jaccard_near_copies(spark, monkeypatch):
     assert collected(jaccard_join.joined(spark, df), "doc_id", "n_shingles", "component_id") == joined_plainly(rows)
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048])
+def test_words_of_regular_structure(spark, n):
+    """A word and its complement, which have equal sums of powers, are different words and different passages."""
+    word, other = thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, "hello"), (4, word + " x"), (5, word)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collected(jaccard_join.joined(spark, df), "doc_id", "n_shingles", "component_id") == joined_plainly(rows)
+
+
+def edited_copies(rng, n, words=100, changes=4):
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(0, changes)):
+            copy[rng.randrange(words)] = f"x{rng.randrange(10**9)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_jaccard_edges_of_a_large_group(spark, monkeypatch):
+    """A group of n near copies makes fewer than n links of components in all rounds together."""
+    made = []
+    whole = jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda *a: made.append(whole(*a).cache()) or made[-1])
+    n = 2000
+    rows = list(enumerate(edited_copies(random.Random(8), n)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.joined(spark, df).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in range(a + 1, n) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert got == roots(list(sets), links)
+    assert sum(x.count() for x in made) < 2 * n
+
+
+def test_jaccard_sets_that_share_a_name(spark, monkeypatch):
+    """Sets are told apart by both fingerprints: one name for all of them changes nothing."""
+    whole = jaccard_join._prints
+
+    def one_name(values, edge, apart=None):
+        name, other = whole(values, edge)
+        name = np.where(name != 0, name % 5 + 1, 0)
+        if apart:
+            name = np.array([apart.get(k, k[0]) for k in zip(name.tolist(), other.tolist())], np.int64)
+        return name, other
+
+    monkeypatch.setattr(jaccard_join, "_prints", one_name)
+    rows = list(enumerate(edited_copies(random.Random(9), 12) + edited_copies(random.Random(10), 12)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collected(jaccard_join.joined(spark, df), "doc_id", "n_shingles", "component_id") == joined_plainly(rows)
+
+
+def test_jaccard_lists_in_parts(spark, monkeypatch):
+    """Lists dealt out in parts, and rows without a key."""
+    monkeypatch.setattr(jaccard_join, "_parts", lambda table: np.full(len(table), 3, np.int32))
+    rows = list(enumerate(edited_copies(random.Random(11), 60, 60, 6)))
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").repartition(3)
+    got = collected(jaccard_join.joined(spark, df).where("doc_id is not null"), "doc_id", "n_shingles", "component_id")
+    assert got == joined_plainly(rows)
+    assert jaccard_join.joined(spark, df).where("doc_id is null").first()["component_id"] is None
+
+
 def test_runs_of_long_rows(monkeypatch):
-    """Rows of more bytes than positions give every suffix the digit that it has in a row of any length."""
+    """Rows of more bytes than positions give every suffix the anchor that it has in a row of any length."""
 
-    def digits():
-        return {(r, s + i): d for row, start, count, digit, _ in repeats._cut_runs(raw, offs, 200) for r, s, n, d in zip(row.tolist(), start.tolist(), count.tolist(), digit.tolist()) for i in range(n)}
+    def anchors():
+        return {(r, s + i): d for row, start, count, digit, *_ in repeats._cut_runs(raw, offs, 200) for r, s, n, d in zip(row.tolist(), start.tolist(), count.tolist(), digit.tolist()) for i in range(n)}
 
     raw, offs = np.random.default_rng(7).integers(97, 123, 5300, dtype=np.uint8), np.array([0, 100, 300, 5300], np.int64)
-    want = digits()
+    want = anchors()
     monkeypatch.setattr(repeats, "POSITION", 10)
-    assert len(want) == 1 + 4801 and digits() == want
-    assert {(r, s + i): d for row, start, count, digit, _ in [repeats._runs(raw, offs, 200)] for r, s, n, d in zip(row.tolist(), start.tolist(), count.tolist(), digit.tolist()) for i in range(n)} != want
+    assert len(want) == 1 + 4801 and anchors() == want
+    assert {(r, s + i): d for row, start, count, digit, *_ in [repeats._runs(raw, offs, 200)] for r, s, n, d in zip(row.tolist(), start.tolist(), count.tolist(), digit.tolist()) for i in range(n)} != want

@@ -1,30 +1,25 @@
-"""Vectorised hashes of words, word shingles and byte windows.
+"""Vectorised hashes of words, word shingles and byte ranges.
 
-A sequence b is hashed as sum T[b_i] * M^i modulo 2^64 over a table T of fixed random values, taken from one running
-sum over the whole batch; powers of M and of its inverse move a window's hash to position 0.
+A range of bytes is hashed in blocks of eight: every block goes through a bijection of 64 bits that mixes all of them
+before the next one is added, so that no regular structure of the bytes (as in a sum of powers) carries over into equal
+hashes. Sets of shingles are told apart by two such hashes, 128 bits.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-_M = 0x9E3779B97F4A7C15 | 1
-_table = np.random.Generator(np.random.PCG64(20240501)).integers(0, 2**64, 256, dtype=np.uint64)
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _space = np.zeros(256, bool)
 _space[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """M^0..M^(n-1) and the same for the inverse of M."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_M, pow(_M, -1, 2**64))):
-            p = np.full(max(n, 1 << 20), base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+#: How many bytes of each block belong to the range, as masks.
+_mask = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+#: Multipliers of the two hashes of a range.
+_odd = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Bytes of a range that are hashed block by block, beside the others of a batch; longer ones come one by one.
+LONG = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,20 +32,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def running(raw: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] = sum of T[b_k] * M^k over i <= k < j."""
-    s = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_table[raw] * powers(len(raw))[0], out=s[1:], dtype=np.uint64)
-    return s
-
-
-def windows(raw: np.ndarray, width: int, s: np.ndarray | None = None) -> np.ndarray:
-    """Hash of each width-byte window, unmixed."""
-    s = running(raw) if s is None else s
-    n = len(raw) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    return (s[width:] - s[:-width]) * powers(n)[1]
+def blocks(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a little-endian number, zeros behind the end: a view, nothing is copied
+    but the bytes once."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+
+
+def ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the bytes of each range; two lanes are independent of each other. at: blocks(raw), if there already."""
+    at = blocks(raw) if at is None else at
+    n = end - start
+    h = mix(n.astype(np.uint64) * _odd[lane] + np.uint64(lane + 1))
+    live = np.flatnonzero((n > 0) & (n <= LONG))
+    for k in range(0, LONG, 8):
+        if k:
+            live = live[n[live] > k]
+        if not len(live):
+            break
+        v = at[start[live] + k]
+        rest = n[live] - k
+        if rest.min() < 8:
+            v = v & _mask[np.minimum(rest, 8)]
+        h[live] = mix((h[live] ^ v) * _odd[lane])
+    for i in np.flatnonzero(n > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].tobytes(), lane)
+    return h
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,8 +76,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray
     last[cuts] = solid[cuts]
     a = np.flatnonzero(first)
     b = np.flatnonzero(last) + 1
-    s = running(raw)
-    return a, b, mix((s[b] - s[a]) * powers(len(raw) + 1)[1][a] + (b - a).astype(np.uint64))
+    return a, b, ranges(raw, a, b)
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

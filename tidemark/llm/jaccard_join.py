@@ -2,20 +2,25 @@
 
 Prefix filter under one global token order, with relations between sets used to skip work:
 
-* Sets that are equal are one node; only their members remember them.
+* Sets that are equal (by 128 bits) are one node; a task puts each of its sets into the index once, however many of its
+  documents have it.
 * The token order puts tokens by the load of their bucket in a table of counts over all documents (frequent buckets
   last), then by hash. Any fixed order gives right results; this one keeps frequent passages out of prefixes.
-* A token's index list is sorted by set size. Its first (smallest) set is the pivot. Round 1 links the other sets of
-  the list to the pivot only, so that a list of n near copies makes n pairs, not n * n.
-* A set that is similar to its pivot takes over the pivot's component as its answer. Later rounds visit only lists that
-  still hold two components, and in them only pairs across components; it runs over blocks of the list, and skips a
-  block when the sizes there cannot reach the threshold or all its sets are in one component; positions leave out
-  single pairs.
+* A token's index list is sorted by set size; lists of crowded buckets are dealt out in parts, by hash of the set. The
+  first (smallest) set of a list or part is its pivot. Round 1 verifies for each set the one pivot with which it shares
+  most prefix tokens, so that n near copies make n - 1 pairs and links of round 1 are a forest.
+* A set that is similar to another takes over its component as its answer. Later rounds visit only lists that still hold
+  two components, and in them only pairs across components: of each set and each other component first the nearest pair
+  by sketch, then the nearest few, and in the end all that are left. A list is cut into blocks of positions in it; two
+  blocks are skipped whole if the sizes and prefix positions in them cannot reach the threshold, or if they lie in one
+  component.
 * A pair is verified only if its sizes, positions, and either its number of common prefix tokens (round 1) or the
-  parity sketches of its sets (later rounds) allow the threshold. Verification compares the whole sets.
+  parity sketches of its sets (later rounds) allow the threshold. Verification compares the whole sets; a task skips
+  pairs whose components it has joined before, so that what it returns is a forest of components.
+* After each round, components are contracted: new links are a graph of components, and only that graph is solved.
 
-Every pair that could lie over the threshold is verified, or is already inside one component, so components are exact. The links
-themselves are not a result: pairs inside one component are not verified once it has formed.
+Every pair that could lie over the threshold is verified, or is already inside one component, so components are exact. The
+links themselves are not a result: pairs inside one component are not verified once it has formed.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pieces, small_batches, stage, utf8
@@ -34,17 +39,20 @@ from tidemark.llm.hashing import mix, shingle_sets
 
 #: Buckets of the count table; a constant, whatever the input.
 BUCKET_BITS = 20
-#: Rounds across components: first each set of a list with the one nearest to it, which joins most, then all pairs that
-#: still lie across components.
-ROUNDS = (1, 1, None)
+#: Rounds across components: one list in so many is looked at (by hash of its token), and so many nearest pairs of a set
+#: and another component are verified. The first ones join most and need not be complete; rounds end when one that has
+#: looked at all lists has left nothing out.
+ROUNDS = ((4, 1), (4, 1), (1, 4), (1, 64), (1, None))
 #: Bits of a set's sketch.
 SKETCH = 1024
-#: The rounds of nearest pairs look at one list in so many, by hash of its token; they need not be complete.
-NEAR = 4
-#: Sets of one list that one round-2 task holds at a time.
-BLOCK = 2048
+#: Sets of one list that one task of a later round holds at a time, and rows of the blocks that it skips.
+BLOCK, SKIP = 2048, 64
 #: Members that one task verifies against a pivot.
 MEMBERS = 512
+#: Rows of a list from which on it is dealt out in parts, unless lists are that long anyhow.
+PART = 4096
+#: Sets that a task remembers having indexed; beyond that it forgets, and a copy makes one more row.
+SEEN = 1_000_000
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int):
@@ -56,15 +64,24 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int):
             yield batch.slice(lo, hi - lo), *shingle_sets(part, offs[lo : hi + 1] - offs[lo], width)
 
 
-def _print(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """A 63-bit fingerprint of each set, with its size mixed in; 0 for an empty one."""
-    s = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(mix(values + np.uint64(0x632BE59BD9B4E019)), out=s[1:], dtype=np.uint64)
-    n = np.diff(edge).astype(np.uint64)
-    h = mix((s[edge[1:]] - s[edge[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + n) >> np.uint64(1)
-    h[h == 0] = 1
-    h[n == 0] = 0
-    return h.astype(np.int64)
+def _prints(values: np.ndarray, edge: np.ndarray, apart: dict[tuple[int, int], int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of each set, of 63 and 64 bits, with its size mixed in; 0 for an empty one. The first is the set's
+    name; apart has other names for sets that share theirs with another one."""
+    n, out = np.diff(edge).astype(np.uint64), []
+    for add, by in ((0x632BE59BD9B4E019, 0x9E3779B97F4A7C15), (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F)):
+        s = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(mix(values * np.uint64(by) + np.uint64(add)), out=s[1:], dtype=np.uint64)
+        h = mix((s[edge[1:]] - s[edge[:-1]]) * np.uint64(by) + n)
+        h[n == 0] = 0
+        out.append(h)
+    name = (out[0] >> np.uint64(1)).astype(np.int64)
+    name[(name == 0) & (n > 0)] = 1
+    other = out[1].view(np.int64)
+    if apart:
+        for i, k in enumerate(zip(name.tolist(), other.tolist())):
+            if k in apart:
+                name[i] = apart[k]
+    return name, other
 
 
 def _sketch(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
@@ -118,115 +135,146 @@ def _levels(table: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(table, 1) / usual)), 0, 63).astype(np.uint8)
 
 
-def _postings(docs: DataFrame, levels, width: int, num: int, den: int) -> DataFrame:
-    """(token, fp, n, pos) for each prefix token of each document's set."""
+def _parts(table: np.ndarray) -> np.ndarray:
+    """Into how many parts the lists of each bucket's tokens are dealt."""
+    return np.ceil(table / max(PART, 4 * table.sum() / len(table))).clip(1, 1 << 20).astype(np.int32)
+
+
+def _postings(docs: DataFrame, tables, width: int, num: int, den: int) -> DataFrame:
+    """(token, fp, n, pos, part, parts) for each prefix token of each set of a task."""
 
     def run(batches):
-        lv = levels.value
+        lv, deal, apart = tables.value
+        seen: set[int] = set()
         for _, values, edge in _sets(batches, width):
             n = np.diff(edge)
-            fp = _print(values, edge)
-            key = (lv[(values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (values >> np.uint64(7))
-            for i in range(len(n)):
-                key[edge[i] : edge[i + 1]].sort()
+            fp, _ = _prints(values, edge, apart)
+            if len(seen) > SEEN:
+                seen.clear()
+            fresh = np.zeros(len(n), bool)
+            for i, f in enumerate(fp.tolist()):
+                if f not in seen:
+                    seen.add(f)
+                    fresh[i] = True
+            bucket = (values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+            key = (lv[bucket].astype(np.uint64) << np.uint64(57)) | (values >> np.uint64(7))
+            for i in np.flatnonzero(fresh):
+                order = np.argsort(key[edge[i] : edge[i + 1]])
+                key[edge[i] : edge[i + 1]] = key[edge[i] : edge[i + 1]][order]
+                bucket[edge[i] : edge[i + 1]] = bucket[edge[i] : edge[i + 1]][order]
             row = np.repeat(np.arange(len(n)), n)
             pos = np.arange(len(key)) - edge[row]
-            use = pos < _prefix(n, num, den)[row]
+            use = fresh[row] & (pos < _prefix(n, num, den)[row])
             row, pos = row[use], pos[use]
-            yield pa.RecordBatch.from_pydict({"token": pa.array(key[use].astype(np.int64)), "fp": pa.array(fp[row]), "n": pa.array(n[row].astype(np.int32)), "pos": pa.array(pos.astype(np.int32))})
+            parts = deal[bucket[use]]
+            yield pa.RecordBatch.from_pydict({"token": pa.array(key[use].astype(np.int64)), "fp": pa.array(fp[row]), "n": pa.array(n[row].astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "part": pa.array((fp[row] % parts).astype(np.int32)), "parts": pa.array(parts)})
 
-    return docs.select("text").mapInArrow(run, "token long, fp long, n int, pos int")
+    return docs.select("text").mapInArrow(run, "token long, fp long, n int, pos int, part int, parts int")
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """Index lists with two different sets or more, each row with its list's pivot: one pass over sorted rows that
-    remembers one row."""
+    """Index lists with two different sets or more, each row with the pivot of its list or part: one pass over sorted rows
+    that remembers one row. Rows of lists in parts all stay, as other parts may have more."""
+    names = ["token", "fp", "n", "pos", "pivot", "pivot_n"]
 
     def run(batches):
-        last = None  # token, fp, n, pos of the last row; then the pivot's fp, n, pos; whether the pivot went out
+        last = None  # token, part and fp of the last row; fp, n, pos of its pivot; whether the pivot went out
         for b in batches:
-            t, f, n, p = (np.asarray(b.column(i)) for i in range(4))
+            t, f, n, p, part, parts = (np.asarray(b.column(i)) for i in range(6))
             if not len(t):
                 continue
             head = np.ones(len(t), bool)
-            head[1:] = t[1:] != t[:-1]
+            head[1:] = (t[1:] != t[:-1]) | (part[1:] != part[:-1])
             again = np.zeros(len(t), bool)
             again[1:] = ~head[1:] & (f[1:] == f[:-1])
-            goes_on = last is not None and last[0] == t[0]
+            goes_on = last is not None and last[0] == t[0] and last[1] == part[0]
             if goes_on:
                 head[0] = False
-                again[0] = last[1] == f[0]
+                again[0] = last[2] == f[0]
             start = np.maximum.accumulate(np.where(head, np.arange(len(t)), -1))
-            pf, pn, pp = (np.where(start >= 0, x[np.maximum(start, 0)], last[k] if last else 0) for x, k in ((f, 4), (n, 5), (p, 6)))
+            pf, pn = (np.where(start >= 0, x[np.maximum(start, 0)], last[k] if last else 0) for x, k in ((f, 3), (n, 4)))
             out = ~head & ~again
-            pivots = np.unique(start[out])
-            more = []
-            if goes_on and (start[out] == -1).any() and not last[7]:
-                more.append((last[0], last[4], last[5], last[6]))
-            pivots = pivots[pivots >= 0]
-            cols = [np.concatenate([x[out], x[pivots], np.array([r[k] for r in more], x.dtype)]) for k, x in enumerate((t, f, n, p))]
-            piv = [np.concatenate([x[out], y[pivots], np.array([r[k] for r in more], y.dtype)]) for k, x, y in ((1, pf, f), (2, pn, n), (3, pp, p))]
+            pivots = np.union1d(start[out], np.flatnonzero(head & (parts > 1)))
+            rows = np.concatenate([np.flatnonzero(out), pivots[pivots >= 0]])
+            cols = [x[rows] for x in (t, f, n, p, pf, pn)]
+            if goes_on and -1 in pivots and not last[6]:
+                cols = [np.append(c, v) for c, v in zip(cols, (last[0], last[3], last[4], last[5], last[3], last[4]))]
             if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(piv[0].astype(np.int64)), pa.array(piv[1].astype(np.int32)), pa.array(piv[2].astype(np.int32))], ["token", "fp", "n", "pos", "pivot", "pivot_n", "pivot_pos"])
-            sent = bool((start[out] == start[-1]).any()) or (start[-1] == -1 and goes_on and last[7])
-            last = (t[-1], f[-1], n[-1], p[-1], pf[-1], pn[-1], pp[-1], sent)
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if k in ("token", "fp", "pivot") else np.int32)) for k, c in zip(names, cols)], names)
+            g = start[-1]
+            sent = bool(g in pivots) or (g == -1 and bool(last[6]))
+            last = (t[-1], part[-1], f[-1], *((f[g], n[g], p[g]) if g >= 0 else last[3:6]), sent)
 
-    ordered = postings.repartition("token").sortWithinPartitions("token", "n", "fp")
-    return ordered.mapInArrow(run, "token long, fp long, n int, pos int, pivot long, pivot_n int, pivot_pos int")
+    ordered = postings.repartition("token", "part").sortWithinPartitions("token", "part", "n", "fp")
+    return ordered.mapInArrow(run, "token long, fp long, n int, pos int, pivot long, pivot_n int")
 
 
-def _likely(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (a, b, a_n, b_n), one row per common prefix token -> distinct pairs whose sizes and number of common
-    prefix tokens allow the threshold. Tokens beyond both prefixes add at most the longer rest."""
+def _starred(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """For each set the pair (a, b) of a pivot a and the set b with the most common prefix tokens, if sizes and that
+    number allow the threshold: tokens beyond both prefixes add at most the longer rest."""
+    pairs = lists.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b"), F.col("pivot_n").alias("a_n"), F.col("n").alias("b_n"))
     need = f"ceil({num} * (a_n + b_n) / {num + den})"
     rest = f"greatest(floor({num} * a_n / {den}), floor({num} * b_n / {den}))"
     pairs = pairs.where(f"{den} * a_n >= {num} * b_n and {den} * b_n >= {num} * a_n").groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.count("*").alias("common"))
-    return pairs.where(f"common + {rest} >= {need}").select("a", "b")
+    best = pairs.where(f"common + {rest} >= {need}").groupBy("b").agg(F.max(F.struct("common", F.col("a"))).alias("best"))
+    return best.select(F.col("best.a").alias("a"), "b", F.col("best.a").alias("ra"), F.col("b").alias("rb"))
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold. Texts meet by a; a much-paired a goes to as many tasks as
-    its partners need."""
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, apart: dict, width: int, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, b) in components ra and rb, those whose whole sets reach the threshold, as edges (a, b) of
+    components: a forest per task. Texts meet by a; a much-paired a goes to as many tasks as its partners need."""
     reps = nodes.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    load = pairs.groupBy("a").agg(F.count("*").alias("k")).select("a", F.ceil(F.col("k") / MEMBERS).cast("int").alias("parts"))
-    pairs = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
-    roles = pairs.select(F.col("b").alias("fp"), F.struct("a", "salt", F.lit(1).alias("kind")).alias("role")).union(load.select(F.col("a").alias("fp"), F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda s: F.struct(F.col("a").alias("a"), s.alias("salt"), F.lit(0).alias("kind")))).alias("role")))
-    roles = roles.join(reps, "fp").select("doc_id", "fp", "role")
+    load = pairs.groupBy("a", "ra").agg(F.count("*").alias("k")).select("a", "ra", F.ceil(F.col("k") / MEMBERS).cast("int").alias("parts"))
+    pairs = pairs.join(load.drop("ra"), "a").select("a", "b", "rb", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
+    member = pairs.select(F.col("b").alias("fp"), F.struct("a", "salt", F.lit(1).alias("kind"), F.col("rb").alias("root")).alias("role"))
+    pivot = load.select(F.col("a").alias("fp"), F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda s: F.struct(F.col("a").alias("a"), s.alias("salt"), F.lit(0).alias("kind"), F.col("ra").alias("root")))).alias("role"))
+    roles = member.union(pivot).join(reps, "fp").select("doc_id", "fp", "role")
     texts = docs.join(roles, "doc_id")
-    rows = texts.select("role.a", "role.salt", "role.kind", "fp", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+    rows = texts.select("role.a", "role.salt", "role.kind", "role.root", "fp", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
 
     def run(batches):
-        held, of = np.zeros(0, np.uint64), None
+        held, of, of_root = np.zeros(0, np.uint64), None, 0
+        up: dict[int, int] = {}
+
+        def top(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
         for part, values, edge in _sets(batches, width):
-            a, salt, kind, fp = (part.column(i).to_pylist() for i in range(4))
-            prints, x, y = _print(values, edge).tolist(), [], []
-            for i in range(len(a)):
-                if prints[i] != fp[i] and kind[i] or not kind[i] and prints[i] != a[i]:  # another row of the same doc_id
+            a, salt, kind, root, fp = (part.column(i).to_pylist() for i in range(5))
+            (names, _), x, y = _prints(values, edge, apart), [], []
+            for i, name in enumerate(names.tolist()):
+                if name != fp[i]:  # another row of the same doc_id
                     continue
                 mine = values[edge[i] : edge[i + 1]]
                 if kind[i] == 0:
-                    held, of = mine.copy(), (a[i], salt[i])
-                elif of == (a[i], salt[i]):
+                    held, of, of_root = mine.copy(), (a[i], salt[i]), root[i]
+                elif of == (a[i], salt[i]) and (r := top(of_root)) != (q := top(root[i])):
                     n, m = len(held), len(mine)
                     both = int(np.isin(mine, held, assume_unique=True).sum()) if n and m else 0
                     if den * both >= num * (n + m - both):
-                        x.append(a[i])
-                        y.append(fp[i])
+                        up[max(r, q)] = min(r, q)
+                        x.append(r)
+                        y.append(q)
             if x:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, num: int, den: int, best: int | None) -> DataFrame:
-    """Pairs of different components in one list, from the lists that hold two components or more. A list longer than
-    BLOCK is dealt to pairs of its blocks.
+def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, tried: DataFrame, num: int, den: int, near: int, most: int | None) -> DataFrame:
+    """Untried pairs (a, b, ra, rb, more) of different components in one list, from the lists that hold two components or
+    more. A list longer than BLOCK is dealt to pairs of its blocks.
 
     A pair that reaches the threshold shares a token among the first n - need + 1 of one set and m - need + 1 of the
     other, so that only such positions count; a token at positions i and j allows an overlap of min(i, j) before it and
-    min(n - i, m - j) from it on; and the sets' sketches differ in n + m - 2 * need bits at most. best: a set's pairs with
-    smaller ones in a list, only so many with the nearest sketches; None: all of them."""
-    lists = lists if best is None else lists.where(F.pmod(F.xxhash64("token"), F.lit(NEAR)) == 0)
+    min(n - i, m - j) from it on; and the sets' sketches differ in n + m - 2 * need bits at most. most: of a set's pairs
+    with smaller ones in another component, only so many with the nearest sketches (more says that some were left out);
+    None: all of them."""
+    lists = lists.select("token", "fp", "n", "pos")
+    lists = lists if near == 1 else lists.where(F.pmod(F.xxhash64("token"), F.lit(near)) == 0)
     rows = lists.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     open_ = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("token", F.ceil(F.col("k") / BLOCK).cast("int").alias("nb"))
     rows = rows.join(open_, "token").join(nodes.groupBy("fp").agg(F.first("sketch").alias("sketch")), "fp")
@@ -235,15 +283,20 @@ def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, num: int, den:
     rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "n", "pos", "root", "mine", "sketch")
     ordered = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "fp")
 
-    def pairs_of(g):
-        fp, n, pos, root, mine, sketch, cross = g
-        for lo in range(0, len(fp), 64):  # a block of the list, sorted by size
-            hi = min(lo + 64, len(fp))
-            # sets before the block are no larger; those under num/den of its smallest set are skipped whole
-            first = int(np.searchsorted(n, -(-num * int(n[lo]) // den)))
-            if (root[lo:hi] == root[lo]).all() and (root[first:hi] == root[lo]).all():
+    def pairs_of(fp, n, pos, root, mine, sketch, cross):
+        cut = np.arange(0, len(fp), SKIP)
+        size, reach, behind = n[cut], np.maximum.reduceat(pos, cut), np.maximum.reduceat(n - pos, cut)
+        lo_root, hi_root = np.minimum.reduceat(root, cut), np.maximum.reduceat(root, cut)
+        for k, lo in enumerate(cut.tolist()):  # a block of the list, sorted by size, against it and the blocks before
+            hi = min(lo + SKIP, len(fp))
+            least = _need(size[k], size[: k + 1], num, den)
+            largest = n[np.minimum(cut[: k + 1] + SKIP, len(fp)) - 1]
+            use = (den * largest >= num * size[k]) & (np.minimum(reach[k], reach[: k + 1]) + np.minimum(behind[k], behind[: k + 1]) >= least)
+            use &= ~((lo_root[: k + 1] == hi_root[k]) & (hi_root[: k + 1] == lo_root[k]))
+            if not use.any():
                 continue
-            x, y = np.arange(lo, hi)[:, None], np.arange(first, hi)[None, :]
+            y = np.flatnonzero(np.repeat(use, SKIP)[:hi])
+            x = np.arange(lo, hi)[:, None]
             need = _need(n[x], n[y], num, den)
             ok = (y < x) & (root[x] != root[y]) & (den * n[y] >= num * n[x])
             ok &= (pos[x] <= n[x] - need) & (pos[y] <= n[y] - need)
@@ -251,25 +304,29 @@ def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, num: int, den:
             if cross:
                 ok &= mine[x] != mine[y]
             i, j = np.nonzero(ok)
-            bits = np.bitwise_count(sketch[lo + i] ^ sketch[first + j]).sum(1)
-            near = bits <= n[lo + i] + n[first + j] - 2 * need[i, j]
-            i, j, bits = lo + i[near], first + j[near], bits[near]
-            if best is not None and len(i) > best:
-                order = np.lexsort((bits, i))
-                i, j = i[order], j[order]
-                start = np.maximum.accumulate(np.where(np.append(True, i[1:] != i[:-1]), np.arange(len(i)), 0))
-                take = np.arange(len(i)) - start < best
-                i, j = i[take], j[take]
+            need, i, j = need[i, j], lo + i, y[j]
+            bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1)
+            fits = bits <= n[i] + n[j] - 2 * need
+            i, j, bits = i[fits], j[fits], bits[fits]
+            more = np.zeros(len(i), bool)
+            if most is not None and len(i):
+                order = np.lexsort((fp[j], bits, root[j], i))
+                i, j, bits = i[order], j[order], bits[order]
+                new = np.append(True, (i[1:] != i[:-1]) | (root[j[1:]] != root[j[:-1]]))
+                rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+                more = np.append(rank[1:], 0) == most
+                take = rank < most
+                i, j, bits, more = i[take], j[take], bits[take], more[take]
             if len(i):
-                yield fp[i], fp[j]
+                yield fp[j], fp[i], root[j], root[i], bits, more
 
     def run(batches):
         key, held = None, []
 
         def flush():
             g = [np.concatenate(c) for c in zip(*held)]
-            for a, b in pairs_of((*g, key[1] != key[2])):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            for a, b, ra, rb, bits, more in pairs_of(*g, key[1] != key[2]):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (a, b, ra, rb)), pa.array(bits.astype(np.int32)), pa.array(more)], ["a", "b", "ra", "rb", "bits", "more"])
 
         for b in batches:
             if not b.num_rows:
@@ -288,7 +345,37 @@ def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, num: int, den:
         if key is not None:
             yield from flush()
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    found = ordered.mapInArrow(run, "a long, b long, ra long, rb long, bits int, more boolean")
+    found = found.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("ra", "rb", "bits")], F.max("more").alias("more"))
+    found = found.join(tried, ["a", "b"], "left_anti")
+    if most is not None:
+        w = Window.partitionBy("b", "ra")
+        found = found.withColumns({"k": F.row_number().over(w.orderBy("bits", "a")), "of": F.count("*").over(w)}).withColumn("more", F.col("more") | (F.col("of") > most)).where(F.col("k") <= most)
+    return found.select("a", "b", "ra", "rb", "more")
+
+
+def _apart(nodes: DataFrame) -> dict[tuple[int, int], int]:
+    """Other names for sets that share their first fingerprint with another set: all but the least second one of each
+    such name. Names have 63 bits, so a corpus of n sets has n * n / 2^64 of them (five for ten thousand million)."""
+    shared = nodes.groupBy("fp").agg(F.min("fp2").alias("lo"), F.max("fp2").alias("hi")).where("lo <> hi")
+    rows = nodes.join(shared, "fp").where("fp2 <> lo").select("fp", "fp2").distinct().limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise RuntimeError("too many sets share a fingerprint")
+    out, taken = {}, set()
+    for r in sorted(map(tuple, rows)):
+        name = r[1] & (2**63 - 1)
+        while name in taken or not name or nodes.where(F.col("fp") == name).limit(1).count():
+            name = (name + 1) & (2**63 - 1)
+        taken.add(name)
+        out[r] = name
+    return out
+
+
+def _contracted(spark: SparkSession, comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, root) after edges (a, b) between roots: only the graph of roots is solved."""
+    moved = stage(spark, components(spark, edges), "moved")
+    after = comp.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stage(spark, after.union(moved.join(comp, "node", "left_anti").select("node", "root")), "comp")
 
 
 def joined(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float | Fraction = Fraction(4, 5)) -> DataFrame:
@@ -296,34 +383,43 @@ def joined(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: floa
 
     Null and empty texts have an empty set, which links with nothing; under width words the whole sequence is one
     shingle; repeated shingles count once; equal sets link at once, however many documents have them. Rows without a
-    doc_id give no row; other columns of docs are not looked at; an empty table gives an empty one.
+    doc_id link with nothing and have no component (null); repeated rows give a row each; other columns of docs are not
+    looked at; an empty table gives an empty one.
     """
     small_batches(spark)
     share = Fraction(threshold).limit_denominator(1000)
     num, den = share.numerator, share.denominator
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    docs = docs.select("doc_id", "text")
+    keyed = docs.where("doc_id is not null")
 
     def node(batches):
         for part, values, edge in _sets(batches, width):
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).cast(pa.int64()), "fp": pa.array(_print(values, edge)), "n": pa.array(np.diff(edge).astype(np.int64)), "sketch": pa.array([x.tobytes() for x in _sketch(values, edge)], pa.binary())})
-
-    levels = spark.sparkContext.broadcast(_levels(counted(spark, docs, width)))
-    nodes = stage(spark, docs.mapInArrow(node, "doc_id long, fp long, n long, sketch binary"), "nodes")
-    lists = stage(spark, _lists(_postings(docs, levels, width, num, den)), "lists", free=True)
-    stars = lists.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b"), F.col("pivot_n").alias("a_n"), F.col("n").alias("b_n"))
-    tried = stage(spark, _likely(stars, num, den), "pairs", free=True)
-    first = stage(spark, _verified(docs, nodes, tried, width, num, den), "links", free=True)
-    comp = stage(spark, components(spark, first), "comp")
-    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = first
-    for best in ROUNDS:
-        rest = stage(spark, _across(lists, nodes, comp, num, den, best).join(tried, ["a", "b"], "left_anti"), "pairs", free=True)
-        if not rest.limit(1).count():
-            continue
-        found = found.union(stage(spark, _verified(docs, nodes, rest, width, num, den), "links", free=True))
-        comp = stage(spark, components(spark, found), "comp")
-        tried = tried.union(rest)
-    class_of = nodes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+            fp, fp2 = _prints(values, edge)
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).cast(pa.int64()), "fp": pa.array(fp), "fp2": pa.array(fp2), "n": pa.array(np.diff(edge).astype(np.int64)), "sketch": pa.array([x.tobytes() for x in _sketch(values, edge)], pa.binary())})
+
+    table = counted(spark, keyed, width)
+    every = stage(spark, docs.mapInArrow(node, "doc_id long, fp long, fp2 long, n long, sketch binary"), "nodes")
+    apart = _apart(every)
+    if apart:
+        new = F.element_at(F.create_map(*[F.lit(x) for (f, g), name in apart.items() for x in (f"{f} {g}", name)]), F.concat_ws(" ", "fp", "fp2"))
+        every = every.withColumn("fp", F.coalesce(new, "fp"))
+    nodes = every.where("doc_id is not null and n > 0").select("doc_id", "fp", "n", "sketch")
+    tables = spark.sparkContext.broadcast((_levels(table), _parts(table), apart))
+    lists = stage(spark, _lists(_postings(keyed, tables, width, num, den)), "lists", free=True)
+    pairs = stage(spark, _starred(lists, num, den), "pairs", free=True)
+    comp = _contracted(spark, spark.createDataFrame([], "node long, root long"), stage(spark, _verified(keyed, nodes, pairs, apart, width, num, den), "links", free=True))
+    tried = pairs.select("a", "b")  # the set that comes first by size and name is always a
+    for near, most in ROUNDS:
+        found = _across(lists, nodes, comp, tried, num, den, near, most)
+        pairs = stage(spark, found, "pairs", free=True)
+        some, left = pairs.agg(F.count("*"), F.max("more")).first()
+        if some:
+            comp = _contracted(spark, comp, stage(spark, _verified(keyed, nodes, pairs, apart, width, num, den), "links", free=True))
+            tried = tried.union(pairs.select("a", "b"))
+        if near == 1 and not left:
+            break
+    class_of = nodes.groupBy("fp").agg(F.min("doc_id").alias("least")).join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = class_of.groupBy("root").agg(F.min("least").alias("component_id"))
     of_set = class_of.join(least, "root").select("fp", "component_id")
-    return nodes.join(of_set, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    whole = every.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("fp")).alias("fp"))
+    return whole.join(of_set, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

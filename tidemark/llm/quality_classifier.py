@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import lookup_join, pieces, small_batches, stage, utf8
-from tidemark.llm.hashing import mix, running, words
-from tidemark.llm.hashing import powers as powers_of
+from tidemark.llm.hashing import ranges, words
 
 ROWS = (16384, 1024)  # rows of the tables of words and of shapes
 DIM = 32  # length of a vector
@@ -51,8 +50,7 @@ def _tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np.ndar
     keep[1:] = kind[1:] != kind[:-1]
     keep[a] = True
     at = np.concatenate([[0], np.cumsum(keep)])
-    s = running(kind[keep])
-    shape = mix((s[at[b]] - s[at[a]]) * powers_of(len(raw) + 1)[1][at[a]])
+    shape = ranges(kind[keep], at[a], at[b])
     return row, [(h % np.uint64(ROWS[0])).astype(np.int64), (shape % np.uint64(ROWS[1])).astype(np.int64)]
 
 
