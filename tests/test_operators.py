@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers, text
-from tidemark.operators import clusters, control, graphs, multisets, sinks, windows
+from tidemark.operators import clusters, control, graphs, multisets, sinks, stars, windows
 from tidemark.sources import files, generators
 from tidemark.streaming import streams
 
@@ -26,6 +26,43 @@ def test_components(spark):
     assert got == {n: 1 for n in (1, 2, 3, 4, 5, 11, 12, 15, 16)} | {6: 6, 7: 6} | {n: 8 for n in (8, 9, 10, 13, 14)} | {17: 17}
 
 
+def roots(nodes, links):
+    up = {n: n for n in nodes}
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_star_contraction(spark):
+    import random
+
+    rng = random.Random(1)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 800)] + [(3, 3)]
+    got = dict(rows(stars.components(spark, spark.createDataFrame([*links, (None, 1)], "a long, b long"))))
+    want = roots({n for e in links for n in e}, links)
+    assert got == {n: r for n, r in want.items() if any(n in e and e[0] != e[1] for e in links)}
+    assert set(r for n, r in got.items() if n >= 300) == {300}  # a path of 500 steps has one label
+    assert stars.components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from tidemark.operators import staging
+
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.work_dir(Elsewhere)
+
+
 def test_closure(spark):
     assert graphs.closure(frame(spark, COMPONENTS)).count() == 35
     assert rows(graphs.closure(frame(spark, [(1, 2), (2, 1)]), loops=True)) == [(1, 1), (1, 2), (2, 1), (2, 2)]
@@ -157,6 +194,19 @@ def test_files(spark, tmp_path):
     assert str(got["date"]) == "2013-01-02" and got["borough"] == "X, Y" and got["killed"] == 1
 
 
+def test_lines_and_counted_records(spark, tmp_path):
+    (tmp_path / "t").write_text("a b\nc\n")
+    assert rows(files.lines(spark, str(tmp_path / "t"))) == [("a b",), ("c",)]
+    assert rows(files.lines(spark, str(tmp_path / "t"), whole=True)) == [("a b\nc\n",)]
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "x").write_text("a\nb\n")
+    assert rows(streams.run(files.line_stream(spark, str(tmp_path / "s"), 1))) == [("a",), ("b",)]
+    (tmp_path / "c.csv").write_text("3\n1,2\n,\n5,\n")
+    assert rows(files.counted_records(spark, str(tmp_path / "c.csv"), files.PAIR).na.fill(-1)) == [(-1, -1), (1, 2), (5, -1)]
+    cut = spark.createDataFrame([("é" * 20,), ("abc",)], "w string").select(text.cut_words(F.col("w"), 35).cast("binary").alias("b"), "w")
+    assert {r["w"]: bytes(r["b"]) for r in cut.collect()} == {"é" * 20: ("é" * 20).encode()[:35], "abc": b"abc"}
+
+
 def test_generators(spark):
     a, b = generators.events(spark.range(1000)), generators.events(spark.range(1000).repartition(9))
     assert sinks.verified(a, b)
@@ -177,20 +227,60 @@ def test_sinks(spark, tmp_path):
 
 
 def test_closed_auctions(spark, tmp_path):
-    kind = "auction long, kind string, ts timestamp, at_ms long, expires_ms long, reserve long, seller long, price long, bidder long"
-    t = "timestamp_millis"
-    early = spark.sql(f"""SELECT 1L auction, 'bid' kind, {t}(500) ts, 500L at_ms, 0L expires_ms, 0L reserve, 0L seller, 70L price, 9L bidder
-      UNION ALL SELECT 1, 'auction', {t}(100), 100, 1000, 50, 3, 0, 0 UNION ALL SELECT 1, 'bid', {t}(600), 600, 0, 0, 0, 70, 8
-      UNION ALL SELECT 1, 'bid', {t}(700), 700, 0, 0, 0, 20, 7 UNION ALL SELECT 1, 'bid', {t}(1500), 1500, 0, 0, 0, 900, 6""")
-    late = spark.sql(f"SELECT 2L auction, 'auction' kind, {t}(900000) ts, 900000L at_ms, 999000L expires_ms, 1L reserve, 4L seller, 0L price, 0L bidder")
-    early.coalesce(1).write.parquet(str(tmp_path / "in/1"))
-    late.coalesce(1).write.parquet(str(tmp_path / "in/2"))
+    """Bids before their auction is known count; one at the very end of an auction, or later, does not."""
+    kind = "auction long, kind string, ts timestamp, at_ms long, expires_ms long, reserve long, seller long, category int, price long, bidder long"
+    early = [(1, "bid", 500, 0, 0, 0, 0, 70, 9), (1, "auction", 100, 1000, 50, 3, 7, 0, 0), (1, "bid", 1000, 0, 0, 0, 0, 800, 5), (1, "bid", 600, 0, 0, 0, 0, 70, 8), (1, "bid", 700, 0, 0, 0, 0, 20, 7), (1, "bid", 1500, 0, 0, 0, 0, 900, 6)]
+    for i, part in enumerate((early, [(2, "auction", 900000, 999000, 1, 4, 7, 0, 0)])):
+        df = spark.createDataFrame(part, "auction long, kind string, at_ms long, expires_ms long, reserve long, seller long, category int, price long, bidder long")
+        df.withColumn("ts", F.timestamp_millis("at_ms")).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")).withWatermark("ts", "0 seconds")
-    assert rows(streams.run(streams.closed_auctions(stream))) == [(1, 3, 9, 70)]
+    assert rows(streams.run(streams.closed_auctions(stream))) == [(1, 3, 7, 1000, 9, 70)]
+
+
+def test_late_rows_and_the_flush(spark):
+    """A window closes when the watermark passes it: rows that come later are left out, and the last windows close with
+    the flush only."""
+    at = lambda *s: spark.createDataFrame([(i,) for i in s], "s long").select(F.timestamp_seconds("s").alias("ts"), F.lit("w").alias("word"))
+    first = at(1, 2, 61, 62, 63, 130)
+    for flush, want in ((True, [(60, 2), (120, 3), (180, 1)]), (False, [(60, 2), (120, 3)])):
+        counts = streams.replayed(first, "ts", 3, flush).withWatermark("ts", "0 seconds").groupBy(F.window("ts", "60 seconds").alias("w")).agg(F.count("*").alias("n"))
+        got = rows(streams.run(counts).select(F.unix_timestamp("w.end"), "n"))
+        assert [g for g in got if g in want] == got and (not flush or got == want)
+    reports = []
+    path = streams.folder(spark, "late")
+    for i, part in enumerate((at(1, 2), at(200), at(210), at(3), at(500))):  # 3 comes two triggers behind a watermark of 200
+        part.coalesce(1).write.parquet(f"{path}/{i}")
+    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path).withWatermark("ts", "0 seconds")
+    got = rows(streams.run(stream.groupBy(F.window("ts", "60 seconds").alias("w")).agg(F.count("*").alias("n")), progress=reports).select(F.unix_timestamp("w.end"), "n"))
+    assert got == [(60, 2), (240, 2)]
+    assert len(reports) >= 4 and sum(s["numRowsDroppedByWatermark"] for r in reports for s in r["stateOperators"]) == 1
+
+
+def test_right_rows_wait_for_a_left_one(spark):
+    left = spark.createDataFrame([(1, 5, "a"), (1, 9, "b"), (2, 7, "c")], "k long, order long, l string")
+    right = spark.createDataFrame([(1, 3, 30), (1, 6, 60), (1, 10, 100), (2, 1, 10), (3, 1, 10)], "k long, order long, r long")
+    rows_ = streams.two_sided(left, right, "k").withColumn("ts", F.timestamp_seconds("order"))
+    got = streams.run(streams.latest_left(streams.replayed(rows_, "ts", 3, flush=False), "k", "l", "r", ("string", "long")))
+    assert rows(got) == [(1, "a", 30), (1, "a", 60), (1, "b", 100), (2, "c", 10)]
+
+
+def test_update_rows_replace_earlier_ones(spark):
+    e = spark.range(100).select((F.col("id") % 3).alias("k"), F.timestamp_seconds("id").alias("ts"))
+    counts = streams.replayed(e, "ts", 4, flush=False).groupBy("k").agg(F.count("*").alias("n"))
+    assert rows(streams.run(counts, "update", ["k"])) == [(0, 34), (1, 33), (2, 33)]
+    assert rows(streams.run(counts, "complete")) == [(0, 34), (1, 33), (2, 33)]
+
+
+def test_a_bid_at_the_end_of_an_auction_is_late(spark):
+    from tidemark.plans.auctions import winning
+
+    a = spark.sql("SELECT 1L id, 2L seller, 3 category, TIMESTAMP'2020-01-01' date_time, TIMESTAMP'2020-01-02' expires, 5L reserve")
+    b = spark.sql("SELECT 1L auction, 7L bidder, 9L price, TIMESTAMP'2020-01-02' date_time UNION ALL SELECT 1, 8, 6, TIMESTAMP'2020-01-01'")
+    assert [(r["bidder"], r["price"]) for r in winning(b, a).collect()] == [(8, 6)]
 
 
 def test_graphs_of_all_orders(spark, sf):
-    """The _all queries hold every edge of the table, and what follows from them by brute force."""
+    """The graph queries hold every edge of the table, and what follows from them by brute force."""
     from collections import defaultdict
 
     from tidemark.plans.graphs import QUERIES, ROUNDS
@@ -210,9 +300,9 @@ def test_graphs_of_all_orders(spark, sf):
         return seen
 
     got = lambda name: rows(QUERIES[name](spark, sf))
-    assert got("graph_cc_all") == [(n, min(reached([n], near))) for n in sorted(near)]
-    assert got("graph_closure_all") == sorted((u, v) for u in list(after) for v in reached(after[u], after) if u != v)
-    assert got("graph_triangles_all") == sorted((a, b, c) for a in near for b in near[a] if b > a for c in near[a] & near[b] if c > b)
+    assert got("graph_cc") == got("graph_cc_delta") == [(n, min(reached([n], near))) for n in sorted(near)]
+    assert got("graph_closure") == sorted((u, v) for u in list(after) for v in reached(after[u], after) if u != v)
+    assert got("graph_triangles") == sorted((a, b, c) for a in near for b in near[a] if b > a for c in near[a] & near[b] if c > b)
     rank, whole = {n: 1 / len(near) for n in near}, {n: 6_000_000 for n in near}
     for _ in range(ROUNDS):
         sent, given = defaultdict(float), defaultdict(int)
@@ -221,11 +311,11 @@ def test_graphs_of_all_orders(spark, sf):
             given[v] += whole[u] * 5 // (len(after[u]) * 6)
         rank = {n: 0.15 / len(near) + 0.85 * sent[n] for n in near}
         whole = {n: 1_000_000 + given[n] for n in near}
-    assert got("graph_pagerank_int_all") == sorted(whole.items())
-    ranks = dict(got("graph_pagerank_all"))
+    assert got("graph_pagerank_int") == sorted(whole.items())
+    ranks = dict(got("graph_pagerank"))
     assert set(ranks) == set(rank) and all(abs(ranks[n] - rank[n]) < 2e-8 for n in rank)
     parts = [(u, v, u * 7 % 100 // len(after[u]) + (sorted(after[u]).index(v) < u * 7 % 100 % len(after[u]))) for u, v in pairs]
-    assert got("graph_allotted_all") == parts
+    assert got("graph_allotted") == parts
 
 
 def test_loops_that_do_not_settle_are_told(spark):
@@ -233,9 +323,9 @@ def test_loops_that_do_not_settle_are_told(spark):
     import inspect
 
     path = frame(spark, [(i, i + 1) for i in range(1, 6)])
-    for operator in (graphs.components, graphs.closure):
+    for operator in (graphs.spread_components, graphs.closure):
         assert inspect.signature(operator).parameters["rounds"].default is None
         with pytest.raises(RuntimeError, match="not settled after 2 rounds"):
             operator(path, rounds=2)
-    assert [r[1] for r in rows(graphs.components(path))] == [1] * 6
+    assert [r[1] for r in rows(graphs.components(path))] == [r[1] for r in rows(graphs.spread_components(path))] == [1] * 6
     assert graphs.closure(path, rounds=5).count() == 15

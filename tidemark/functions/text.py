@@ -21,12 +21,14 @@ def ascii_rows(df: DataFrame, line: Column, name: str = "word") -> DataFrame:
     return df.select(F.explode(F.regexp_extract_all(line, F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias(name))
 
 
-def exploded(df: DataFrame, words: Column, name: str = "word") -> DataFrame:
-    return df.select(F.explode(words).alias(name))
+def spaced_rows(df: DataFrame, line: Column, name: str = "word") -> DataFrame:
+    """A row per word of spaced_words(), lower-cased as rows, inside generated code."""
+    return df.select(F.explode(F.split(line, r"\s+")).alias("w")).where("w <> ''").select(F.lower("w").alias(name))
 
 
 def cut_words(word: Column, bytes_: int = 34) -> Column:
-    return F.substring(word, 1, bytes_)
+    """The first bytes of a word; a character that does not fit whole keeps the bytes that do."""
+    return F.substring(word.cast("binary"), 1, bytes_).cast("string")
 
 
 def week(date: Column) -> Column:

@@ -35,10 +35,10 @@ def nx_q3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def winning(bids: DataFrame, auctions: DataFrame) -> DataFrame:
-    """The highest bid of each auction among those at its reserve or over it while it was open; of equal ones the
+    """The highest bid of each auction among those at its reserve or over it while it was open (from its time on, before it expires); of equal ones the
     earliest, then the lowest bidder. The join is by auction, the interval a condition on it."""
     a = auctions.select(F.col("id").alias("auction"), "seller", "category", "expires", "reserve", F.col("date_time").alias("opened"))
-    rows = bids.join(a, "auction").where("price >= reserve AND date_time >= opened AND date_time <= expires")
+    rows = bids.join(a, "auction").where("price >= reserve AND date_time >= opened AND date_time < expires")
     best = rows.groupBy("auction").agg(F.min(F.struct((-F.col("price")).alias("p"), "date_time", "bidder", "seller", "category", "expires")).alias("b"))
     return best.select("auction", "b.seller", "b.category", "b.expires", "b.bidder", (-F.col("b.p")).alias("price"))
 
@@ -104,7 +104,7 @@ QUERIES = {f.__name__: f for f in (nx_q0, nx_q1, nx_q2, nx_q3, nx_winning, nx_q4
 
 _WIN = f"""WITH {VIEWS}, w AS (SELECT b.auction, a.seller, a.category, a.expires, b.bidder, b.price,
   row_number() OVER (PARTITION BY b.auction ORDER BY b.price DESC, b.date_time, b.bidder) AS r
-  FROM bid b JOIN auction a ON b.auction = a.id WHERE b.price >= a.reserve AND b.date_time >= a.date_time AND b.date_time <= a.expires),
+  FROM bid b JOIN auction a ON b.auction = a.id WHERE b.price >= a.reserve AND b.date_time >= a.date_time AND b.date_time < a.expires),
 winning AS (SELECT auction, seller, category, expires, bidder, price FROM w WHERE r = 1)"""
 _SIDES = "n AS (SELECT user_id AS id, ts AS since, event_id AS signup FROM events WHERE event_type = 'signup'), s AS (SELECT user_id, ts, event_id AS purchase, value FROM events WHERE event_type = 'purchase')"
 SQL = {

@@ -44,8 +44,8 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hj_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bag join on one key: customers and suppliers of a nation."""
-    return _customers(spark, sf_dir).join(table(spark, sf_dir, "supplier"), F.col("c_nationkey") == F.col("s_nationkey")).select(F.col("c_custkey").alias("v1"), F.col("s_suppkey").alias("v2"))
+    """Bag join on one key: the values of both sides, customers' nations and orders."""
+    return _customers(spark, sf_dir).join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_nationkey").alias("v1"), F.col("o_orderkey").alias("v2"))
 
 
 def join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ SQL = {
     "ca_factor": f"""WITH {ACCIDENTS}, f AS (SELECT killed, unnest(list_distinct(list_filter([factor1, factor2, factor3, factor4, factor5], lambda f: f <> ''))) AS factor FROM accidents)
   SELECT factor, count(*) AS accidents, CAST(sum(killed) AS BIGINT) AS lethal FROM f GROUP BY factor""",
     "ca_borough": f"WITH {ACCIDENTS}, g AS (SELECT borough, CAST(dayofyear(date) // 7 AS INT) AS week, count(*) AS accidents, CAST(sum(killed) AS BIGINT) AS lethal FROM accidents GROUP BY ALL) SELECT *, 100.0::DOUBLE * lethal / accidents AS percent FROM g",
-    "hj_pairs": "SELECT c_custkey AS v1, s_suppkey AS v2 FROM customer JOIN supplier ON c_nationkey = s_nationkey",
+    "hj_pairs": "SELECT c_nationkey AS v1, o_orderkey AS v2 FROM customer JOIN orders ON c_custkey = o_custkey",
     "join_left": "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' AND o_totalprice > 300000 GROUP BY c_custkey",
     "join_semi": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)",
     "join_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import top
 from tidemark.plans import auctions, reports, words
 from tidemark.sources import generators
 from tidemark.streaming import streams
@@ -44,11 +43,24 @@ def stream_nx_q8_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_rt_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts per window in the stream; ranks over its result table."""
-    e = streams.read(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("word"), "ts").withWatermark("ts", "0 seconds")
-    n = streams.run(e.groupBy(F.window("ts", "2 hours", "1 hour").alias("w"), "word").agg(F.count("*").alias("n")), "complete")
-    rows = top(n.select(F.col("w.end").alias("window_end"), "word", "n"), ["window_end"], [F.desc("n"), F.col("word")], 5)
-    return streams.to_ntz(rows.select("window_end", "word", "n", F.col("rank").cast("long").alias("rank")), "window_end")
+    return streams.top_words(spark, sf_dir, "2 hours", "1 hour")
+
+
+def stream_nx_q0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.to_ntz(streams.run(streams.bids(spark, sf_dir)), "date_time")
+
+
+def stream_nx_winning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winners of auctions, each once the watermark has passed its end."""
+    return streams.won_auctions(spark, sf_dir)
+
+
+def stream_nx_q4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.category_means(spark, sf_dir)
+
+
+def stream_nx_q6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.seller_means(spark, sf_dir)
 
 
 def stream_key_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +77,11 @@ def generated_auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("person.id", "auction.id", "bid.auction")).alias("ids"), F.min(F.coalesce("person.id", "auction.id", "bid.auction")).alias("least"))
 
 
-QUERIES = {f.__name__: f for f in (stream_word_count, stream_nx_q1, stream_nx_q2, stream_nx_q3, stream_nx_q5, stream_nx_q7, stream_nx_q8, stream_nx_q8_interval, stream_rt_top5, stream_key_count, stream_running_sum, generated_auctions)}
+QUERIES = {f.__name__: f for f in (stream_word_count, stream_nx_q0, stream_nx_winning, stream_nx_q4, stream_nx_q6, stream_nx_q1, stream_nx_q2, stream_nx_q3, stream_nx_q5, stream_nx_q7, stream_nx_q8, stream_nx_q8_interval, stream_rt_top5, stream_key_count, stream_running_sum, generated_auctions)}
 
 SQL = {
     "stream_word_count": words.SQL["wc_ascii"],
     "stream_rt_top5": reports.SQL["rt_top5"],
     "stream_key_count": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id",
     "stream_running_sum": "SELECT event_id, user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM events",
-} | {f"stream_{k}": auctions.SQL[k] for k in ("nx_q1", "nx_q2", "nx_q3", "nx_q5", "nx_q7", "nx_q8", "nx_q8_interval")}
+} | {f"stream_{k}": auctions.SQL[k] for k in ("nx_q0", "nx_winning", "nx_q4", "nx_q6", "nx_q1", "nx_q2", "nx_q3", "nx_q5", "nx_q7", "nx_q8", "nx_q8_interval")}

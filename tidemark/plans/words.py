@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import ascii_rows, exploded, spaced_words
+from tidemark.functions.text import ascii_rows, spaced_rows
 from tidemark.operators.windows import count_windows
 from tidemark.sources.tables import table
 
@@ -23,7 +23,7 @@ def wc_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wc_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts(exploded(table(spark, sf_dir, "documents"), spaced_words(F.col("text"))))
+    return counts(spaced_rows(table(spark, sf_dir, "documents"), F.col("text")))
 
 
 def wc_top10(spark: SparkSession, sf_dir: str) -> DataFrame:

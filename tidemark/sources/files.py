@@ -15,6 +15,12 @@ def lines(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     return spark.read.text(path, wholetext=whole)
 
 
+def line_stream(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
+    """value: the lines of the files of a folder as a stream, so many files a trigger."""
+    reader = spark.readStream
+    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).text(path)
+
+
 def records(spark: SparkSession, path: str, schema: str, header: bool = False, sep: str = ",", first: int | None = None, order: str | None = None) -> DataFrame:
     """Delimited records by position. first rows are taken in the order of a column, as files have none."""
     rows = spark.read.csv(path, schema=schema, header=header, sep=sep, quote='"', enforceSchema=True)
@@ -35,10 +41,8 @@ def vertex_file(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
 
 
 def counted_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records below a first line that holds only their number."""
-    names = [c.strip().split()[0] for c in schema.split(",")]
-    rows = spark.read.csv(path, schema=schema)
-    return rows.where(" OR ".join(f"{c} IS NOT NULL" for c in names[1:])) if len(names) > 1 else rows
+    """Records below a first line that holds only their number: the first line of each file is passed over."""
+    return spark.read.csv(path, schema=schema, header=True, enforceSchema=True)
 
 
 def accident_file(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:

@@ -32,12 +32,9 @@ def bid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("auction"), F.col("l_suppkey").alias("bidder"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"), F.col("l_shipdate").alias("date_time"))
 
 
-def edges(spark: SparkSession, sf_dir: str, every: int | None = 40) -> DataFrame:
-    """Distinct (u, v), u <> v: parts and suppliers as nodes of one graph, of orders whose key is a multiple of every, or
-    of all orders if it is None."""
-    lines = table(spark, sf_dir, "lineitem")
-    lines = lines if every is None else lines.where(F.col("l_orderkey") % every == 0)
-    return lines.where("l_partkey <> l_suppkey").select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v")).distinct()
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (u, v), u <> v: parts and suppliers of all line items as nodes of one graph."""
+    return table(spark, sf_dir, "lineitem").where("l_partkey <> l_suppkey").select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v")).distinct()
 
 
 def accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +48,8 @@ def accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    """Parts as points: size and price."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
 
 
 #: The same views for SQL twins, to stand at the head of a WITH clause.
@@ -60,8 +58,8 @@ person AS (SELECT c_custkey AS id, c_name AS name, n_name AS city, r_name AS sta
 auction AS (SELECT o_orderkey AS id, o_custkey AS seller, CAST(substr(o_orderpriority, 1, 1) AS INT) AS category, o_orderdate AS date_time,
   o_orderdate + INTERVAL {OPEN_DAYS} DAY AS expires, CAST({RESERVE} AS BIGINT) AS reserve FROM orders),
 bid AS (SELECT l_orderkey AS auction, l_suppkey AS bidder, CAST(round(l_extendedprice * 100) AS BIGINT) AS price, l_shipdate AS date_time FROM lineitem)"""
-EDGES = "edges AS (SELECT DISTINCT l_partkey AS u, l_suppkey AS v FROM lineitem WHERE l_orderkey % {every} = 0 AND l_partkey <> l_suppkey)"
+EDGES = "edges AS (SELECT DISTINCT l_partkey AS u, l_suppkey AS v FROM lineitem WHERE l_partkey <> l_suppkey)"
 ACCIDENTS = """accidents AS (SELECT CAST(ts AS DATE) AS date, event_type AS borough, CASE WHEN value > 150 THEN 1 ELSE 0 END AS killed,
   'k' || (CAST(regexp_extract(props, '[0-9]+') AS INT) % 7) AS factor1, 'k' || (CAST(regexp_extract(props, '[0-9]+') AS INT) % 5) AS factor2,
   CASE WHEN user_id % 3 = 0 THEN '' ELSE 'u' || (user_id % 4) END AS factor3, '' AS factor4, '' AS factor5 FROM events)"""
-POINTS = "points AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
+POINTS = "points AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part)"

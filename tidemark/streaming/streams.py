@@ -1,42 +1,82 @@
 """Structured Streaming twins of the batch plans.
 
-Sources are the driver's Parquet files as file streams; run() drains what is there and returns what the sink holds. Time
-windows end with the watermark in append mode; the twins use complete or update mode where all of the input's windows
-are wanted, as the last ones stay open otherwise."""
+Sources are folders of files: tables as they are, or replayed in the order of event time, a part per trigger, with a last
+row that lets the watermark pass everything (the flush at the end of a stream). Time windows end with the watermark in
+append mode; rows later than it are left out. Sinks are Parquet files in the shared folder; nothing is gathered by the
+driver."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import euros
 from tidemark.functions.text import ascii_rows
 from tidemark.operators.iterate import cut
+from tidemark.operators.staging import folder
+
+#: Where the flush of a replayed stream lies: within what pandas times in nanoseconds hold.
+END = "2200-01-01"
+
+
+def instants(df: DataFrame) -> DataFrame:
+    """Zone-less timestamps as timestamps, which watermarks need."""
+    return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in df.schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, per_trigger: int | None = None) -> DataFrame:
-    """A table as a stream of its files; zone-less timestamps become timestamps, which watermarks need."""
+    """A table as a stream of its files."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     reader = spark.readStream.schema(schema)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    rows = reader.option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
-    return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
-
-
-def run(stream: DataFrame, mode: str = "append", options: dict[str, str] | None = None) -> DataFrame:
-    """The rows of a stream's sink after all of its present input."""
-    name = f"tidemark_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = writer.options(**(options or {})).start()
+    return instants(reader.option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*"))
+
+
+def replayed(rows: DataFrame, time: str, parts: int = 4, flush: bool = True) -> DataFrame:
+    """Rows as a stream that arrives in the order of time, in so many parts, one per trigger. flush adds a last part with
+    one row at END, null in all other columns, that closes every window; rows without a time come first."""
+    spark, path = rows.sparkSession, folder(rows.sparkSession, "replay")
+    rows = instants(rows)
+    seconds = rows.select(F.col(time).cast("double").alias("t"))
+    marks = sorted(set(seconds.approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)))
+    t = F.coalesce(F.col(time).cast("double"), F.lit(float("-inf")))
+    for i, (lo, hi) in enumerate(zip([None, *marks], [*marks, None])):
+        part = rows if lo is None else rows.where(t > lo)
+        (part if hi is None else part.where(t <= hi)).coalesce(1).write.parquet(f"{path}/{i:04d}")
+    if flush:
+        last = [F.lit(END).cast("timestamp").alias(time) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
+        spark.range(1).select(*last).coalesce(1).write.parquet(f"{path}/{len(marks) + 1:04d}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+
+
+def run(stream: DataFrame, mode: str = "append", keys: list[str] | None = None, progress: list | None = None) -> DataFrame:
+    """The rows of a stream's sink after all of its present input. append: all rows; complete: the result table of the last
+    trigger; update: the last row of each of the keys, each update taking the place of the one before. progress takes the
+    reports of the triggers."""
+    spark = stream.sparkSession
+    path = folder(spark, "sink")
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", folder(spark, "query"))
+    if mode == "append":
+        query = writer.format("parquet").option("path", path).start()
+    else:
+        query = writer.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/trigger={n}")).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return stream.sparkSession.table(name)
+    if progress is not None:
+        progress += query.recentProgress
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(path)
+    names = [f"{f.name} {f.dataType.simpleString()}" for f in stream.schema]
+    rows = spark.read.schema(", ".join([*names, "trigger long"])).parquet(path)
+    if mode == "complete":
+        return rows.join(rows.agg(F.max("trigger").alias("trigger")), "trigger", "left_semi").drop("trigger")
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max(F.struct("trigger", *values)).alias("last")).select(*keys, *[f"last.{c}" for c in values])
 
 
 def to_ntz(df: DataFrame, *names: str) -> DataFrame:
@@ -70,16 +110,28 @@ def local_items(spark: SparkSession, sf_dir: str, states: tuple[str, ...]) -> Da
 
 
 def hot_items(spark: SparkSession, sf_dir: str, size: str, slide: str) -> DataFrame:
-    """Counts per window and item in the stream, the best of each window over its result table."""
-    e = read(spark, sf_dir, "events").withWatermark("ts", "0 seconds")
-    n = run(e.groupBy(F.window("ts", size, slide).alias("w"), F.col("user_id").alias("item")).agg(F.count("*").alias("n")), "complete")
-    best = n.groupBy("w").agg(F.max(F.struct("n", "item")).alias("b"))
+    """Counts per window and item, and of each window the best, both in the stream."""
+    e = replayed(spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.col("user_id").alias("item")), "ts").withWatermark("ts", "0 seconds")
+    n = e.groupBy(F.window("ts", size, slide).alias("w"), "item").agg(F.count("*").alias("n"))
+    best = run(n.groupBy("w").agg(F.max(F.struct("n", "item")).alias("b")))
     return to_ntz(best.select(F.col("w.start").alias("window_start"), "b.item", "b.n"), "window_start")
 
 
+def top_words(spark: SparkSession, sf_dir: str, size: str, slide: str, most: int = 5) -> DataFrame:
+    """The most frequent words of each window: counts and the ordered head of each window's list, both in the stream."""
+    words = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("word"), "ts")
+    e = replayed(words, "ts").withWatermark("ts", "0 seconds")
+    n = e.groupBy(F.window("ts", size, slide).alias("w"), "word").agg(F.count("*").alias("n"))
+    lists = n.groupBy("w").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "word"))), 1, most).alias("top"))
+    rows = run(lists).select(F.col("w.end").alias("window_end"), F.posexplode("top").alias("at", "x"))
+    return to_ntz(rows.select("window_end", "x.word", (-F.col("x.minus")).alias("n"), (F.col("at") + 1).cast("long").alias("rank")), "window_end")
+
+
 def highest_bids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bids(spark, sf_dir).withWatermark("date_time", "0 seconds")
-    rows = run(b.groupBy(F.window("date_time", "1 day").alias("w")).agg(F.min(F.struct((-F.col("price")).alias("p"), "auction", "bidder")).alias("b")), "complete")
+    from tidemark.sources.tables import bid
+
+    b = replayed(bid(spark, sf_dir), "date_time").withWatermark("date_time", "0 seconds")
+    rows = run(b.groupBy(F.window("date_time", "1 day").alias("w")).agg(F.min(F.struct((-F.col("price")).alias("p"), "auction", "bidder")).alias("b")))
     return to_ntz(rows.select(F.col("w.start").alias("window_start"), "b.auction", "b.bidder", (-F.col("b.p")).alias("price")), "window_start")
 
 
@@ -99,9 +151,9 @@ def new_users_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last count of each key: update mode replaces what a key had, the place of retractions."""
-    counts = run(read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")), "update")
-    return counts.groupBy("user_id").agg(F.max("n").alias("n"))
+    """The last count of each key: an update takes the place of what a key had, the place of retractions."""
+    e = replayed(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", flush=False)
+    return run(e.groupBy("user_id").agg(F.count("*").alias("n")), "update", ["user_id"])
 
 
 def state_machine(stream: DataFrame, key: str, value: Column, drop_at: int | None = None) -> DataFrame:
@@ -132,36 +184,129 @@ def running_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("order").alias("event_id"), "user_id", "total")
 
 
-def closed_auctions(stream: DataFrame) -> DataFrame:
-    """(key, kind, ts, price, expires...) rows of both sides of an auction stream -> the winner of each auction once the
-    watermark passes its end: bids wait in the state until then, for auctions that are still to come too."""
+def keyed(stream: DataFrame, key: str, fold, out: str, state: str, due=None) -> DataFrame:
+    """A keyed stateful operator. fold(key, rows, state) -> (result rows, new state) gets the rows of a key in a trigger
+    as dicts, and its state as a tuple (None at first); a new state of None drops it. due(state) gives the time in ms at
+    which the key is to be notified, or None; it is then folded with no rows once the watermark has passed that time."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, expires, reserve, seller, bids_ = state.get if state.exists else (None, None, None, None, [])
-        bids_ = [tuple(b) for b in bids_]
-        if state.hasTimedOut:
-            good = [b for b in bids_ if opened <= b[0] <= expires and b[1] >= reserve]
-            state.remove()
-            if good:
-                at, price, bidder = min(good, key=lambda b: (-b[1], b[0], b[2]))
-                yield pd.DataFrame({"auction": [k[0]], "seller": [seller], "bidder": [bidder], "price": [price]})
-            return
-        for rows in batches:
-            for r in rows.itertuples(index=False):
-                if r.kind == "auction":
-                    opened, expires, reserve, seller = r.at_ms, r.expires_ms, r.reserve, r.seller
-                else:
-                    bids_.append((r.at_ms, r.price, r.bidder))
+    names = [c.strip().split()[0] for c in out.split(",")]
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows = [] if held.hasTimedOut else [r for b in batches for r in b.to_dict("records")]
+        result, after = fold(k[0], rows, held.get if held.exists else None)
+        if after is None:
+            if held.exists:
+                held.remove()
+        else:
+            held.update(after)
+            at = due(after) if due else None
+            if at is not None:
+                held.setTimeoutTimestamp(max(int(at), held.getCurrentWatermarkMs() + 1))
+        if result:
+            yield pd.DataFrame(result, columns=names)
+
+    return stream.groupBy(key).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout if due else GroupStateTimeout.NoTimeout)
+
+
+def two_sided(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Two inputs of one keyed operator: their rows with a side (0 or 1) and nulls in the other side's columns."""
+    return left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)), allowMissingColumns=True)
+
+
+def latest_left(stream: DataFrame, key: str, left: str, right: str, kinds: tuple[str, str]) -> DataFrame:
+    """two_sided() rows (key, side, order, left, right) -> (key, left, right): a right row meets the latest left row of its
+    key; those that come before any wait and leave once, with the first."""
+
+    def fold(k, rows, held):
+        latest, waiting = held if held else (None, [])
+        waiting, out = list(waiting), []
+        for r in sorted(rows, key=lambda r: (r["order"], r["side"])):
+            if r["side"] == 0:
+                latest = r[left]
+                out += [(k, latest, w) for w in waiting]
+                waiting = []
+            elif latest is None:
+                waiting.append(r[right])
+            else:
+                out.append((k, latest, r[right]))
+        return out, (latest, waiting)
+
+    kind = stream.schema[key].dataType.simpleString()
+    return keyed(stream, key, fold, f"{key} {kind}, {left} {kinds[0]}, {right} {kinds[1]}", f"latest {kinds[0]}, waiting array<{kinds[1]}>")
+
+
+def closed_auctions(stream: DataFrame) -> DataFrame:
+    """(auction, kind, ts, at_ms, ...) rows of both sides of an auction stream -> the winner of each auction once the
+    watermark passes its end: bids wait in the state until then, for auctions that are still to come too. An auction is
+    open from its time on and before it expires."""
+
+    def best(bids, opened, expires, reserve):
+        good = [tuple(b) for b in bids if opened <= b[0] < expires and b[1] >= reserve]
+        return min(good, key=lambda b: (-b[1], b[0], b[2])) if good else None
+
+    def fold(k, rows, held):
+        opened, expires, reserve, seller, category, bids = held if held else (None, None, None, None, None, [])
+        if not rows:
+            won = best(bids, opened, expires, reserve)
+            return ([(k, seller, category, expires, won[2], won[1])] if won else []), None
+        bids = [tuple(b) for b in bids]
+        for r in rows:
+            if r["kind"] == "auction":
+                opened, expires, reserve, seller, category = (int(r[c]) for c in ("at_ms", "expires_ms", "reserve", "seller", "category"))
+            elif r["kind"] == "bid":
+                bids.append((int(r["at_ms"]), int(r["price"]), int(r["bidder"])))
+        if expires is None and not bids:  # the flush
+            return [], None
         if expires is not None:  # only what can still win is kept
-            good = [b for b in bids_ if opened <= b[0] <= expires and b[1] >= reserve]
-            bids_ = [min(good, key=lambda b: (-b[1], b[0], b[2]))] if good else []
-        state.update((opened, expires, reserve, seller, bids_))
-        if expires is not None:
-            state.setTimeoutTimestamp(max(int(expires) + 1, state.getCurrentWatermarkMs() + 1))
-
-    kept = "opened long, expires long, reserve long, seller long, bids array<struct<at: long, price: long, bidder: long>>"
-    return stream.groupBy("auction").applyInPandasWithState(step, "auction long, seller long, bidder long, price long", kept, "append", GroupStateTimeout.EventTimeTimeout)
+            won = best(bids, opened, expires, reserve)
+            bids = [won] if won else []
+        return [], (opened, expires, reserve, seller, category, bids)
+
+    kept = "opened long, expires long, reserve long, seller long, category int, bids array<struct<at: long, price: long, bidder: long>>"
+    return keyed(stream, "auction", fold, "auction long, seller long, category int, expires_ms long, bidder long, price long", kept, lambda state: state[1])
+
+
+def auction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Auctions and bids as the rows that closed_auctions() takes, in the order of their times and flushed."""
+    from tidemark.sources.tables import auction, bid
+
+    a = auction(spark, sf_dir).select(F.col("id").alias("auction"), F.lit("auction").alias("kind"), F.col("date_time").alias("ts"), F.unix_millis(F.col("expires").cast("timestamp")).alias("expires_ms"), "reserve", "seller", "category")
+    b = bid(spark, sf_dir).select("auction", F.lit("bid").alias("kind"), F.col("date_time").alias("ts"), "price", "bidder")
+    both = a.unionByName(b, allowMissingColumns=True).fillna(0)
+    rows = replayed(both, "ts").withColumn("at_ms", F.unix_millis("ts")).withWatermark("ts", "0 seconds")
+    return rows.withColumns({"auction": F.coalesce("auction", F.lit(-1)), "kind": F.coalesce("kind", F.lit("flush"))}).fillna(0)  # not a filter, which would go before the watermark
+
+
+def won_auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run(closed_auctions(auction_rows(spark, sf_dir)))
+    return rows.select("auction", "seller", "category", F.timestamp_millis("expires_ms").cast("timestamp_ntz").alias("expires"), "bidder", "price")
+
+
+def _again(rows: DataFrame) -> DataFrame:
+    """The files of a sink as a stream."""
+    paths = {f.rsplit("/", 1)[0] for f in rows.inputFiles()}
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(*paths) if paths else None
+
+
+def category_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean winning price per category, updated as auctions close."""
+    closed = run(closed_auctions(auction_rows(spark, sf_dir)))
+    return run(_again(closed).groupBy("category").agg(F.avg("price").alias("avg_price")), "update", ["category"])
+
+
+def seller_means(spark: SparkSession, sf_dir: str, last: int = 10) -> DataFrame:
+    """The mean of a seller's last winning prices after each closed auction: a keyed state of so many prices."""
+
+    def fold(k, rows, held):
+        prices, out = list(held[0]) if held else [], []
+        for r in sorted(rows, key=lambda r: (r["expires_ms"], r["auction"])):
+            prices = (prices + [r["price"]])[-last:]
+            out.append((k, r["auction"], sum(prices) / len(prices)))
+        return out, (prices,)
+
+    closed = run(closed_auctions(auction_rows(spark, sf_dir)))
+    return run(keyed(_again(closed), "seller", fold, "seller long, auction long, avg_price double", "prices array<long>"))
 
 
 def snapshot(df: DataFrame) -> DataFrame:
