@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, embedding_dedup, jaccard_join, mixing, pii, quality_classifier, quality_rules, repeats, sentencepieces, token_counts, url_filter
+from tidemark.llm import embedding_dedup, jaccard_join, mixing, pii, quality_classifier, quality_rules, repeats, sentencepieces, token_counts, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank int, size string, tokens int"
@@ -62,15 +62,6 @@ def roots(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def test_components(spark):
-    rng = random.Random(1)
-    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(3, 3)]
-    got = {r["node"]: r["root"] for r in components.components(spark, spark.createDataFrame([*links, (None, 1)], "a long, b long")).collect()}
-    want = roots({n for e in links for n in e}, links)
-    assert got == {n: r for n, r in want.items() if any(n in e and e[0] != e[1] for e in links)}
-    assert components.components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
-
-
 # 1. URL filter
 
 
@@ -114,6 +105,32 @@ def test_url_model_learns(spark):
     assert url_filter.trained(spark, table.limit(0)) == [0.0] * (url_filter.BUCKETS + 1)
 
 
+def test_url_score_is_the_models(spark):
+    """The score is recomputed from the weights and the n-grams' buckets, and tells hosts apart that the labelled table
+    does not hold; no host of the table is one of those judged."""
+    wanted = ["https://riverschool.example.net/a", "https://www.gardenjournal.example.com/x/1", "http://mountain-weather.example.org/q", "https://forest-history.example.net/2019"]
+    unwanted = ["https://big-casinos.example.net/a", "https://www.pokerjackpots.example.net/x/1", "http://cheappills24.example.net/q", "https://free-betting-bonus.example.net/2019"]
+    table = {r["url"].split("/")[2] for r in url_filter.labelled(spark).collect()}
+    urls = [*wanted, *unwanted, None, "no url", "x://"]
+    assert not any(u.split("/")[2] in table for u in wanted + unwanted)
+    weights = url_filter.trained(spark, url_filter.labelled(spark))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = {r["page_id"]: r for r in url_filter.judged(spark, pages).collect()}
+    for i, u in enumerate(urls):
+        host, path = (u.split("://")[1].split("/")[0], "/" + u.split("://")[1].partition("/")[2]) if u and "/" in (u.split("://") + [""])[1] else ("", "")
+        grams = [t[k : k + n] for t in (f"^{host}$", f"|{path}$") for n in (3, 4) for k in range(len(t) - n + 1)]
+        buckets = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "g string").select(F.pmod(F.xxhash64("g"), F.lit(url_filter.BUCKETS))).collect()] if grams else []
+        want = 1 / (1 + np.exp(-(weights[-1] + sum(weights[b] for b in buckets) / max(len(buckets), 1) ** 0.5)))
+        assert rows[i]["score"] == pytest.approx(want, abs=1e-9)
+    assert all(rows[i]["score"] < 0.5 for i in range(4)) and all(rows[i]["score"] >= 0.5 for i in range(4, 8))
+
+
+def test_url_table_is_bounded(spark):
+    many = spark.range(url_filter.TABLE + 1).select(F.concat(F.lit("http://h"), F.col("id").cast("string")).alias("url"), F.lit(1).alias("label"))
+    with pytest.raises(ValueError):
+        url_filter.trained(spark, many)
+
+
 # 2. embeddings
 
 
@@ -142,6 +159,34 @@ def test_embedding_blocks(spark, monkeypatch):
     assert [r["n_links"] for r in embedding_dedup.deduplicated(spark, v).orderBy("vec_id").collect()] == sim.sum(1).tolist()
 
 
+def test_traversal_visits_nearest_cells_first():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        low1, low2 = rng.random(9), rng.random(7)
+        got = list(embedding_dedup.traversal(low1, low2, 0.8))
+        every = sorted((a + b, i, j) for i, a in enumerate(low1) for j, b in enumerate(low2))
+        assert [round(x[2], 12) for x in got] == [round(x[0], 12) for x in every if x[0] <= 0.8]
+        assert {x[:2] for x in got} == {x[1:] for x in every if x[0] <= 0.8}
+
+
+def test_embedding_recall(spark, monkeypatch):
+    """A target recall is reached against brute force with fewer cells, and what is found is right; 1 is complete."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(150, 24))
+    x = np.concatenate([base + rng.normal(size=base.shape) * 0.09 for _ in range(6)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = int(((u @ u.T >= 0.98) & ~np.eye(len(x), dtype=bool)).sum())
+    v = spark.createDataFrame([(i, e.tolist(), 1) for i, e in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = {r: embedding_dedup.deduplicated(spark, v, recall=r).agg(F.sum("n_links")).first()[0] for r in (1.0, 0.9)}
+    assert found[1.0] == links > 1000 and 0.87 * links <= found[0.9] <= links
+
+
+def test_embeddings_of_extreme_lengths(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1.0, 1.0], 1), (3, [1e-200, 1e-200], 1), (4, [1e200, -1e200], 1), (None, [1.0, 1.0], 1)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert collected(embedding_dedup.deduplicated(spark, v).where("vec_id is not null"), "vec_id", "n_links", "component_id") == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
 # 3. personal data
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -181,6 +226,42 @@ def test_pii(spark, docs, empty):
     assert pii.found(spark, empty).count() == 0 == pii.masked(spark, empty).count()
 
 
+def test_added_spans(spark):
+    """Spans of looser shapes are added where labelers agree, and not where they do not; overlaps are masked once."""
+    good = ["write to bob (at) site (dot) com today", "call me: 212-555-7714 please", "phone (212) 555-7713 now"] * 30
+    bad = ["order 212-555-7714x1 build", "version 111-111-1111 serial 5"] * 30
+    clean = ["nothing to see here at all"] * 30
+    rows = list(enumerate([*good, *bad, *clean]))
+    got = {r["doc_id"]: r for r in pii.found(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {"write to bob (at) site (dot) com today": "email:9:32", "call me: 212-555-7714 please": "phone:9:21", "phone (212) 555-7713 now": "phone:6:20"}
+    for i, t in rows:
+        assert got[i]["spans"] == want.get(t, "") and got[i]["n_added"] == (t in want), t
+        assert got[i]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_classifier_sees_the_span_and_its_context():
+    """Of two candidates with the same undecided votes, that with the shape of the trusted ones scores higher."""
+    yes, no, open_ = pii._coded(3, (1, 1, 1, 1, 1)), pii._coded(3, (-1, -1, -1, -1, -1)), pii._coded(3, (0, 0, 0, 0, 0))
+    good, bad = pii._shape("call 212-555-7714 ", 5, 17, 1), pii._shape("x212-555-7714x", 1, 13, 0)
+    counts = {yes * pii.SHAPES + good: 50, no * pii.SHAPES + bad: 50, open_ * pii.SHAPES + good: 1, open_ * pii.SHAPES + bad: 1}
+    score = pii.trained(counts, {yes: 0.99, no: 0.01, open_: 0.5})
+    assert score(open_ * pii.SHAPES + good) > 0.6 > 0.4 > score(open_ * pii.SHAPES + bad)
+    x, n = np.array([pii._inputs(c) for c in counts]), np.array(list(counts.values()), float)
+    y, w = np.array([0.99, 0.01, 0.5, 0.5]), np.zeros(x.shape[1])
+    for _ in range(20000):  # plain gradient descent reaches the same scores
+        w -= 0.01 * (x.T @ (n * (1 / (1 + np.exp(-x @ w)) - y)) + w)
+    assert [score(c) for c in counts] == pytest.approx((1 / (1 + np.exp(-x @ w))).tolist(), abs=1e-3)
+    assert pii.trained({}, {})(0) == 0.5
+
+
+def test_masked_spans_that_overlap_and_clash(spark):
+    rows = [(1, "a@b.com1234567812345670 x", "k"), (2, None, "k"), (3, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, found string")
+    got = {r["doc_id"]: r for r in pii.masked(spark, df).collect()}
+    assert got[1]["text"].count("[") == 1 and got[1]["text"].endswith(" x") and got[1]["found"] == "k"
+    assert got[2]["text"] is None and got[3]["text"] == ""
+
+
 def test_reliabilities_find_the_bad_labeler():
     rng = random.Random(7)
     counts = Counter()
@@ -255,23 +336,100 @@ def test_quality_of_small_sources(spark):
     assert got.where("sort = 'junk' and kept").count() == 0
 
 
+def plain_mcd(x, start, share=0.7):
+    """Concentration steps on all rows of a group, the h-th distance's ties by exact rank, to the end."""
+    floor, d = np.array(list(quality_rules.STATS.values())) ** 2, x.shape[1]
+    h = int(np.ceil(len(x) * 0.5))
+    dist = start
+    for _ in range(100):
+        near = np.argsort(dist, kind="stable")[:h]
+        m, c = x[near].mean(0), np.cov(x[near].T, bias=True) + np.diag(floor)
+        dist = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+        h = int(np.ceil(len(x) * share))
+    assert d == 4
+    return m, c
+
+
+def test_estimates_against_plain_steps(spark):
+    """Centres and covariances of groups with outliers are those of plain concentration steps, up to a bin's width."""
+    rng = np.random.default_rng(8)
+    rows, groups = [], {}
+    for g, (n, bad) in {"a": (400, 60), "b": (90, 15)}.items():
+        x = rng.normal(size=(n, 4)) * [0.2, 0.1, 0.3, 0.2] + rng.normal(size=4)
+        x[:, 1] += 0.4 * x[:, 0]
+        x[:bad] += [2, -1, 2, 3]
+        x = np.round(x * quality_rules.FIXED) / quality_rules.FIXED
+        groups[g] = (x, bad)
+        rows += [(g, *[int(round(v * quality_rules.FIXED)) for v in r]) for r in x]
+    fit = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{c} long" for c in quality_rules.STATS))
+    for r in quality_rules.estimated(spark, fit.cache()).collect():
+        x, bad = groups[r["grp"]]
+        q = np.median(x, 0)
+        a = np.sqrt((1.4826 * np.median(np.abs(x - q), 0)) ** 2 + np.array(list(quality_rules.STATS.values())) ** 2)
+        best = min((plain_mcd(x, start) for start in ((((x - q) / a) ** 2).sum(1), (np.tanh((x - q) / a) ** 2).sum(1))), key=lambda e: np.linalg.slogdet(e[1])[1])
+        m = np.array([r[f"m_{i}"] for i in range(4)])
+        c = np.array([[r[f"c_{max(i, j)}_{min(i, j)}"] for j in range(4)] for i in range(4)])
+        sd = np.sqrt(np.diag(best[1]))
+        assert np.abs((m - best[0]) / sd).max() < 0.05 and np.abs((c - best[1]) / np.outer(sd, sd)).max() < 0.08
+        assert np.abs((m - x[bad:].mean(0)) / sd).max() < 0.4  # outliers do not move it
+
+
+def test_a_group_of_thirty_has_its_own_estimate(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghij", k=n)) for n in rng.choices((k - 1, k, k + 1), k=80)), "en", s) for i, (s, k) in enumerate([("big", 5)] * 300 + [("small", 12)] * 30)]
+    got = quality_rules.judged(spark, spark.createDataFrame([*rows, (None, rows[0][1], None, None)], "doc_id long, text string, lang string, source string"))
+    assert got.where("not kept and doc_id is not null").count() == 0 and got.count() == 331
+
+
+def test_filtered_keeps_clashing_columns(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, words, "en", "s", "mine", "x") for i in range(30)] + [(99, "short", "en", "s", "mine", "x")], "doc_id long, text string, lang string, source string, n_words string, kept string")
+    got = quality_rules.filtered(spark, docs)
+    assert got.columns == docs.columns and got.count() == 30 and got.where("n_words = 'mine' and kept = 'x'").count() == 30
+
+
 # 5. mixing
 
 
-def test_targets():
-    assert mixing.targets({"a": 100, "b": 100, None: 100}) == {"a": 187.5, "b": 75.0, None: 37.5}
-    got = mixing.targets({"a": 10, "b": 1000, "c": 1000})
-    assert got["a"] == 30 and got["b"] == pytest.approx(1980 * 2 / 3)
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
+def shared_plainly(sizes, weights=(5, 2, 1)):
+    """Targets by the contract: what goes over three times a source's size is shared again, one source after the other."""
+    order = sorted(sizes, key=lambda k: (k is None, k or ""))
+    weight = {k: weights[i % 3] for i, k in enumerate(order)}
+    fixed = {}
+    while True:
+        free = [k for k in order if k not in fixed]
+        left = sum(sizes.values()) - sum(fixed.values())
+        per = left / sum(weight[k] for k in free) if free else 0
+        over = [k for k in free if weight[k] * per > 3 * sizes[k]]
+        if not over:
+            return fixed | {k: weight[k] * per for k in free}
+        fixed |= {k: 3 * sizes[k] for k in over}
 
 
-def test_multipliers_balance_two_constraints():
-    import pandas as pd
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, None: 100}, {"a": 10, "b": 1000, "c": 1000}, {"a": 0}, {}, {f"s{i}": i * i for i in range(40)} | {None: 7, "é": 3, "Z": 90, "": 5}])
+def test_targets(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(3)
+    got = {r["source"]: r["target"] for r in mixing.targeted(spark, df).collect()}
+    assert got == pytest.approx(shared_plainly(sizes))
 
-    cells = pd.DataFrame({"s": ["a", "a", "b", "b"], "l": ["x", "y", "x", "y"], "size": [10, 30, 20, 40]})
-    lam = mixing.multipliers(cells, [{"a": 60.0, "b": 40.0}, {"x": 55.0, "y": 45.0}], ["s", "l"])
-    mass = {(s, x): n * np.exp(lam[0][s] + lam[1][x]) for s, x, n in cells.itertuples(index=False, name=None)}
-    assert mass["a", "x"] + mass["a", "y"] == pytest.approx(60) and mass["a", "x"] + mass["b", "x"] == pytest.approx(55)
+
+def test_newton_steps(spark):
+    """Multipliers of many keys and of two features meet their targets, as a plain solver of the dual finds them."""
+    rng = np.random.default_rng(3)
+    keys, size, x = rng.integers(0, 5, 300), rng.integers(1, 50, 300).astype(float), rng.normal(size=(300, 2))
+    truth = np.exp(rng.normal(size=5)[keys] * 0.5 + x @ [0.3, -0.4])
+    goal = np.bincount(keys, size * truth)
+    totals = (size * truth) @ x
+    rows = spark.createDataFrame([(f"k{k}", float(n), v.tolist()) for k, n, v in zip(keys, size, x)] + [("empty", 0.0, [0.0, 0.0])], "key string, size double, features array<double>")
+    wanted = spark.createDataFrame([(f"k{k}", float(t)) for k, t in enumerate(goal)] + [("empty", 5.0), ("none", 1.0)], "key string, target double")
+    lam, mu = mixing.balanced(spark, rows, wanted, tuple(totals))
+    lam = {r["key"]: r["lam"] for r in lam.collect()}
+    assert lam["empty"] is None and lam["none"] is None
+    rate = np.exp(np.array([lam[f"k{k}"] for k in keys]) + x @ mu)
+    assert np.bincount(keys, size * rate) == pytest.approx(goal) and (size * rate) @ x == pytest.approx(totals, abs=1e-4)
+    assert rate == pytest.approx(truth, rel=1e-4)  # the tilt that made the targets is the only one
+    lam, _ = mixing.balanced(spark, rows.select("key", "size"), wanted)
+    assert all(np.exp(r["lam"]) * size[keys == int(r["key"][1])].sum() == pytest.approx(goal[int(r["key"][1])]) for r in lam.where("lam is not null").collect())
 
 
 def test_mixing(spark, docs, sf, empty):
@@ -281,7 +439,7 @@ def test_mixing(spark, docs, sf, empty):
         want = Counter()
         for r in texts:
             want[r["source"]] += len(WORD.findall(r["text"] or ""))
-        goal, size, source = mixing.targets(want), {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in texts}, {r["doc_id"]: r["source"] for r in texts}
+        goal, size, source = shared_plainly(want), {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in texts}, {r["doc_id"]: r["source"] for r in texts}
         got = Counter()
         for r in rows:
             assert r["size"] == size[r["doc_id"]] and r["source_size"] == want[source[r["doc_id"]]] and r["target"] == pytest.approx(goal[source[r["doc_id"]]])
@@ -293,6 +451,11 @@ def test_mixing(spark, docs, sf, empty):
     assert mixing.digest(spark, empty).count() == 0 == mixing.repeated(spark, empty).count()
 
 
+def test_mixing_of_rows_without_a_key(spark):
+    df = spark.createDataFrame([(None, "a b c", None, 1.0), (None, "d", "s", 2.0), (3, None, "s", 3.0)], "doc_id long, text string, source string, rate double")
+    assert mixing.digest(spark, df).count() == 3 and mixing.repeated(spark, df).columns == df.columns
+
+
 # 6. token counts
 
 
@@ -332,6 +495,30 @@ def test_edits_of_contractions(code):
         assert tree.tokens == len(code.code.encode_ordinary(tree.text))
 
 
+def test_edits_touch_little(code):
+    """Single edits of a long text encode a few leaves, and the tree is seldom built again."""
+    rng = random.Random(7)
+    tree = token_counts.Tree(code, " ".join(f"word{i}" for i in range(20000)))
+    built = []
+    whole = tree._sum
+    tree._sum = lambda: built.append(1) or whole()
+    for _ in range(300):
+        before, a = tree.encoded, rng.randrange(len(tree.text))
+        tree.edit(a, a + rng.choice((0, 3)), rng.choice(("", "new words here", "x")))
+        assert 0 < tree.encoded - before <= 4 * token_counts.FULL * 12
+    assert len(built) <= 10 and tree.tokens == len(code.code.encode_ordinary(tree.text))
+    small = token_counts.Tree(code, "one two three")
+    small.edit(4, 7, "2")
+    assert small.encoded == len("one 2 three")  # all of a text of one leaf
+
+
+def test_token_columns_that_clash(spark, code):
+    df = spark.createDataFrame([(1, "a b", "x", "y", "z"), (None, None, "x", "y", "z")], "doc_id long, text string, n_tokens string, tree string, encoded string")
+    rows = token_counts.counted(spark, df).withColumn("edits", token_counts.sample_edits(F.col("doc_id"), F.length("text")))
+    got = {r["doc_id"]: r for r in token_counts.edited(spark, rows).collect()}
+    assert got[1]["n_tokens"] == len(code.code.encode_ordinary(got[1]["text"])) and isinstance(got[1]["encoded"], int) and len(got) == 2
+
+
 def test_token_counts(spark, docs, code, empty):
     texts = dict(docs.select("doc_id", "text").collect())
     for r in token_counts.digest(spark, docs).collect():
@@ -388,7 +575,7 @@ def test_codec_of_a_unigram_model():
 
 def test_encoded(spark, docs, model, empty):
     rows = sentencepieces.encoded(spark, docs)
-    assert rows.columns == [*docs.columns, "token_ids", "n_tokens"]
+    assert rows.columns == [*docs.columns, "token_ids", "n_tokens", "parity", "round_trip"]
     texts = dict(docs.select("doc_id", "text").collect())
     back = sentencepieces.decoded(spark, rows)
     assert all(r["text"] == (texts[r["doc_id"]] or "") for r in back.collect())
@@ -396,6 +583,61 @@ def test_encoded(spark, docs, model, empty):
     assert sentencepieces.digests(spark, empty).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizers_library(model, monkeypatch):
+    """Were the other library to say something else, ids would stay and parity would be false."""
+    c = sentencepieces.Codec(model)
+
+    class Other:
+        def encode(self, texts, num_threads=1):
+            return [[5] for _ in texts]
+
+        def piece_to_id(self, piece):
+            return 5
+
+    right = sentencepieces.Codec(model).encode(["hello world", ""])[0]
+    c.theirs = Other()
+    ids, ok, back = c.encode(["hello world", ""])
+    assert ids == right and ok == [False, True] and back == [True, True]
+
+
+def test_round_trip_is_that_of_the_text(spark, model):
+    """Texts that no ids decode to are told."""
+    df = spark.createDataFrame([(1, "a ▁b"), (2, "plain text"), (None, None)], "doc_id long, text string").withColumns({"parity": F.lit(7), "token_ids": F.lit("x")})
+    got = {r["doc_id"]: (r["parity"], r["round_trip"], r["n_tokens"]) for r in sentencepieces.encoded(spark, df).collect()}
+    assert got[1][:2] == (True, False) and got[2][:2] == (True, True) and got[None] == (True, True, 0)
+
+
+def unigram_model(pieces, charsmap=b"", fallback=False):
+    import struct
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def field(k, value):
+        return number(k * 8) + number(value) if isinstance(value, int) else number(k * 8 + 2) + number(len(value)) + value
+
+    data = b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + field(3, k)) for p, s, k in pieces)
+    return data + field(2, field(3, 1) + field(35, int(fallback))) + field(3, field(2, charsmap) + field(3, 1) + field(4, 0) + field(5, 1))
+
+
+def test_codec_of_byte_fallback_and_user_pieces():
+    import sentencepiece
+
+    letters = [(c, -4.0 - i / 10, 1) for i, c in enumerate("abcdeé")]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{i:02X}>", 0.0, 6) for i in range(256)], ("▁", -2.0, 1), *letters, ("ab", -3.0, 1), ("▁ab", -3.5, 1), ("cde", -3.2, 1)]
+    xs = ["ab cde", "日本 ab", "éé 😀", "", "a\x00b", "xyz"]
+    for fallback in (True, False):
+        data = unigram_model(pieces, fallback=fallback)
+        ids, ok, back = sentencepieces.Codec(data).encode(xs)
+        right = sentencepiece.SentencePieceProcessor(model_proto=data).encode(xs)
+        assert ok == [a == b for a, b in zip([np.frombuffer(i, "<i4").tolist() for i in ids], right)]
+        if fallback:
+            assert all(ok) and all(back)
+
+
 # 8. quality classifier
 
 
@@ -417,6 +659,58 @@ def test_classifier_of_odd_tables(spark, docs, empty):
     assert quality_classifier.scored(spark, empty, labels).count() == 0
 
 
+def test_word_vectors_against_plain_sums(spark, texts):
+    """Word vectors and pooled documents, recomputed word by word."""
+    docs = spark.createDataFrame(list(enumerate([*texts[:6], None, "", "one", "one one"])), "doc_id long, text string").repartition(3)
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    index = [quality_classifier.index_vectors(n, k) for k, n in enumerate(quality_classifier.ROWS)]
+    sums = [np.zeros((n, quality_classifier.DIM + 1)) for n in quality_classifier.ROWS]
+    tokens = {}
+    for i, raw in rows:
+        _, t = quality_classifier._tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        tokens[i] = t
+        for k in (0, 1):
+            for at, w in enumerate(t[k].tolist()):
+                sums[k][w, -1] += 1
+                for o in quality_classifier.AROUND:
+                    if 0 <= at + o < len(t[k]):
+                        sums[k][w, :-1] += index[k][t[k][at + o]]
+    tables = []
+    for table in sums:
+        n, v = table[:, -1], table[:, :-1]
+        v = v - v.sum(0) / n.sum() * n[:, None]
+        v = v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
+        tables.append(v * (1e-2 / (1e-2 + n / n.sum()))[:, None])
+    got = {r["doc_id"]: r["vector"] for r in quality_classifier.pooled(spark, docs, "doc_id").collect()}
+    for i, t in tokens.items():
+        want = np.concatenate([tables[k][t[k]].mean(0) if len(t[k]) else np.zeros(quality_classifier.DIM) for k in (0, 1)])
+        assert np.allclose(got[i], want, atol=1e-5), i
+
+
+def test_network_against_plain_layers():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 2 * quality_classifier.DIM))
+    y = (x[:, 0] + 0.3 * x[:, 1] ** 2 > 0.3).astype(float)
+    net = quality_classifier.Network(x, y)
+    w1, b1, w2, b2 = net.w
+    for row in x[:20]:
+        hidden = [np.tanh(sum((row[i] - net.mean[i]) / net.dev[i] * w1[i, j] for i in range(len(row))) + b1[j]) for j in range(len(b1))]
+        want = 1 / (1 + np.exp(-(sum(h * w for h, w in zip(hidden, w2)) + b2[0]) / net.heat))
+        assert net.score(row[None])[0] == pytest.approx(want)
+    loss = lambda t: np.logaddexp(0, -np.where(y > 0.5, 1, -1) * net.logit(x) / t).mean()
+    assert loss(net.heat) <= loss(1.0) + 0.05 and np.mean((net.score(x) >= 0.5) == y) > 0.85
+
+
+def test_repeated_labelled_rows_count_once(spark, monkeypatch):
+    seen = []
+    real = quality_classifier.Network
+    monkeypatch.setattr(quality_classifier, "Network", lambda x, y: seen.append(len(x)) or real(x, y))
+    docs = spark.createDataFrame([(i, f"text {i} {'!' * (i % 2)}", "s") for i in range(12)] * 5, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    assert quality_classifier.scored(spark, docs, labels).count() == 60
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(12))]
+
+
 # 9. repeated passages
 
 

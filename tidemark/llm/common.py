@@ -1,78 +1,27 @@
-"""Shared helpers: reading, staging, bounded broadcast joins and Arrow batch slicing."""
+"""Shared helpers: reading, bounded broadcast joins and Arrow batch slicing; staging comes from the library."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.staging import drop_stage, stage
+
+__all__ = ["BROADCAST_ROWS", "SPACES", "SPACE_CLASS", "drop_stage", "lookup_join", "pieces", "read", "small_batches", "stage", "utf8"]
+
 #: The separators of words in every contract: space, tab, \n, \v, \f, \r.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-_made: dict[str, SparkSession] = {}
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        _made[base] = spark
-    return base
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-    except Exception:  # at exit the JVM may be gone; the folder is scratch space
-        pass
-
-
-@atexit.register
-def _clean() -> None:
-    for path, spark in _made.items():
-        _remove(spark, path)
-    _made.clear()
-
-
-def stage(spark: SparkSession, df: DataFrame, name: str, free: bool = False) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: lineage ends there, and a lost executor costs
-    no more than the tasks since. free lets go of shuffle files that nothing refers to any more, after large ones."""
-    path = f"{work_dir(spark)}/tidemark-{uuid.uuid4().hex}-{name}"
-    _made[path] = spark
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    if free:
-        gc.collect()
-        spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
-
-
-def drop_stage(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a staged table that no plan reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for known in [k for k in _made if k.endswith(path.rsplit("/", 1)[1])]:
-            _remove(spark, known)
-            _made.pop(known, None)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, so that a batch of long texts stays in memory."""
+    """Arrow batches of at most so many rows, so that a batch of long texts stays in memory. The session keeps the setting;
+    a smaller one of the caller stands."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

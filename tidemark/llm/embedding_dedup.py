@@ -2,30 +2,35 @@
 
 Each half of the unit vectors has its own codebook; a vector lies in the cell (nearest centroid of the first half,
 nearest of the second) of the product grid. For a query, both halves' centroids are put in the order of a lower bound
-on the squared distance to anything in their Voronoi cell, and the multi-sequence traversal takes pairs of them in the
-order of the sum. It ends where the sum exceeds the squared distance that the similarity allows, times reach: at a reach
-of 1 no linked vector can lie beyond, so recall is complete by construction; less reach visits fewer cells for less
-recall. Everything visited is verified by its cosine in double precision.
-
-Codebooks are fitted on a bounded sample (SAMPLE vectors, chosen by hash); every vector is indexed and is a query.
-Equal vectors are one class with a multiplicity. A slab of the grid (one first-half centroid of one label) is dealt out
-in blocks of index rows times blocks of queries, so that a crowded cell spreads over tasks; each block pair gives one
-row per vector, never its pairs.
+on the squared distance to anything in their Voronoi cell, and the multi-sequence traversal visits cells in the order of
+the sum of the two. It ends where the sum exceeds the squared distance that the similarity allows: no linked vector can
+lie beyond, so recall is complete by construction. For a target recall below 1 it ends sooner, at the sum within which
+that share of the links among the codebooks' sample lies. Everything visited is verified by its cosine in double
+precision.
+
+Codebooks are fitted on a bounded sample (chosen by hash); every vector is indexed and is a query. Their size grows with the
+root of the rows of the largest label, so that cells stay small. Equal vectors are one class with a multiplicity. A slab of
+the grid (one first-half centroid of one label) is dealt out in blocks of index rows times blocks of queries, so that a
+crowded cell spreads over tasks; each block pair gives one row per vector, never its pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import lookup_join, small_batches, stage
-from tidemark.llm.components import components
+from tidemark.operators.stars import components
 
-SAMPLE = 8192
-#: Centroids of each half; fits the bits of a long.
-CENTROIDS = 32
+#: Vectors that codebooks are fitted on: so many, or so many a centroid.
+SAMPLE, PER_CENTROID = 8192, 8
+#: Centroids of each half, at least and at most.
+FEWEST, MOST = 16, 4096
 #: Rows of a block, of index rows and of queries.
 BLOCK = 1024
 
@@ -36,6 +41,8 @@ def _matrix(lists: pa.Array) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square is too large or small."""
+    x = x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300) if x.size else x
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -43,7 +50,7 @@ def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :], 0)
 
 
-def codebook(x: np.ndarray, k: int = CENTROIDS, rounds: int = 15) -> np.ndarray:
+def codebook(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     """k-means from evenly spaced rows; fewer rows than k are their own centroids."""
     c = np.unique(x, axis=0)
     if len(c) <= k:
@@ -69,17 +76,41 @@ def _bounds(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return near, low * low
 
 
-def traversal(low1: np.ndarray, low2: np.ndarray, stop: float) -> list[list[tuple[int, int]]]:
-    """For each query (row), its visits as (first-half centroid, bits of second-half centroids): multi-sequence order
-    ends at stop; along the sorted first half, the visited part of the sorted second half only shrinks."""
-    out = []
-    order1, order2 = np.argsort(low1, 1, kind="stable"), np.argsort(low2, 1, kind="stable")
-    for q in range(len(low1)):
-        s1, s2 = low1[q, order1[q]], low2[q, order2[q]]
-        bits = np.bitwise_or.accumulate(np.int64(1) << order2[q].astype(np.int64))
-        reach = np.searchsorted(s2, stop - s1, "right")
-        out.append([(int(order1[q, i]), int(bits[r - 1])) for i, r in enumerate(reach) if r])
-    return out
+def traversal(low1: np.ndarray, low2: np.ndarray, stop: float) -> Iterator[tuple[int, int, float]]:
+    """Multi-sequence traversal for one query: cells (first-half centroid, second-half centroid, bound) in ascending order
+    of the sum of their bounds, until it exceeds stop. The heap holds the next cell of each row of the sorted grid that
+    has been entered."""
+    order1, order2 = np.argsort(low1, kind="stable"), np.argsort(low2, kind="stable")
+    s1, s2 = low1[order1].tolist(), low2[order2].tolist()
+    first, second = order1.tolist(), order2.tolist()
+    heap = [(s1[0] + s2[0], 0, 0)]
+    while heap:
+        bound, i, j = heappop(heap)
+        if bound > stop:
+            return
+        yield first[i], second[j], bound
+        if j + 1 < len(s2):
+            heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
+        if not j and i + 1 < len(s1):
+            heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
+
+
+def calibrated(units: np.ndarray, labels: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float, recall: float) -> float:
+    """Where the traversal stops: the squared distance of the threshold for a recall of 1; below that, the bound within
+    which so great a share of the links among the sample lies (the squared distance, if it has none)."""
+    whole = max(2 - 2 * threshold, 0) + 1e-9
+    if recall >= 1 or not len(units):
+        return whole
+    half, found = units.shape[1] // 2, []
+    (n1, l1), (n2, l2) = _bounds(units[:, :half], books[0]), _bounds(units[:, half:], books[1])
+    for lo in range(0, len(units), 1024):
+        linked = (units[lo : lo + 1024] @ units.T >= threshold) & (labels[lo : lo + 1024, None] == labels[None, :])
+        q, x = np.nonzero(linked)
+        q += lo
+        q, x = q[q != x], x[q != x]
+        found.append(l1[q, n1[x]] + l2[q, n2[x]])
+    sums = np.sort(np.concatenate(found))
+    return min(whole, float(sums[min(int(np.ceil(recall * len(sums))), len(sums)) - 1]) + 1e-12) if len(sums) else whole
 
 
 def _comparable() -> Column:
@@ -89,38 +120,47 @@ def _comparable() -> Column:
     return F.coalesce(sound & finite & F.exists(e, lambda v: v != 0), F.lit(False))
 
 
-def links(spark: SparkSession, vectors: DataFrame, threshold: float = 0.98, reach: float = 1.0) -> tuple[DataFrame, DataFrame]:
+def links(spark: SparkSession, vectors: DataFrame, threshold: float = 0.98, recall: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Classes of equal vectors (rep, mult, k1, k2, links: other vectors linked) and edges between reps (a, b) that
     span the components of the link graph."""
     small_batches(spark, 2000)
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")).where(_comparable())
     classes = rows.groupBy(F.xxhash64("label", "embedding").alias("k1"), F.xxhash64("embedding", "label", F.lit("2")).alias("k2")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     classes = stage(spark, classes, "classes")
-    sample = classes.select("embedding", F.xxhash64("rep", "k1").alias("h")).orderBy("h").limit(SAMPLE).toArrow().column("embedding")
-    sizes = np.asarray(sample.combine_chunks().value_lengths()) if len(sample) else np.zeros(0, int)
-    books = {}
-    for d in np.unique(sizes):
-        u = _unit(_matrix(sample.combine_chunks().filter(pa.array(sizes == d))))
-        books[int(d)] = (codebook(u[:, : d // 2]), codebook(u[:, d // 2 :]))
-    stop = max(2 - 2 * threshold, 0) * reach + 1e-9
+    largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    k = int(min(MOST, max(FEWEST, largest**0.5)))
+    sample = classes.select("embedding", F.col("label").cast("string").alias("label"), F.xxhash64("rep", "k1").alias("h")).orderBy("h").limit(max(SAMPLE, k * PER_CENTROID)).toArrow()
+    sizes = np.asarray(sample.column("embedding").combine_chunks().value_lengths()) if len(sample) else np.zeros(0, int)
+    books, stops = {}, {}
+    for d in np.unique(sizes).tolist():
+        part = sample.filter(pa.array(sizes == d))
+        u, names = _unit(_matrix(part.column("embedding").combine_chunks())), np.array(part.column("label").to_pylist(), object)
+        books[d] = (codebook(u[:, : d // 2], k), codebook(u[:, d // 2 :], k))
+        stops[d] = calibrated(u, names, books[d], threshold, recall)
+    otherwise = calibrated(np.zeros((0, 2)), np.zeros(0), ((), ()), threshold, recall)
 
     def place(batches):
         for b in batches:
             dims = np.asarray(b.column(3).value_lengths())
-            for d in np.unique(dims):
+            for d in np.unique(dims).tolist():
                 part = b.filter(pa.array(dims == d))
                 u = _unit(_matrix(part.column(3)))
-                c1, c2 = books.get(int(d), (np.zeros((1, d // 2)), np.zeros((1, d - d // 2))))
+                c1, c2 = books.get(d, (np.zeros((1, d // 2)), np.zeros((1, d - d // 2))))
                 (n1, l1), (n2, l2) = _bounds(u[:, : d // 2], c1), _bounds(u[:, d // 2 :], c2)
-                # a pair is found once, from the vector in the earlier cell
-                visits = [[{"slab": s, "cells": m} for s, m in v if s >= own] for v, own in zip(traversal(l1, l2, stop), n1)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(u), d, np.int32)), pa.array(n1.astype(np.int32)), pa.array(n2.astype(np.int32)), pa.array(visits, pa.list_(pa.struct([("slab", pa.int32()), ("cells", pa.int64())])))], ["label", "rep", "mult", "embedding", "dim", "slab", "cell", "visits"])
+                visits = []
+                for q in range(len(u)):
+                    slabs: dict[int, list[int]] = {}
+                    for s, c, _ in traversal(l1[q], l2[q], stops.get(d, otherwise)):
+                        if (s, c) >= (n1[q], n2[q]):  # a pair is found once, from the vector in the earlier cell
+                            slabs.setdefault(s, []).append(c)
+                    visits.append([{"slab": s, "cells": c} for s, c in slabs.items()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(u), d, np.int32)), pa.array(n1.astype(np.int32)), pa.array(n2.astype(np.int32)), pa.array(visits, pa.list_(pa.struct([("slab", pa.int32()), ("cells", pa.list_(pa.int32()))])))], ["label", "rep", "mult", "embedding", "dim", "slab", "cell", "visits"])
 
     label = classes.schema["label"].dataType.simpleString()
-    placed = classes.select("label", "rep", "mult", "embedding").mapInArrow(place, f"label {label}, rep long, mult long, embedding array<double>, dim int, slab int, cell int, visits array<struct<slab: int, cells: long>>")
+    placed = classes.select("label", "rep", "mult", "embedding").mapInArrow(place, f"label {label}, rep long, mult long, embedding array<double>, dim int, slab int, cell int, visits array<struct<slab: int, cells: array<int>>>")
     placed = stage(spark, placed, "placed")
     key = ["label", "dim", "slab"]
-    index = placed.select(*key, "rep", "mult", "embedding", "cell", F.lit(0).alias("role"), F.lit(0).cast("long").alias("cells"), F.col("slab").alias("own"))
+    index = placed.select(*key, "rep", "mult", "embedding", "cell", F.lit(0).alias("role"), F.lit(None).cast("array<int>").alias("cells"), F.col("slab").alias("own"))
     query = placed.select("label", "dim", F.explode("visits").alias("v"), "rep", "mult", "embedding", "cell", "slab").select("label", "dim", "v.slab", "rep", "mult", "embedding", "cell", F.lit(1).alias("role"), "v.cells", F.col("slab").alias("own"))
     both = index.union(query)
     parts = both.groupBy(*key).agg(F.ceil(F.sum(1 - F.col("role")) / BLOCK).cast("int").alias("ni"), F.ceil(F.sum("role") / BLOCK).cast("int").alias("nq")).where("ni > 0 and nq > 0")
@@ -131,7 +171,12 @@ def links(spark: SparkSession, vectors: DataFrame, threshold: float = 0.98, reac
 
     def compare(table: pa.Table) -> pa.Table:
         role = np.asarray(table.column("role"))
-        rep, mult, cell, cells, own, slab = (np.asarray(table.column(c)) for c in ("rep", "mult", "cell", "cells", "own", "slab"))
+        rep, mult, cell, own, slab = (np.asarray(table.column(c)) for c in ("rep", "mult", "cell", "own", "slab"))
+        asked = table.column("cells").combine_chunks()
+        n_asked = np.asarray(asked.value_lengths().fill_null(0))
+        wanted, by = np.asarray(asked.flatten()), np.repeat(np.arange(len(rep)), n_asked)
+        order = np.argsort(wanted, kind="stable")
+        wanted, by = wanted[order], by[order]
         u = _unit(_matrix(table.column("embedding").combine_chunks()))
         count, ids = np.zeros(len(rep), np.int64), np.arange(len(rep))
         root = ids.copy()
@@ -139,7 +184,9 @@ def links(spark: SparkSession, vectors: DataFrame, threshold: float = 0.98, reac
         x_of = np.flatnonzero(role == 0)
         for c in np.unique(cell[x_of]):
             x = x_of[cell[x_of] == c]
-            q = np.flatnonzero((role == 1) & ((cells >> np.int64(c)) & 1 == 1))
+            q = by[np.searchsorted(wanted, c, "left") : np.searchsorted(wanted, c, "right")]
+            if not len(q):
+                continue
             sim = u[q] @ u[x].T >= threshold
             # the earlier cell asks; in one cell, the smaller rep
             before = (own[q] < slab[x[0]]) | ((own[q] == slab[x[0]]) & (cell[q] < c))
@@ -176,7 +223,7 @@ def links(spark: SparkSession, vectors: DataFrame, threshold: float = 0.98, reac
     return classes, found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
 
 
-def deduplicated(spark: SparkSession, vectors: DataFrame, threshold: float = 0.98, reach: float = 1.0) -> DataFrame:
+def deduplicated(spark: SparkSession, vectors: DataFrame, threshold: float = 0.98, recall: float = 1.0) -> DataFrame:
     """vectors (vec_id, embedding, label) -> vec_id, n_links, component_id (smallest vec_id reachable), kept.
 
     Only vectors with equal labels that are not null are compared. Vectors that are null, empty, zero, or hold null or
@@ -184,7 +231,7 @@ def deduplicated(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9
     kept (null without a vec_id). Vectors of different lengths do not link. Equal vectors link with each other; rows
     that repeat count as vectors of their own. Other columns are left out; an empty table gives an empty one.
     """
-    classes, edges = links(spark, vectors, threshold, reach)
+    classes, edges = links(spark, vectors, threshold, recall)
     classes = stage(spark, classes, "degrees")
     comp = components(spark, edges).withColumnRenamed("node", "rep")
     classes = classes.join(comp, "rep", "left").select("k1", "k2", "links", F.coalesce("root", "rep").alias("component_id"))

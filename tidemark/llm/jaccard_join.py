@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pieces, small_batches, stage, utf8
-from tidemark.llm.components import components
 from tidemark.llm.hashing import mix, shingle_sets
+from tidemark.operators.stars import components
 
 #: Buckets of the count table; a constant, whatever the input.
 BUCKET_BITS = 20

@@ -1,11 +1,14 @@
 """Mixing sources to target token totals by entropy balancing.
 
-Among all document rates with the wanted token total per constraint, the one nearest to keeping every document once
-(least token-weighted relative entropy) is an exponential tilt exp(sum of the multipliers of the document's
-constraints). Newton steps on the convex dual find the multipliers; their gradients and Hessians are sums over cells of
-documents with equal constraints, pre-aggregated by Spark. Rates are then rounded to copies, so that the words that a
-source contributes come near its target: within a class of sizes, documents are rounded up in the order of a hash until
-the wanted number of words is met, and what is left over moves on to the next smaller class.
+Among all document rates with the wanted token total per source (and the wanted totals of further features of documents),
+the one nearest to keeping every document once (least token-weighted relative entropy) is an exponential tilt:
+exp(the source's multiplier + the features times theirs). Newton steps on the convex dual find the multipliers. Each step
+is one aggregate over the documents (pre-aggregated by source where there are no features): it gives gradient and Hessian,
+whose block of sources is diagonal, so that a source's multiplier is updated where the source is, in a table that is
+joined with the documents for the next step; the driver sees the few numbers of the features alone. Sources may be many.
+Rates are then rounded to copies, so that the words that a source contributes come near its target: within a class of
+sizes, documents are rounded up in the order of a hash until the wanted number of words is met, and what is left over
+moves on to the next smaller class.
 """
 
 from __future__ import annotations
@@ -30,67 +33,77 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, f"{SPACE_CLASS}+"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> dict[str | None, float]:
-    """Shares of the total of all sizes by weight; what a source cannot take (over most times its size) is shared again
-    by weight among the others until no target is above."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
-    out: dict[str | None, float] = {}
-    left, free = float(sum(sizes.values())), list(order)
-    while free:
-        per = left / sum(weight[s] for s in free)
-        over = [s for s in free if weight[s] * per > most * sizes[s]]
-        if not over:
-            return out | {s: weight[s] * per for s in free}
-        for s in over:
-            out[s] = float(most * sizes[s])
-            left -= out[s]
-        free = [s for s in free if s not in out]
-    return out
-
-
-def multipliers(cells: pd.DataFrame, wanted: list[dict], columns: list[str], rounds: int = 100) -> list[dict]:
-    """Newton steps with halving on the dual sum(size * exp(l)) - l * wanted over cells (columns..., size).
-
-    cells has a row per combination of constraint values; l adds up one multiplier of each column. Constraints whose
-    cells are empty or whose wanted total is 0 get a multiplier of minus infinity (rate 0)."""
-    levels = [list(w) for w in wanted]
-    at, b = {}, []
-    for c, values in enumerate(levels):
-        for v in values:
-            at[c, v] = len(b)
-            b.append(wanted[c][v])
-    b = np.array(b, float)
-    index = np.array([[at[c, v] for c, v in enumerate(row)] for row in cells[columns].itertuples(index=False, name=None)], int).reshape(len(cells), len(columns))
-    size = cells["size"].to_numpy(float)
-    dead = (b <= 0) | (np.bincount(index.ravel(), np.repeat(size, len(columns)), len(b)) <= 0)
-    live = ~dead[index].any(1)
-    index, size = index[live], size[live]
-    scale = max(size.sum(), 1.0)
-    lam = np.zeros(len(b))
-
-    def dual(x):
-        return (size * np.exp(np.clip(x[index].sum(1), -50, 50))).sum() - x[~dead] @ b[~dead]
-
-    for _ in range(rounds if len(size) else 0):
-        mass = size * np.exp(np.clip(lam[index].sum(1), -50, 50))
-        gradient = np.bincount(index.ravel(), np.repeat(mass, len(columns)), len(b)) - np.where(dead, 0, b)
-        if np.abs(gradient).max() < 1e-9 * scale:
+def ranked(spark: SparkSession, sizes: DataFrame) -> DataFrame:
+    """sizes (source, size, one row per source) with at: the source's number in the order of code points, null last. Rows
+    are sorted over all tasks; only the number of rows per task is known to the driver."""
+    keyed = sizes.withColumn("tm_null", F.col("source").isNull())
+    rows = keyed.repartitionByRange("tm_null", "source").sortWithinPartitions("tm_null", "source").drop("tm_null")
+    rows = stage(spark, rows.withColumn("tm_id", F.monotonically_increasing_id()), "ranked")
+    part, within = F.shiftright("tm_id", 33), F.col("tm_id").bitwiseAND((1 << 33) - 1)
+    before, total = {}, 0
+    for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        before[r["p"]] = total
+        total += r["n"]
+    offset = F.element_at(F.create_map(*[F.lit(x) for p in before.items() for x in p]), part) if before else F.lit(0)
+    return rows.withColumn("at", (offset + within).cast("long")).drop("tm_id")
+
+
+def targeted(spark: SparkSession, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """sizes (source, size) with target: shares of the total of all sizes by weight; what a source cannot take (over most
+    times its size) is shared again by weight among the others until no target is above. One aggregate a round finds
+    the words per unit of weight; they only grow, so that a source once over stays over."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
+    rows = ranked(spark, sizes).withColumn("weight", weight)
+    per, total = 0.0, rows.agg(F.sum("size")).first()[0] or 0
+    while True:
+        over = F.col("weight") * per > most * F.col("size")
+        fixed, free = rows.agg(F.sum(F.when(over, most * F.col("size"))), F.sum(F.when(~over, F.col("weight")))).first()
+        after = (total - (fixed or 0)) / free if free else per
+        if after <= per:
             break
-        if len(columns) == 1:  # the Hessian is diagonal
-            step = gradient / np.maximum(np.bincount(index[:, 0], mass, len(b)), 1e-12)
-        else:
-            hessian = np.zeros((len(b), len(b)))
-            for i in range(len(columns)):
-                for j in range(len(columns)):
-                    np.add.at(hessian, (index[:, i], index[:, j]), mass)
-            step = np.linalg.solve(hessian + 1e-9 * scale * np.eye(len(b)), gradient)
-        step, now, t = np.where(dead, 0, step), dual(lam), 1.0
-        while t > 1e-6 and dual(lam - t * step) > now - 1e-4 * t * (gradient @ step):
-            t /= 2
-        lam = lam - t * step
-    lam[dead] = -np.inf
-    return [{v: float(lam[at[c, v]]) for v in values} for c, values in enumerate(levels)]
+        per = after
+    return rows.select("source", "size", F.when(F.col("weight") * per > most * F.col("size"), (most * F.col("size")).cast("double")).otherwise(F.col("weight") * per).alias("target"))
+
+
+def balanced(spark: SparkSession, rows: DataFrame, wanted: DataFrame, totals: tuple[float, ...] = (), rounds: int = 100) -> tuple[DataFrame, list[float]]:
+    """rows (key, size, features array<double>), wanted (key, target), totals wanted of size * rate * feature -> (key, lam)
+    and the features' multipliers, so that rates exp(lam + features . multipliers) meet all targets.
+
+    Keys without a positive size or target get a null lam (rate 0). Keys may not be null. Steps are cut to 2 in each
+    multiplier, which keeps exponentials in bounds; not to settle is an error."""
+    dim, mu = len(totals), [0.0] * len(totals)
+    x = [F.col("features")[i] for i in range(dim)]
+    if not dim:  # equal rows of a key are one
+        rows = stage(spark, rows.groupBy("key").agg(F.sum("size").alias("size")), "cells")
+    live = stage(spark, rows.groupBy("key").agg(F.sum("size").alias("s")).where("s > 0").join(wanted.where("target > 0"), "key").select("key", "target", F.lit(0.0).alias("lam")), "lam")
+    scale = max(live.agg(F.sum("target")).first()[0] or 0.0, 1.0)
+    for _ in range(rounds):
+        tilt = F.col("lam") + sum((v * m for v, m in zip(x, mu)), F.lit(0.0))
+        mass = lookup_join(rows, live, ["key"], "inner").withColumn("mass", F.col("size") * F.exp(tilt))
+        cells = [(i, j) for i in range(dim) for j in range(i + 1)]
+        # gradient and Hessian: d and its target for the key, b with each feature, c between features
+        sums = mass.groupBy("key").agg(F.first("target").alias("target"), F.first("lam").alias("lam"), F.sum("mass").alias("d"), *[F.sum(F.col("mass") * v).alias(f"b{i}") for i, v in enumerate(x)], *[F.sum(F.col("mass") * x[i] * x[j]).alias(f"c{i}_{j}") for i, j in cells])
+        sums = stage(spark, sums.withColumn("g", F.col("d") - F.col("target")), "newton")
+        of = [F.max(F.abs("g")), *[F.sum(f"b{i}") for i in range(dim)], *[F.sum(F.col("g") * F.col(f"b{i}") / F.col("d")) for i in range(dim)], *[F.sum(F.col(f"c{i}_{j}") - F.col(f"b{i}") * F.col(f"b{j}") / F.col("d")) for i, j in cells]]
+        worst, *rest = sums.agg(*of).first()
+        if worst is None:
+            break
+        g = np.array(rest[:dim], float) - np.array(totals, float)
+        if max(worst, np.abs(g).max() if dim else 0.0) <= 1e-9 * scale:
+            break
+        step = np.zeros(dim)
+        if dim:
+            h = np.zeros((dim, dim))
+            for (i, j), v in zip(cells, rest[2 * dim :]):
+                h[i, j] = h[j, i] = v
+            step = np.linalg.solve(h + 1e-12 * scale * np.eye(dim), g - np.array(rest[dim : 2 * dim], float))
+            step = np.clip(step, -2, 2)
+        mu = [m - float(d) for m, d in zip(mu, step)]
+        move = (F.col("g") - sum((F.col(f"b{i}") * float(d) for i, d in enumerate(step)), F.lit(0.0))) / F.col("d")
+        live = stage(spark, sums.select("key", "target", (F.col("lam") - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), move))).alias("lam")), "lam")
+    else:
+        raise RuntimeError(f"multipliers have not settled after {rounds} steps")
+    return wanted.select("key").join(live.select("key", "lam"), "key", "left"), mu
 
 
 def _ceilings(part: pd.DataFrame) -> pd.DataFrame:
@@ -115,7 +128,7 @@ def mixed(spark: SparkSession, docs: DataFrame, key: str = "doc_id", weights: tu
 
     A null source is a source of its own and comes last; null and empty texts have size 0 and 0 words taken; a source
     of size 0 has target 0. Repeated rows with one key and size get the same copies. Nothing depends on the order of
-    rows or on partitions, so reruns agree. One row per source is held by the driver (a catalogue of sources), no more.
+    rows or on partitions, so reruns agree. Sources are rows of tables; none are held by the driver.
     """
     added = ["size", "source_size", "target", "rate", "copies", "taken"]
     rows = docs.drop(*[c for c in docs.columns if c in added]).withColumn("size", size_of(F.col("text")))
@@ -124,14 +137,13 @@ def mixed(spark: SparkSession, docs: DataFrame, key: str = "doc_id", weights: tu
 
 def copied(spark: SparkSession, rows: DataFrame, key: str, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """mixed(), for rows that have their size; they are read more than once."""
-    per = rows.groupBy("source").agg(F.sum("size").alias("size")).toPandas()
-    sizes = {None if s is None or s != s else s: int(n) for s, n in zip(per["source"], per["size"])}
-    wanted = targets(sizes, weights, most)
-    cells = pd.DataFrame({"source": list(sizes), "size": list(sizes.values())}, dtype=object).astype({"size": "int64"})
-    lam = multipliers(cells, [wanted], ["source"])[0]
-    table = spark.createDataFrame([(s, n, wanted[s], float(min(np.exp(lam[s]), most))) for s, n in sizes.items()], "source string, source_size long, target double, rate double")
     named = lambda df: df.withColumn("tm_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
-    rows = lookup_join(named(rows), named(table).drop("source"), ["tm_source"])
+    per = rows.groupBy("source").agg(F.sum("size").cast("long").alias("size"))
+    wanted = stage(spark, named(targeted(spark, per, weights, most)), "targets")
+    lam, _ = balanced(spark, wanted.select(F.col("tm_source").alias("key"), "size"), wanted.select(F.col("tm_source").alias("key"), "target"))
+    rate = F.coalesce(F.least(F.exp("lam"), F.lit(float(most))), F.lit(0.0))
+    table = stage(spark, wanted.join(lam.withColumnRenamed("key", "tm_source"), "tm_source").select("tm_source", F.col("size").alias("source_size"), "target", rate.alias("rate")), "rates")
+    rows = lookup_join(named(rows), table, ["tm_source"])
     rows = rows.withColumns({"tm_class": F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int"), "tm_part": F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("mix")), F.lit(PARTS)).cast("int")})
     sums = rows.where("size > 0").groupBy(F.col("tm_source").alias("source"), F.col("tm_class").alias("class"), F.col("tm_part").alias("part")).agg(F.sum("size").alias("size"), F.first("rate").alias("rate"))
     cuts = sums.groupBy("source").applyInPandas(_ceilings, "source string, class int, under int, low int")

@@ -1,9 +1,12 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation estimates how far each
 labeler can be trusted, and a span classifier trained on the resulting probabilities decides.
 
-Two passes over the texts. The first counts vote patterns (a few hundred at most, whatever the corpus), from which the
-driver fits reliabilities and the classifier. The second finds the spans again and keeps the accepted ones; nothing
-about single documents is shuffled or collected. Spans that the base rules find are always kept.
+Two passes over the texts. The first counts candidates by votes and by features of the span and its context (length,
+separators, the characters around it, other candidates nearby, place in the line), all in a bounded number of values
+whatever the corpus. From the votes the driver estimates reliabilities and probabilities; on these the classifier is
+trained, which sees the features as well and so tells apart what the labelers cannot. The second pass finds the spans
+again and keeps the accepted ones; nothing about single documents is shuffled or collected. Spans that the base rules
+find are always kept.
 """
 
 from __future__ import annotations
@@ -43,8 +46,12 @@ CONTEXT = {
 AGAINST = frozenset("version token isbn serial figure order invoice build ref".split())
 WORDS = re.compile(r"[^\W\d_][\w-]*")
 
-#: How the classifier sees a candidate: kind, and a vote in {-1, 0, 1} from each labeler.
+#: A vote in {-1, 0, 1} from each labeler, and values of each feature of a span and its context.
 LABELERS = ("pattern", "gazetteer", "context", "digits", "edges")
+FEATURES = {"length": 5, "left": 4, "right": 4, "separators": 3, "nearby": 3, "line": 2}
+SHAPES = 5 * 4 * 4 * 3 * 3 * 2
+#: Characters within which another candidate is nearby.
+NEARBY = 40
 
 
 def luhn(digits: str) -> bool:
@@ -127,11 +134,31 @@ def _votes(text: str, a: int, b: int, kind: int, strict: int) -> tuple[int, ...]
     return strict, gazetteer, context, variety, edges
 
 
+def _sort_of(c: str) -> int:
+    return 0 if not c or c.isspace() else 1 if c.isalpha() else 2 if c.isdigit() else 3
+
+
+def _shape(text: str, a: int, b: int, nearby: int) -> int:
+    """The features of a span as one number."""
+    kinds = len({c for c in text[a:b] if c in " -.()"})
+    values = (sum(b - a > n for n in (8, 12, 16, 24)), _sort_of(text[a - 1 : a]), _sort_of(text[b : b + 1]), min(kinds, 2), nearby, int(not a or text[a - 1] == "\n"))
+    code = 0
+    for n, v in zip(FEATURES.values(), values):
+        code = code * n + v
+    return code
+
+
 def candidates(text: str | None) -> list[tuple[int, int, int, bool, int]]:
-    """(start, end, kind, base, vote pattern) of a whole text; null is empty. Code points, end exclusive."""
+    """(start, end, kind, base, votes and features) of a whole text; null is empty. Code points, end exclusive."""
     if not text:
         return []
-    return [(a, b, kind, base, _coded(kind, _votes(text, a, b, kind, strict))) for a, b, kind, base, strict in _spans(text)]
+    spans = sorted(_spans(text))
+    out = []
+    for i, (a, b, kind, base, strict) in enumerate(spans):
+        around = [s[2] for s in spans[max(i - 1, 0) : i] if a - s[1] <= NEARBY] + [s[2] for s in spans[i + 1 : i + 2] if s[0] - b <= NEARBY]
+        nearby = 0 if not around else 1 if kind in around else 2
+        out.append((a, b, kind, base, _coded(kind, _votes(text, a, b, kind, strict)) * SHAPES + _shape(text, a, b, nearby)))
+    return out
 
 
 def _coded(kind: int, votes: tuple[int, ...]) -> int:
@@ -150,7 +177,7 @@ def _decoded(code: int) -> tuple[int, list[int]]:
 
 
 def counted(docs: DataFrame) -> dict[int, int]:
-    """Candidates per vote pattern, over all documents: at most 4 * 3^5 counts."""
+    """Candidates by votes and features, over all documents: at most 4 * 3^5 * SHAPES counts."""
 
     def run(batches):
         n: Counter = Counter()
@@ -187,37 +214,48 @@ def reliabilities(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int,
     return dict(zip(codes, q.tolist())), table
 
 
+def _inputs(code: int) -> np.ndarray:
+    """What the classifier sees of a candidate: its kind, its votes, and its features by kind, as ones among zeros."""
+    votes_code, shape = divmod(code, SHAPES)
+    kind, votes = _decoded(votes_code)
+    x = np.zeros(len(KINDS) + 2 * len(LABELERS) + len(KINDS) * sum(FEATURES.values()))
+    x[kind] = 1
+    for j, v in enumerate(votes):
+        if v:
+            x[len(KINDS) + 2 * j + (v > 0)] = 1
+    at = len(x) - (kind + 1) * sum(FEATURES.values())
+    for n in reversed(FEATURES.values()):
+        shape, v = divmod(shape, n)
+        x[at + v] = 1
+        at += n
+    return x
+
+
 def trained(counts: dict[int, int], probability: dict[int, float], rounds: int = 30, ridge: float = 1.0):
-    """A logistic classifier of spans, fitted by Newton steps to the probabilities; returns its score function."""
-    dim = len(KINDS) + 2 * len(LABELERS)
-
-    def features(code: int) -> np.ndarray:
-        kind, votes = _decoded(code)
-        x = np.zeros(dim)
-        x[kind] = 1
-        for j, v in enumerate(votes):
-            if v:
-                x[len(KINDS) + 2 * j + (v > 0)] = 1
-        return x
-
-    w = np.zeros(dim)
+    """A logistic classifier of spans, fitted by Newton steps to the probabilities (of the votes' patterns); returns its
+    score function of votes and features. No counts: all scores are one half."""
+    w = np.zeros(len(_inputs(0)))
     if counts:
         codes = sorted(counts)
-        x, n, y = np.array([features(c) for c in codes]), np.array([counts[c] for c in codes], float), np.array([probability[c] for c in codes])
+        x, n, y = np.array([_inputs(c) for c in codes]), np.array([counts[c] for c in codes], float), np.array([probability[c // SHAPES] for c in codes])
         n /= max(n.sum() / 1e4, 1)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             g = x.T @ (n * (p - y)) + ridge * w
-            h = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(dim)
+            h = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
             w -= np.linalg.solve(h, g)
-    return lambda code: float(1 / (1 + np.exp(-np.clip(features(code) @ w, -30, 30))))
+    return lambda code: float(1 / (1 + np.exp(-np.clip(_inputs(code) @ w, -30, 30))))
 
 
 def fitted(docs: DataFrame, least: float = 0.75) -> frozenset[int]:
-    """The vote patterns whose spans the trained classifier takes for personal data with a probability of least."""
+    """The votes and features in docs whose spans the trained classifier takes for personal data with a probability of
+    least."""
     counts = counted(docs)
-    score = trained(counts, reliabilities(counts)[0])
-    return frozenset(c for c in range(len(KINDS) * 3 ** len(LABELERS)) if score(c) >= least)
+    votes: Counter = Counter()
+    for code, n in counts.items():
+        votes[code // SHAPES] += n
+    score = trained(counts, reliabilities(votes)[0])
+    return frozenset(c for c in counts if score(c) >= least)
 
 
 def kept(text: str | None, accepted: frozenset[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

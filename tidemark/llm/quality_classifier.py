@@ -180,7 +180,8 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "
     vectors = stage(spark, pooled(spark, docs, key).withColumn("held_out", held), "vectors")
     known = labels.where("quality is not null").groupBy(key).agg(F.round(F.avg("quality")).cast("int").alias("quality"))
     sample = known.withColumn("held_out", held).where("not held_out").orderBy(F.xxhash64(key), key).limit(most).select(key, "quality")
-    rows = lookup_join(vectors, sample, [key], "inner").orderBy(key).select("vector", "quality").toPandas()
+    # one vector per key, the least of several, so that repeated rows do not multiply the bounded sample
+    rows = lookup_join(vectors, sample, [key], "inner").groupBy(key).agg(F.min("vector").alias("vector"), F.first("quality").alias("quality")).orderBy(key).select("vector", "quality").toPandas()
     x = np.array(rows["vector"].tolist(), np.float64).reshape(-1, 2 * DIM)
     net = Network(x, rows["quality"].to_numpy(np.float64))
     kind = docs.schema[key].dataType.simpleString()

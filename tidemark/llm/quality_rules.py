@@ -6,7 +6,8 @@ language and source and rejects documents by Mahalanobis distance. All of it is
 The estimate runs concentration steps from two deterministic starts per group (median and MAD; tanh scores) and keeps
 the one with the smaller determinant. A step is one pass over the table of statistics: every row's distance falls into
 a logarithmic bin, moments are summed per group and bin (integers, so that the order of rows changes nothing), and the
-bins up to the one that holds the h-th smallest distance make the next estimate.
+bins below the one that holds the h-th smallest distance, with as much of that one as is wanting, make the next estimate.
+Steps end when no group's determinant changes any more.
 
 Every language and source has its own centre from FULL rows on. Its covariance is its own and the mean one within the
 sources of its language, weighted by rows. Below FULL rows, centre and covariance go over to the language's estimate (all
@@ -18,13 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, stage
+from tidemark.llm.common import BROADCAST_ROWS, drop_stage, stage
 
 #: Names of the transformed statistics, and the standard deviation that each has at least: differences of that order
 #: never count as outlying, however uniform a group is.
 STATS = {"x_length": 0.06, "x_symbols": 0.04, "x_lines": 0.08, "x_repeats": 0.08}
 FIXED = 4096  # statistics are kept as multiples of 1/FIXED
-BINS = 16  # distance bins per power of two
+BINS = 64  # distance bins per power of two
+STEPS, SETTLED = 50, 1e-6  # concentration steps at most; changes of a log determinant that count as none
 FULL = 4 * (len(STATS) + 1)  # rows of a group with a centre of its own; a table with fewer rejects none
 
 COUNTS = [
@@ -116,16 +118,47 @@ def _bin(x: Column) -> Column:
 
 
 def _concentrated(rows: DataFrame, share: float) -> DataFrame:
-    """rows: grp, start, bin and the statistics -> moments of the rows up to the bin of the h-th smallest distance."""
+    """rows: grp, start, bin and the statistics -> moments of the h rows with the smallest distances, h being share of
+    them. The bin of the h-th distance counts as far as its rows are needed, all of them alike."""
     d, names = len(STATS), list(STATS)
     sums = {f"s_{i}": F.col(x) for i, x in enumerate(names)} | {f"p_{i}_{j}": F.col(names[i]) * F.col(names[j]) for i in range(d) for j in range(i + 1)}
     binned = rows.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"), *[F.sum(v).alias(k) for k, v in sums.items()])
     up = Window.partitionBy("grp", "start").orderBy("bin")
     binned = binned.withColumns({"before": F.sum("n").over(up) - F.col("n"), "total": F.sum("n").over(Window.partitionBy("grp", "start"))})
-    return binned.where(F.col("before") < F.ceil(F.col("total") * share)).groupBy("grp", "start").agg(*[F.sum(c).alias(c) for c in ("n", *sums)])
+    h = F.ceil(F.col("total") * share)
+    part = F.least(F.lit(1.0), (h - F.col("before")) / F.col("n"))
+    binned = binned.where(F.col("before") < h).withColumn("part", part)
+    whole = lambda c: F.sum(F.when(F.col("part") >= 1, F.col(c)).otherwise(F.lit(0)))  # noqa: E731  # of integers
+    cut = lambda c: F.coalesce(F.max(F.when(F.col("part") < 1, F.col(c) * F.col("part"))), F.lit(0.0))  # noqa: E731  # one bin a group
+    return binned.groupBy("grp", "start").agg(*[(whole(c) + cut(c)).alias(c) for c in ("n", *sums)])
 
 
-def outlying(spark: SparkSession, rows: DataFrame, share: float = 0.7, steps: int = 3, cutoff: float = 30.0) -> DataFrame:
+def estimated(spark: SparkSession, fit: DataFrame, share: float = 0.7, send=lambda x: x) -> DataFrame:
+    """fit (grp, the statistics) -> grp, m_i, c_ij: of each group the minimum-covariance-determinant estimate, the better
+    one of those that concentration steps reach from two starts. fit is read once per step."""
+    d, names = len(STATS), list(STATS)
+    # starts: medians and MADs (to a ten-thousandth in rank), then distances without correlation
+    mid = fit.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"q_{i}") for i, x in enumerate(names)])
+    off = fit.join(send(mid), "grp").groupBy("grp").agg(*[F.first(f"q_{i}").alias(f"q_{i}") for i in range(d)], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"q_{i}")), 0.5, 10_000).alias(f"a_{i}") for i, x in enumerate(names)])
+    off = off.select("grp", *[f"q_{i}" for i in range(d)], *[F.sqrt((F.col(f"a_{i}") * 1.4826) ** 2 + (STATS[x] * FIXED) ** 2).alias(f"a_{i}") for i, x in enumerate(names)])
+    z = [(F.col(x) - F.col(f"q_{i}")) / F.col(f"a_{i}") for i, x in enumerate(names)]
+    starts = F.array(F.struct(F.lit(0).alias("start"), sum((v**2 for v in z), F.lit(0.0)).alias("dist")), F.struct(F.lit(1).alias("start"), sum((F.tanh(v) ** 2 for v in z), F.lit(0.0)).alias("dist")))
+    first = fit.join(send(off), "grp").select("grp", *names, F.explode(starts).alias("e")).select("grp", *names, "e.start", _bin(F.col("e.dist")).alias("bin"))
+    model = stage(spark, _solved(_concentrated(first, 0.5)), "mcd")
+    for _ in range(STEPS):
+        near = _distance(fit.join(send(model), "grp")).select("grp", "start", *names, _bin(F.col("dist")).alias("bin"))
+        after = stage(spark, _solved(_concentrated(near, share)), "mcd")
+        old = model.select("grp", "start", F.col("log_det").alias("old"))
+        change = after.join(send(old), ["grp", "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("old")))).first()[0]
+        drop_stage(spark, model)
+        model = after
+        if (change or 0.0) <= SETTLED:
+            break
+    best = Window.partitionBy("grp").orderBy("log_det", "start")
+    return stage(spark, model.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("grp", *[f"m_{i}" for i in range(d)], *[f"c_{i}_{j}" for i, j in _cells()]), "mcd")
+
+
+def outlying(spark: SparkSession, rows: DataFrame, share: float = 0.7, cutoff: float = 30.0) -> DataFrame:
     """rows (lang, source, the statistics, fits, key...) with a column outlier: distance over cutoff.
 
     Estimates use the rows where fits is true, share of them in each group's subset. cutoff is a squared distance, scaled
@@ -145,19 +178,7 @@ def outlying(spark: SparkSession, rows: DataFrame, share: float = 0.7, steps: in
     levels = [F.col("grp"), F.when(F.col("least") < FULL, F.col("lang_grp")), *([F.lit("c")] if (least or 0) < FULL else [])]
     fit = rows.where("fits").select(F.explode(F.array_compact(F.array(*levels))).alias("grp"), *names)
 
-    # starts: medians and MADs (to a ten-thousandth in rank), then distances without correlation
-    mid = fit.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"q_{i}") for i, x in enumerate(names)])
-    off = fit.join(send(mid), "grp").groupBy("grp").agg(*[F.first(f"q_{i}").alias(f"q_{i}") for i in range(d)], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"q_{i}")), 0.5, 10_000).alias(f"a_{i}") for i, x in enumerate(names)])
-    off = off.select("grp", *[f"q_{i}" for i in range(d)], *[F.sqrt((F.col(f"a_{i}") * 1.4826) ** 2 + (STATS[x] * FIXED) ** 2).alias(f"a_{i}") for i, x in enumerate(names)])
-    z = [(F.col(x) - F.col(f"q_{i}")) / F.col(f"a_{i}") for i, x in enumerate(names)]
-    starts = F.array(F.struct(F.lit(0).alias("start"), sum((v**2 for v in z), F.lit(0.0)).alias("dist")), F.struct(F.lit(1).alias("start"), sum((F.tanh(v) ** 2 for v in z), F.lit(0.0)).alias("dist")))
-    first = fit.join(send(off), "grp").select("grp", *names, F.explode(starts).alias("e")).select("grp", *names, "e.start", _bin(F.col("e.dist")).alias("bin"))
-    model = _solved(_concentrated(first, 0.5))
-    for _ in range(steps):
-        model = stage(spark, model, "mcd")
-        model = _solved(_concentrated(_distance(fit.join(send(model), "grp")).select("grp", "start", *names, _bin(F.col("dist")).alias("bin")), share))
-    best = Window.partitionBy("grp").orderBy("log_det", "start")
-    model = stage(spark, model.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("grp", *[f"m_{i}" for i in range(d)], *[f"c_{i}_{j}" for i, j in _cells()]), "mcd")
+    model = estimated(spark, fit, share, send)
     model = stage(spark, _factored(_shrunk(sizes, model, send)), "mcd")
 
     # scales: medians of the distances of a source's, a language's and all rows
@@ -203,14 +224,26 @@ def _chi2_median(d: int) -> float:
     return d * (1 - 2 / (9 * d)) ** 3
 
 
+def _verdicts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """docs (..., text, lang, source) without text, with the counts, base_failed and kept."""
+    stats = measured(docs).drop("text").withColumn("base_failed", base_failed()).withColumn("fits", ~F.col("base_failed"))
+    stats = stage(spark, stats.select("*", *vector()), "stats")
+    return outlying(spark, stats, **options).withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
+
+
 def judged(spark: SparkSession, docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """docs (key, text, lang, source) -> key, the counts, base_failed, kept; one row for each row of docs.
 
     Null and empty texts have no words and fail the base rule. Ties and repeated rows are judged alike, as a row's
-    verdict depends on its own counts and its group's estimate only. An empty table gives an empty table.
+    verdict depends on its own counts and its group's estimate only; a null key is a key like others. An empty table gives
+    an empty table.
     """
-    stats = measured(docs.select(F.col(key).alias("doc_key"), "text", "lang", "source"))
-    stats = stats.drop("text").withColumn("base_failed", base_failed()).withColumn("fits", ~F.col("base_failed"))
-    stats = stage(spark, stats.select("*", *vector()), "stats")
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return outlying(spark, stats, **options).select(F.col("doc_key").alias(key), *counts, "base_failed", (~F.col("base_failed") & ~F.col("outlier")).alias("kept"))
+    rows = _verdicts(spark, docs.select(F.col(key).alias("doc_key"), "text", "lang", "source"), **options)
+    return rows.select(F.col("doc_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def filtered(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns, whatever their names: rows carry their verdict, no
+    second reading or join of the texts is needed."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("tm_doc"), "text", "lang", "source")
+    return _verdicts(spark, whole, **options).where("kept").select("tm_doc.*")

@@ -2,8 +2,9 @@
 scores and byte fallback are rebuilt, and batches are encoded by the library's threads.
 
 Both model types are covered: unigram (scores as they are) and BPE (each way of making a piece from two others is a
-merge, in the order of the pieces' scores). Every batch can be held against the sentencepiece library itself; where the
-two differ, the row says so and takes the ids of the sentencepiece library.
+merge, in the order of the pieces' scores). Ids are those of the tokenizers library. They are held against the
+sentencepiece library, word by word where the model never joins words, else whole texts; where the two differ, the row
+says so and keeps its ids.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidemark.llm.common import pieces, small_batches, utf8
 
@@ -117,8 +118,8 @@ class Codec:
     """Encodes and decodes batches. Where the model allows it, each distinct word is encoded once and remembered (up to
     MOST_WORDS of them, then the memory starts anew); the results are those of whole texts.
 
-    Ids are bytes of little-endian 32-bit numbers. ok says for each text that encoding agrees with the sentencepiece
-    library; back says that decoding gives the text again.
+    Ids are bytes of little-endian 32-bit numbers. ok says for each text that the sentencepiece library encodes it (its
+    words) alike; back says that decoding the text's ids gives the text again.
     """
 
     MOST_WORDS = 200_000
@@ -136,8 +137,7 @@ class Codec:
             self.core = self.model.tokenizer()
             self.core.normalizer = normalizers.Sequence([])
         self.known: dict[str, bytes] = {}
-        self.odd: set[str] = set()  # words on which the libraries differ; theirs hold
-        self.lossy: set[str] = set()  # words that decoding changes
+        self.odd: set[str] = set()  # words on which the libraries differ
 
     def _learn(self, words: list[str]) -> None:
         runs = [words[i : i + 512] for i in range(0, len(words), 512)]
@@ -150,9 +150,6 @@ class Codec:
             right = self.theirs.encode(plain, num_threads=1)
             right = [r if p else [self.theirs.piece_to_id(MARK)] for p, r in zip(plain, right)]
             self.odd.update(w for w, a, b in zip(words, ids, right) if a != b)
-            ids = right
-        if self.ours.decode([i for w in ids for i in w], skip_special_tokens=False) != " ".join(plain):
-            self.lossy.update(w for w, a, b in zip(words, self.ours.decode_batch(ids, skip_special_tokens=False), plain) if a != b)
         self.known.update((w, np.asarray(i, "<i4").tobytes()) for w, i in zip(words, ids))
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
@@ -160,16 +157,16 @@ class Codec:
         if not self.apart:
             ids = [e.ids for e in self.ours.encode_batch_fast(texts, add_special_tokens=False)]
             right = self.theirs.encode(texts, num_threads=1) if self.theirs else ids
-            return [np.asarray(i, "<i4").tobytes() for i in right], [a == b for a, b in zip(ids, right)], [a == b for a, b in zip(self.ours.decode_batch(right, skip_special_tokens=False), texts)]
+            out = [np.asarray(i, "<i4").tobytes() for i in ids]
+            return out, [a == b for a, b in zip(ids, right)], [a == b for a, b in zip(self.decode(out), texts)]
         split = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > self.MOST_WORDS:
-            self.known, self.odd, self.lossy = {}, set(), set()
+            self.known, self.odd = {}, set()
         if new := list({w for words in split for w in words}.difference(self.known)):
             self._learn(new)
         out = [b"".join(map(self.known.__getitem__, words)) for words in split]
         ok = [self.odd.isdisjoint(words) if self.odd else True for words in split]
-        back = [MARK not in t and (self.lossy.isdisjoint(words) if self.lossy else True) for t, words in zip(texts, split)]
-        return out, ok, back
+        return out, ok, [a == b for a, b in zip(self.decode(out), texts)]
 
     def decode(self, ids: list[bytes]) -> list[str]:
         return self.ours.decode_batch([np.frombuffer(i, "<i4").tolist() for i in ids], skip_special_tokens=False)
@@ -188,7 +185,7 @@ def _batches(batches, data: bytes, make):
             part = b.slice(lo, hi - lo)
             texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
             yield make(part, *at.encode(texts))
-    at.known, at.odd, at.lossy = {}, set(), set()  # the worker goes on to other tasks
+    at.known, at.odd = {}, set()  # the worker goes on to other tasks
 
 
 def digests(spark: SparkSession, docs: DataFrame, path: str = MODEL, key: str = "doc_id") -> DataFrame:
@@ -207,18 +204,19 @@ def digests(spark: SparkSession, docs: DataFrame, path: str = MODEL, key: str =
 
 
 def encoded(spark: SparkSession, docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """docs with the columns token_ids (array<int>) and n_tokens beside their own, which they replace if there."""
+    """docs with the columns token_ids (array<int>), n_tokens, parity and round_trip (see digests()) beside their own, which
+    they replace if there. Null and empty texts have no ids."""
     small_batches(spark)
     with open(path, "rb") as f:
         data = f.read()
-    docs = docs.drop("token_ids", "n_tokens")
+    docs = docs.drop("token_ids", "n_tokens", "parity", "round_trip")
 
     def make(part, ids, ok, back):
         flat = np.frombuffer(b"".join(ids), "<i4")
         offs = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offs), pa.array(flat, pa.int32())), pa.array(np.diff(offs).astype(np.int64))], [*part.schema.names, "token_ids", "n_tokens"])
+        return pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offs), pa.array(flat, pa.int32())), pa.array(np.diff(offs).astype(np.int64)), pa.array(ok, pa.bool_()), pa.array(back, pa.bool_())], [*part.schema.names, "token_ids", "n_tokens", "parity", "round_trip"])
 
-    schema = StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
+    schema = StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("parity", BooleanType()), StructField("round_trip", BooleanType())])
     return docs.mapInArrow(lambda batches: _batches(batches, data, make), schema)
 
 

@@ -2,8 +2,9 @@
 
 A byte-level BPE never merges across pre-tokens, so a text's count is the sum over its pre-tokens. The tree's leaves are
 runs of LEAF pre-tokens (characters and tokens of each), its inner nodes are sums. An edit splits pre-tokens anew from
-the last boundary that it can have moved until a boundary falls on an old one again, encodes only what lies between, and
-updates the leaves it touched and the sums above them.
+the last boundary that it can have moved until a boundary falls on an old one again, encodes only what lies between and
+what else is in its first and last leaf, and updates the leaves it touched and the sums above them. Leaves take in what an
+edit inserts until they are full, so that the tree is seldom built again.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's texts are split before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF = 64
+#: Pre-tokens that a leaf grows to before the leaves around an edit are cut anew and the tree is built again.
+FULL = 4 * LEAF
 
 
 class Counter:
@@ -119,9 +122,10 @@ class Tree:
             parts.append(m.group())
             pos = m.end()
             while last < len(self.leaves) and old_at + grown < pos:
-                old_at += self.leaves[last][2][j]
-                j += 1
-                if j == len(self.leaves[last][2]):
+                if j < len(self.leaves[last][2]):
+                    old_at += self.leaves[last][2][j]
+                    j += 1
+                if j >= len(self.leaves[last][2]):
                     last, j = last + 1, 0
             if pos > edge and old_at + grown == pos and old_at >= end:
                 done = True
@@ -129,7 +133,6 @@ class Tree:
         if not done:
             last, j = len(self.leaves), 0
         n = self.code.count(parts)
-        self.encoded += sum(map(len, parts))
         head, tail = self.leaves[first][2][:k], self.leaves[last][2][j:] if last < len(self.leaves) and j else []
         # tokens of what stays of the first and the last leaf: encoded anew, a leaf at most each
         before = [old[begin + sum(head[:i]) : begin + sum(head[: i + 1])] for i in range(len(head))]
@@ -139,10 +142,13 @@ class Tree:
             p += size
         counts = self.code.count(before) + n + self.code.count(after)
         lengths = head + [len(x) for x in parts] + tail
-        made = [[sum(lengths[i : i + LEAF]), sum(counts[i : i + LEAF]), lengths[i : i + LEAF]] for i in range(0, len(lengths), LEAF)]
+        self.encoded += sum(lengths)
         self.text = text
         upto = last + 1 if j else last
-        same = len(made) == upto - first
+        same = len(lengths) <= FULL * (upto - first)
+        step = max(-(-len(lengths) // (upto - first)), 1) if same else LEAF
+        cuts = [i * step for i in range(upto - first)] if same else range(0, len(lengths), LEAF)
+        made = [[sum(lengths[i : i + step]), sum(counts[i : i + step]), lengths[i : i + step]] for i in cuts]
         self.leaves[first:upto] = made
         if same:  # the tree keeps its form: only paths from the touched leaves to the root change
             for i, leaf in enumerate(made):
@@ -188,7 +194,7 @@ def _arrow(trees: list[list[list]]) -> pa.Array:
 
 def edited(spark: SparkSession, docs: DataFrame, path: str = RANKS) -> DataFrame:
     """docs (..., text, tree, n_tokens, edits) with text, tree and n_tokens brought up to date and a column encoded:
-    characters that were encoded anew. edits (start, end, text) apply one after the other, in code points of the text
+    characters that were encoded anew, leaves' rests included. edits (start, end, text) apply one after the other, in code points of the text
     as the edits before have left it; null edits, and null parts of one, change nothing. A null tree is built first."""
     small_batches(spark)
     with open(path, "rb") as f:

@@ -2,8 +2,9 @@
 
 The model is trained by gradient descent on a small labelled table of URLs (a bounded catalogue, LABELLED by default).
 Because the gradient is a combination of the rows' feature vectors, descent runs on one coefficient per row over the
-Gram matrix of the rows, which is a single SQL aggregate; the weights of the hash buckets follow from one join. Scoring
-looks up each n-gram's bucket in the array of weights: no shuffle of pages, no Python.
+Gram matrix of the rows, which is a single SQL aggregate; the weights of the hash buckets follow from one join. The table
+is bounded (TABLE rows; more are an error), as one row holds that matrix. Scoring looks up each n-gram's bucket in the
+array of weights: no shuffle of pages, no Python.
 """
 
 from __future__ import annotations
@@ -14,24 +15,26 @@ from pyspark.sql import functions as F
 #: Hash buckets of n-grams: the size of the array of weights.
 BUCKETS = 4096
 GRAMS = (3, 4)
+#: Rows of the labelled table at most.
+TABLE = 2000
 #: (verdict, rule): host, then the beginning of the path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
-# A small labelled table: 1 is unwanted. Words make hosts of both kinds; prefixes, domains and plain paths are shared.
-UNWANTED = "spam-farm spam-mail cheap-pills cheap-meds casino-bonus casino-win online-casino free-money free-bets free-cash hot-deals win-prize xxx-cams payday-loans replica-watches miracle-diet crypto-doubler lottery-winner adult-chat pills-online betting-tips best-bets clickbait-news torrent-files warez-crack fake-luxury get-rich ads-track ads-click track-ads ad-tracker popup-ads".split()
-WANTED = "library university museum weather gardening history chemistry recipes journal archive council hospital theatre cycling astronomy geology grammar school orchestra railway mountain river painting kitchen language travel science health parents teacher forest harbour climate village bridge engine letters northern southern weekly evening garten zeitung schule verein stadt wetter jardin musique voyage cuisine histoire ciudad noticias escuela libros".split()
+# A small labelled table: 1 is unwanted. Each word makes hosts alone and with another one; prefixes, domains and paths are
+# shared by both labels, so that only words tell them apart.
+UNWANTED = "casino poker jackpot roulette gambling betting wager bingo slots pharmacy viagra steroids pills payday loans debt spam phishing malware popups adserver banners tracker ads clickbait adult webcam escort hookup torrent warez keygen crack replica rolex counterfeit miracle slimming lottery sweepstake giveaway freebies cheap discount bonus winner prize doubler getrich".split()
+WANTED = "library university museum weather gardening history chemistry recipes journal archive council hospital theatre cycling astronomy geology grammar school orchestra railway mountain river painting kitchen language travel science health parents teacher forest harbour climate village bridge engine letters northern southern weekly evening garten zeitung schule verein stadt wetter jardin musique voyage cuisine histoire ciudad noticias escuela libros farm ranch tips guide".split()
 PREFIXES = ("", "www.", "m.", "blog.")
-PLAIN = ("en/676", "fr/41.html", "de/8531/", "es/2020", "articles/introduction", "")
-OFFERS = ("buy/now-cheap", "win/free-bonus", "offer/casino-bonus")
+PATHS = ("", "index.html", "a/12", "2019/03", "topics/list", "about")
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    """(url, label): every word as a host with two prefixes and plain paths; unwanted words once more with an offer."""
+    """(url, label): every word as a host alone, and beside another word of its label."""
     rows = []
     for label, words in ((1, UNWANTED), (0, WANTED)):
         for i, w in enumerate(words):
-            rows += [(f"https://{PREFIXES[(i + k) % 4]}{w}.example.{('com', 'net', 'org')[(i + k) % 3]}/{PLAIN[(i * 2 + k) % 6]}", label) for k in (0, 1)]
-            rows += [(f"http://{w}.example.{('com', 'net')[i % 2]}/{OFFERS[i % 3]}", 1)] * label
+            hosts = (w, f"{w}-{words[(i * 7 + 3) % len(words)]}", f"{words[(i * 5 + 1) % len(words)]}{w}")
+            rows += [(f"https://{PREFIXES[(i + k) % 4]}{h}.example.{('com', 'net', 'org')[(i + k) % 3]}/{PATHS[(i * 2 + k) % 6]}", label) for k, h in enumerate(hosts)]
     return spark.createDataFrame(rows, "url string, label int")
 
 
@@ -66,8 +69,10 @@ def features(pages: DataFrame) -> DataFrame:
 
 def trained(spark: SparkSession, table: DataFrame, rounds: int = 200, rate: float = 0.5, decay: float = 0.001) -> list[float]:
     """Weights of the buckets, then the bias. Features of a row are its n-gram counts over the square root of their
-    sum, here as in scoring. table (url, label) is a bounded catalogue; one row holds its
-    Gram matrix. An empty table gives zeros."""
+    sum, here as in scoring. table (url, label) has TABLE rows at most. Null urls count as empty, rows without a label do
+    not count, repeated urls as one with their mean label. An empty table gives zeros."""
+    if table.limit(TABLE + 1).count() > TABLE:
+        raise ValueError(f"a labelled table has {TABLE} rows at most")
     host, path = split(F.col("url"))
     rows = features(table.select("url", F.col("label").cast("double").alias("y"), host.alias("host"), path.alias("path"))).where("y is not null")
     rows = rows.groupBy("url", "host", "path", "buckets").agg(F.avg("y").alias("y"))
