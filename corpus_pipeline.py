@@ -14,19 +14,21 @@ from tidemark.llm.common import read, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. Rows are told apart by their content, so that those without a doc_id
-    are judged too."""
-    parts = [F.col(c).cast("string") for c in ("doc_id", "text", "lang", "source")]
-    keyed = docs.withColumn("tm_row", F.concat_ws("-", F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit("2"), *parts[::-1]))))
-    kept = quality_rules.judged(spark, keyed, "tm_row").where("kept").select("tm_row").distinct()
-    return keyed.join(kept, "tm_row", "left_semi").select(*docs.columns)
+    """Documents that the quality rules reject go; a row's verdict is its own, with or without a doc_id."""
+    return quality_rules.filtered(spark, docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays, once if its row is repeated. Rows
-    without a doc_id are not compared and stay."""
-    first = jaccard_join.joined(spark, docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    without a doc_id are compared too, by a name that follows from their text and comes behind all doc_ids below 2^62. Of
+    rows with one doc_id and different texts, each text stays."""
+    name = F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
+    named = docs.withColumn("tm_name", name)
+    groups = jaccard_join.joined(spark, named.select(F.col("tm_name").alias("doc_id"), "text"))
+    first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("tm_rows"))
+    kept = named.join(first.withColumnRenamed("doc_id", "tm_name"), "tm_name")
+    again = kept.where("tm_rows > 1").dropDuplicates(["tm_name", "text"])  # few names have two rows
+    return kept.where("tm_rows = 1").union(again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids beside the columns of documents."""
+    """Token ids beside the columns of documents, and whether they agree with the other library and decode to the text."""
     return sentencepieces.encoded(spark, docs)
 
 
