@@ -40,9 +40,9 @@ from tidemark.operators.stars import components
 #: Buckets of the count table; a constant, whatever the input.
 BUCKET_BITS = 20
 #: Rounds across components: one list in so many is looked at (by hash of its token), and so many nearest pairs of a set
-#: and another component are verified. The first ones join most and need not be complete; rounds end when one that has
+#: and another component are verified. The first round joins most and need not be complete; rounds end when one that has
 #: looked at all lists has left nothing out.
-ROUNDS = ((4, 1), (4, 1), (1, 4), (1, 64), (1, None))
+ROUNDS = ((4, 1), (1, 32), (1, None))
 #: Bits of a set's sketch.
 SKETCH = 1024
 #: Sets of one list that one task of a later round holds at a time, and rows of the blocks that it skips.
@@ -283,67 +283,74 @@ def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, tried: DataFram
     rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "n", "pos", "root", "mine", "sketch")
     ordered = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "fp")
 
-    def pairs_of(fp, n, pos, root, mine, sketch, cross):
+    def near(i, j, fp, n, pos, root, mine, sketch, cross):
+        """Of pairs of rows (j before i in one list), those that may reach the threshold."""
+        apart = (root[i] != root[j]) & ~(cross[i] & (mine[i] == mine[j]))
+        i, j = i[apart], j[apart]
+        need = _need(n[i], n[j], num, den)
+        ok = (den * n[j] >= num * n[i]) & (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need)
+        ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j]) >= need
+        i, j, need = i[ok], j[ok], need[ok]
+        bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1)
+        fits = bits <= n[i] + n[j] - 2 * need
+        i, j, bits = i[fits], j[fits], bits[fits]
+        more = np.zeros(len(i), bool)
+        if most is not None and len(i):
+            order = np.lexsort((fp[j], bits, root[j], i))
+            i, j, bits = i[order], j[order], bits[order]
+            new = np.append(True, (i[1:] != i[:-1]) | (root[j[1:]] != root[j[:-1]]))
+            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+            more = np.append(rank[1:], 0) == most
+            take = rank < most
+            i, j, bits, more = i[take], j[take], bits[take], more[take]
+        if len(i):
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (fp[j], fp[i], root[j], root[i])), pa.array(bits.astype(np.int32)), pa.array(more)], ["a", "b", "ra", "rb", "bits", "more"])
+
+    def long_list(fp, n, pos, root, mine, sketch, cross):
         cut = np.arange(0, len(fp), SKIP)
         size, reach, behind = n[cut], np.maximum.reduceat(pos, cut), np.maximum.reduceat(n - pos, cut)
-        lo_root, hi_root = np.minimum.reduceat(root, cut), np.maximum.reduceat(root, cut)
+        largest = n[np.minimum(cut + SKIP, len(fp)) - 1]
+        roots, of = np.unique(root, return_inverse=True)
+        usual = roots[np.bincount(of).argmax()]  # most of a list is often one component: its sets are compared with others only
+        other = root != usual
+        others = np.logical_or.reduceat(other, cut)
         for k, lo in enumerate(cut.tolist()):  # a block of the list, sorted by size, against it and the blocks before
             hi = min(lo + SKIP, len(fp))
-            least = _need(size[k], size[: k + 1], num, den)
-            largest = n[np.minimum(cut[: k + 1] + SKIP, len(fp)) - 1]
-            use = (den * largest >= num * size[k]) & (np.minimum(reach[k], reach[: k + 1]) + np.minimum(behind[k], behind[: k + 1]) >= least)
-            use &= ~((lo_root[: k + 1] == hi_root[k]) & (hi_root[: k + 1] == lo_root[k]))
-            if not use.any():
-                continue
-            y = np.flatnonzero(np.repeat(use, SKIP)[:hi])
-            x = np.arange(lo, hi)[:, None]
-            need = _need(n[x], n[y], num, den)
-            ok = (y < x) & (root[x] != root[y]) & (den * n[y] >= num * n[x])
-            ok &= (pos[x] <= n[x] - need) & (pos[y] <= n[y] - need)
-            ok &= np.minimum(n[x] - pos[x], n[y] - pos[y]) + np.minimum(pos[x], pos[y]) >= need
-            if cross:
-                ok &= mine[x] != mine[y]
-            i, j = np.nonzero(ok)
-            need, i, j = need[i, j], lo + i, y[j]
-            bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1)
-            fits = bits <= n[i] + n[j] - 2 * need
-            i, j, bits = i[fits], j[fits], bits[fits]
-            more = np.zeros(len(i), bool)
-            if most is not None and len(i):
-                order = np.lexsort((fp[j], bits, root[j], i))
-                i, j, bits = i[order], j[order], bits[order]
-                new = np.append(True, (i[1:] != i[:-1]) | (root[j[1:]] != root[j[:-1]]))
-                rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
-                more = np.append(rank[1:], 0) == most
-                take = rank < most
-                i, j, bits, more = i[take], j[take], bits[take], more[take]
-            if len(i):
-                yield fp[j], fp[i], root[j], root[i], bits, more
+            use = (den * largest[: k + 1] >= num * size[k]) & (np.minimum(reach[k], reach[: k + 1]) + np.minimum(behind[k], behind[: k + 1]) >= _need(size[k], size[: k + 1], num, den))
+            for rare in (False, True):
+                x = lo + np.flatnonzero(other[lo:hi] == rare)
+                y = (np.flatnonzero(use if rare else use & others[: k + 1])[:, None] * SKIP + np.arange(SKIP)).ravel()
+                y = y[y < hi]
+                y = y if rare else y[other[y]]
+                if len(x) and len(y):
+                    i, j = np.nonzero(y < x[:, None])
+                    yield from near(x[i], y[j], fp, n, pos, root, mine, sketch, cross)
+
+    def whole_lists(cols, starts):
+        """Lists of up to SKIP rows all at once, longer ones one by one."""
+        sizes = np.diff(np.append(starts, len(cols[0])))
+        for k in np.flatnonzero(sizes > SKIP):
+            yield from long_list(*[c[starts[k] : starts[k] + sizes[k]] for c in cols])
+        start, at = np.repeat(starts, sizes), np.arange(len(cols[0]))
+        before = np.where(np.repeat(sizes, sizes) <= SKIP, at - start, 0)
+        i = np.repeat(at, before)
+        yield from near(i, np.repeat(start, before) + np.arange(len(i)) - np.repeat(np.cumsum(before) - before, before), *cols)
 
     def run(batches):
-        key, held = None, []
-
-        def flush():
-            g = [np.concatenate(c) for c in zip(*held)]
-            for a, b, ra, rb, bits, more in pairs_of(*g, key[1] != key[2]):
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (a, b, ra, rb)), pa.array(bits.astype(np.int32)), pa.array(more)], ["a", "b", "ra", "rb", "bits", "more"])
-
+        held = None  # rows of a list that may go on
         for b in batches:
             if not b.num_rows:
                 continue
             t, i, j, *cols = (np.asarray(c) for c in b.columns[:-1])
-            cols.append(np.frombuffer(b"".join(b.column(b.num_columns - 1).to_pylist()), np.uint64).reshape(len(t), -1))
-            cuts = np.flatnonzero((t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            edges = [0, *cuts.tolist(), len(t)]
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                now = (t[lo], i[lo], j[lo])
-                if key is not None and now != key:
-                    yield from flush()
-                    held = []
-                key = now
-                held.append([c[lo:hi] for c in cols])
-        if key is not None:
-            yield from flush()
+            cols = [t, i, j, *cols, np.frombuffer(b"".join(b.column(b.num_columns - 1).to_pylist()), np.uint64).reshape(len(t), -1), i != j]
+            cols = cols if held is None else [np.concatenate(c) for c in zip(held, cols)]
+            t, i, j = cols[:3]
+            starts = np.append(0, np.flatnonzero((t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1)
+            if len(starts) > 1:
+                yield from whole_lists([c[: starts[-1]] for c in cols[3:]], starts[:-1])
+            held = [c[starts[-1] :] for c in cols]
+        if held is not None:
+            yield from whole_lists(held[3:], np.zeros(1, np.int64))
 
     found = ordered.mapInArrow(run, "a long, b long, ra long, rb long, bits int, more boolean")
     found = found.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("ra", "rb", "bits")], F.max("more").alias("more"))
