@@ -135,15 +135,41 @@ def test_control(spark):
 
 
 def test_migration_plans():
-    a, b = control.spread(4, 4), control.halved(4, 4)
-    for kind in ("sudden", "fluid", "batched"):
-        now = list(a)
-        for step in control.plan(a, b, kind):
-            if kind == "batched":
-                assert len({now[x] for x, _ in step}) == len(step) == len({w for _, w in step})
-            for x, w in step:
-                now[x] = w
-        assert now == b
+    assert control.halved(3, 4) == [0, 2, 2, 0, 0, 2, 2, 0] and control.skewed(3, 4) == [0, 2, 2, 0, 0, 1, 2, 3]
+    for a, b in ((control.spread(4, 4), control.halved(4, 4)), (control.halved(5, 8), control.skewed(5, 8)), (control.spread(3, 4), control.spread(3, 4))):
+        for kind in ("sudden", "fluid", "batched"):
+            now, steps = list(a), control.plan(a, b, kind)
+            for step in steps:
+                if kind == "batched":
+                    assert len({now[x] for x, _ in step}) == len(step) == len({w for _, w in step})
+                for x, w in step:
+                    now[x] = w
+            assert now == b
+            if kind == "batched" and a != b:  # as few steps as the busiest worker has bins to send or to get
+                moved = [(o, n) for o, n in zip(a, b) if o != n]
+                assert len(steps) >= max(max(sum(o == w for o, _ in moved), sum(n == w for _, n in moved)) for w in range(8))
+
+
+def test_matching_is_a_largest_one():
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    for _ in range(60):
+        edges = {s: sorted({rng.randrange(5) for _ in range(rng.randint(1, 3))}) for s in range(rng.randint(1, 5))}
+        got = control.matching(edges)
+        assert all(r in edges[s] for s, r in got.items()) and len(set(got.values())) == len(got)
+        most = max(len({r for r in pick if r is not None}) for pick in itertools.product(*[[None, *v] for v in edges.values()]) if len([r for r in pick if r is not None]) == len({r for r in pick if r is not None}))
+        assert len(got) == most
+
+
+def test_placed(spark):
+    """Every key lies in one bin, and a bin on one worker, however rows are partitioned."""
+    bins = spark.createDataFrame(list(enumerate(control.spread(3, 3))), "bin int, worker int")
+    for df in (spark.range(200), spark.range(200).repartition(7)):
+        got = rows(control.placed(df.withColumn("k", F.col("id") % 20), F.col("k"), 3, bins))
+        assert len({(r[1], r[2], r[3]) for r in [(0, x[2], x[0], x[3]) for x in got]}) == 20
+        assert all(x[3] == x[0] % 3 and 0 <= x[0] < 8 for x in got)
 
 
 def test_plan_file(spark, tmp_path):
@@ -212,11 +238,103 @@ def test_generators(spark):
     assert sinks.verified(a, b)
     assert {r["kind"]: r["count"] for r in a.groupBy("kind").count().collect()} == {"person": 20, "auction": 60, "bid": 920}
     assert a.where("bid is not null AND bid.auction < 1000").count() == 0
+    people, auctions, bids = generators.demuxed(a)
+    assert (people.count(), auctions.count(), bids.count()) == (20, 60, 920)
+    assert people.where("state IN ('AZ', 'CA', 'ID', 'OR', 'WA', 'WY') AND name LIKE '% %' AND abs(length(extra) + 8 + length(name) + length(email_address) + length(credit_card) + length(city) + length(state) - 200) <= 40").count() == 20
+    assert auctions.where("length(item_name) = 20 AND length(description) = 100 AND reserve > initial_bid AND expires > date_time").count() == 60
+    assert 0.4 < bids.where("channel IN ('Google', 'Facebook', 'Baidu', 'Apple')").count() / 920 < 0.6
+    table = generators.channels(spark)
+    assert table.count() == generators.CHANNELS + 4 and 0.85 < table.where("url LIKE '%channel_id=%' AND at >= 0").count() / generators.CHANNELS < 0.95
+    assert table.where(r"url RLIKE '^https://auctions.example/[a-z_]{3,4}/[a-z_]{3,4}/[a-z_]{3,4}/item.htm[?]query=1(&channel_id=[0-9]+)?$'").count() == generators.CHANNELS + 4
+    late = generators.events(spark.range(100), disorder=10).select("n").collect()
+    assert [r["n"] for r in late[:10]] == [i * 953 % 10 for i in range(10)] and sorted(r["n"] for r in late) == list(range(100))
+    spread = spark.range(20000).select(generators.uniform(F.col("id"), "x").alias("u")).agg(F.avg("u"), F.stddev("u")).first()
+    assert abs(spread[0] - 0.5) < 0.01 and abs(spread[1] - 12**-0.5) < 0.01
     assert generators.word_ids(spark, 50, 20).groupBy("key").count().count() == 20
     assert generators.hashtags(spark.range(500), ["#a", "#b", "#c"]).where("word = '#a'").count() > 0
     assert generators.pairs(spark, 10, 3, 3).count() == 10
 
 
+def test_routes(spark):
+    got = generators.routed(spark.range(10), low=F.col("id") < 4, even=F.col("id") % 2 == 0)
+    assert rows(got["low"]) == [(0,), (1,), (2,), (3,)] and rows(got["even"]) == [(4,), (6,), (8,)]  # 5, 7 and 9 are in none
+
+
+def test_rates_and_time():
+    assert generators.delays(1000, 1000) == [1e6] and generators.delays(1000, 500, "square") == [1e6, 2e6]
+    wave = generators.delays(1000, 500)
+    assert len(wave) == 10 and wave[0] == 1e6 and wave[5] == 2e6 and wave[1] == wave[9]
+
+
+def test_time_and_distance_expressions(spark):
+    one = spark.range(1)
+    assert one.select(numbers.contracted(numbers.dilated(F.lit(7), 60) + 59, 60)).first()[0] == 7
+    assert one.select(numbers.elbow(*[F.lit(float(x)) for x in (0, 2, 0, 0, 4, 0)])).first()[0] == 0.5
+    assert one.select(numbers.near(F.lit(1.0), F.lit(1.05)), numbers.near(F.lit(1.0), F.lit(1.2))).first()[:] == (True, False)
+
+
+def test_sources_as_streams(spark):
+    """An open loop of word ids by the clock, and a session of signed rows."""
+    import time
+
+    query = streams.open_loop(spark, 50, 7).writeStream.format("noop").trigger(processingTime="500 milliseconds").option("checkpointLocation", streams.folder(spark, "loop")).start()
+    until = time.time() + 30
+    while time.time() < until and not sum(p["numInputRows"] for p in query.recentProgress):
+        time.sleep(0.3)
+    query.stop()
+    assert sum(p["numInputRows"] for p in query.recentProgress) > 0
+    session = streams.Session(spark, "x string")
+    session.update([("a",), ("b",)])
+    session.advance_to(1)
+    session.update([("a",)], -1)
+    session.update([("c",)], 2)
+    reports = []
+    got = streams.run(session.close().groupBy("x").agg(F.sum("diff").alias("diff")), "update", ["x"], reports)
+    assert rows(got) == [("a", 0), ("b", 1), ("c", 2)]
+    flow = rows(sinks.throughput(spark, reports))
+    assert [r[1] for r in flow if r[1]] == [2, 2] and flow[-1][4] == 4
+
+
+def test_watching(spark, capfd):
+    import time
+
+    df, seen = sinks.observed(spark.range(10), "watch", F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    assert df.count() == 10 and seen.get == {"n": 10, "top": 9}
+    assert sinks.printed(spark.range(3), 2).count() == 3 and "|0  |" in capfd.readouterr().out
+    with sinks.Resident(0.01) as r:
+        time.sleep(0.1)
+    assert len(r.samples) >= 3 and all(size > 0 for _, size in r.samples)
+    got = spark.range(1).select(sinks.latency([F.lit(3), F.lit(5)], F.lit(9)), sinks.latency([F.lit(3)], F.lit(9))).first()
+    assert tuple(got) == (4, 6)
+
+
+def test_breakdown(spark):
+    """Slices count from the first one a slice behind a control time until latency is down again."""
+    p = lambda v: f"1\t{v}\t3\t4\t5\t{v * 2}"
+    lines = ["latency_ccdf\t10\t0.9", "latency_ccdf\t20\t0.6", "latency_ccdf\t30\t0.1", "control_time\t250", "control_time\t900", "migration_done\t300\t40", "migration_done\t310\t70"]
+    lines += [f"summary_timeline\t{t}\t{p(v)}" for t, v in ((100, 90), (200, 95), (300, 5), (400, 50), (500, 60), (600, 7), (700, 99), (800, 3), (900, 2), (1000, 41), (1100, 40))]
+    got = sinks.breakdown(sinks.log_lines(spark.createDataFrame([(x,) for x in lines], "value string"))).first().asDict()
+    assert got == {"median": 20, "duration": 300, "most_p0": 1, "most_p1": 60, "most_p2": 3, "most_p3": 4, "most_p4": 5, "most_p5": 120, "reported": 110, "reported_most": 70}
+
+
+def test_latency_sinks(spark, tmp_path):
+    lat = spark.range(1, 1001).select(F.timestamp_millis(F.col("id")).alias("ts"), (F.col("id") * 1000).alias("latency_ns"))
+    got = sinks.timeline(lat).orderBy("slice_end").collect()
+    assert len(got) == 5 and got[-1]["most"] == 1_000_000 and got[0]["p5"] == 125_000
+    sinks.centroid_file(spark.createDataFrame([(1.0, 2.0, 3.0, 0.5)], "cx double, cy double, px double, py double"), str(tmp_path / "c"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "c")).collect()] == ["1.0000,2.0000,3.0000,0.5000"]
+
+
+def test_retracted_windows(spark):
+    import random
+
+    rng = random.Random(1)
+    events = [(rng.choice("ab"), rng.randrange(100)) for _ in range(60)]
+    got = rows(windows.retracted(spark.createDataFrame(events, "k string, t long"), "k", 20, 5))
+    want = sorted((k, at, n) for k in "ab" for at in range(5, 130, 5) if (n := sum(x == k and at - 20 <= t < at for x, t in events)))
+    assert got == want
+
+
 def test_sinks(spark, tmp_path):
     sinks.sorted_file(spark.createDataFrame([("b", 1), ("a", 2)], "w string, n int"), str(tmp_path / "o"), "w", one=True)
     assert [r["value"] for r in spark.read.text(str(tmp_path / "o")).collect()] == ["a,2", "b,1"]

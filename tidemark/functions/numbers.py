@@ -28,6 +28,21 @@ def near(a: Column, b: Column, tolerance: float = 0.1) -> Column:
     return F.abs(a - b) < tolerance
 
 
+def dilated(t: Column, factor: int) -> Column:
+    """Model time of a processing time that runs factor times slower."""
+    return t * factor
+
+
+def contracted(t: Column, factor: int) -> Column:
+    """The processing time of a model time."""
+    return F.floor(t / factor).cast("long")
+
+
+def elbow(x0: Column, y0: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """How far (x0, y0) lies off the line through two points, over the square of their distance once more."""
+    return F.abs((y2 - y1) * x0 - (x2 - x1) * y0 + x2 * y1 - y2 * x1) / (F.pow(y2 - y1, F.lit(2)) + F.pow(x2 - x1, F.lit(2)))
+
+
 def bin_of(key: Column, bits: int) -> Column:
     """The leading bits of a 64-bit key."""
     return F.shiftrightunsigned(key, 64 - bits)

@@ -30,31 +30,53 @@ def spread(bits: int, workers: int) -> list[int]:
 
 
 def halved(bits: int, workers: int) -> list[int]:
-    """The upper half of the bins moved to the lower half of the workers."""
+    """Bins in pairs: the even one on a worker of its own number, the odd one half the workers further."""
+    return [(b if b % 2 == 0 else b - 1 + workers // 2) % workers for b in range(1 << bits)]
+
+
+def skewed(bits: int, workers: int) -> list[int]:
+    """The lower half of the bins as halved(), the upper half in turn."""
     n = 1 << bits
-    return [b % workers if b < n // 2 else b % max(workers // 2, 1) for b in range(n)]
+    return halved(bits, workers)[: n // 2] + spread(bits, workers)[n // 2 :]
+
+
+def matching(edges: dict[int, list[int]]) -> dict[int, int]:
+    """A largest set of pairs (sender: receiver) in which nobody is twice: each sender in turn takes a free receiver, or
+    one whose sender finds another."""
+    sender_of: dict[int, int] = {}
+
+    def place(sender: int, seen: set[int]) -> bool:
+        for receiver in edges[sender]:
+            if receiver not in seen:
+                seen.add(receiver)
+                if receiver not in sender_of or place(sender_of[receiver], seen):
+                    sender_of[receiver] = sender
+                    return True
+        return False
+
+    for sender in edges:
+        place(sender, set())
+    return {s: r for r, s in sender_of.items()}
 
 
-def plan(before: list[int], after: list[int], kind: str = "sudden", batch: int = 16) -> list[list[tuple[int, int]]]:
-    """Moves (bin, worker) per time step: all at once, one by one (fluid), or in batches in which no worker sends or
-    receives twice."""
+def plan(before: list[int], after: list[int], kind: str = "sudden") -> list[list[tuple[int, int]]]:
+    """Moves (bin, worker) per time step: all at once, one by one (fluid), or batched: as many at a time as there can be
+    with no worker sending or receiving twice."""
     moves = [(b, old, new) for b, (old, new) in enumerate(zip(before, after)) if old != new]
     if kind == "sudden":
         return [[(b, new) for b, _, new in moves]] if moves else []
     if kind == "fluid":
         return [[(b, new)] for b, _, new in moves]
+    bins: dict[tuple[int, int], list[int]] = {}
+    for b, old, new in moves:
+        bins.setdefault((old, new), []).append(b)
     steps: list[list[tuple[int, int]]] = []
-    while moves:
-        sent, got, rest, now = set(), set(), [], []
-        for b, old, new in moves:
-            if old in sent or new in got or len(now) >= batch:
-                rest.append((b, old, new))
-            else:
-                sent.add(old)
-                got.add(new)
-                now.append((b, new))
-        steps.append(now)
-        moves = rest
+    while bins:
+        edges: dict[int, list[int]] = {}
+        for old, new in bins:
+            edges.setdefault(old, []).append(new)
+        steps.append([(bins[pair].pop(), pair[1]) for pair in matching(edges).items()])
+        bins = {pair: left for pair, left in bins.items() if left}
     return steps
 
 

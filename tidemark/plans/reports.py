@@ -21,6 +21,27 @@ def rt_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_top(table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("word"), "ts"), "2 hours", "1 hour")
 
 
+class TopN:
+    """A table function: of rows partitioned and ordered by the caller, the first n with their rank."""
+
+    def __init__(self):
+        self.rank = 0
+
+    def eval(self, row, n: int):
+        self.rank += 1
+        if self.rank <= n:
+            yield row["window_end"], row["word"], row["n"], self.rank
+
+
+def rt_top5_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rt_top5 by a registered table function that SQL calls by its name."""
+    spark.udtf.register("tidemark_top_n", F.udtf(TopN, returnType="window_end timestamp_ntz, word string, n long, rank long"))
+    words = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("word"), "ts")
+    counts = words.groupBy(F.window("ts", "2 hours", "1 hour").alias("w"), "word").agg(F.count("*").alias("n"))
+    counts.select(F.col("w.end").alias("window_end"), "word", "n").createOrReplaceTempView("tidemark_counts")
+    return spark.sql("SELECT window_end, word, n, rank FROM tidemark_top_n(TABLE(tidemark_counts) PARTITION BY window_end ORDER BY (n DESC, word), 5)")
+
+
 def ca_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lethal accidents per year and week."""
     return accidents(spark, sf_dir).groupBy(F.year("date").alias("year"), week(F.col("date")).alias("week")).agg(F.sum((F.col("killed") > 0).cast("long")).alias("lethal"))
@@ -77,13 +98,15 @@ def key_latest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("event_type = 'purchase'").join(last, "user_id").select("event_id", "user_id", "signup")
 
 
-QUERIES = {f.__name__: f for f in (rt_top5, ca_week, ca_factor, ca_borough, hj_pairs, join_left, join_semi, join_anti, key_running_sum, key_latest_join)}
+QUERIES = {f.__name__: f for f in (rt_top5, rt_top5_by_name, ca_week, ca_factor, ca_borough, hj_pairs, join_left, join_semi, join_anti, key_running_sum, key_latest_join)}
 
-SQL = {
-    "rt_top5": """WITH e AS (SELECT 'u' || user_id AS word, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
+_TOP5 = """WITH e AS (SELECT 'u' || user_id AS word, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
   x AS (SELECT word, unnest(range((t // 3600) * 3600 - 3600, (t // 3600) * 3600 + 1, 3600)) AS s FROM e),
   c AS (SELECT s, word, count(*) AS n FROM x GROUP BY s, word), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY n DESC, word) AS rank FROM c)
-  SELECT make_timestamp((s + 7200) * 1000000) AS window_end, word, n, rank FROM r WHERE rank <= 5""",
+  SELECT make_timestamp((s + 7200) * 1000000) AS window_end, word, n, rank FROM r WHERE rank <= 5"""
+SQL = {
+    "rt_top5": _TOP5,
+    "rt_top5_by_name": _TOP5,
     "ca_week": f"WITH {ACCIDENTS} SELECT CAST(year(date) AS INT) AS year, CAST(dayofyear(date) // 7 AS INT) AS week, CAST(sum(killed) AS BIGINT) AS lethal FROM accidents GROUP BY ALL",
     "ca_factor": f"""WITH {ACCIDENTS}, f AS (SELECT killed, unnest(list_distinct(list_filter([factor1, factor2, factor3, factor4, factor5], lambda f: f <> ''))) AS factor FROM accidents)
   SELECT factor, count(*) AS accidents, CAST(sum(killed) AS BIGINT) AS lethal FROM f GROUP BY factor""",

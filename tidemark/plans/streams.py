@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.plans import auctions, reports, words
-from tidemark.sources import generators
 from tidemark.streaming import streams
 
 
@@ -71,13 +69,7 @@ def stream_running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.running_sums(spark, sf_dir)
 
 
-def generated_auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of 50,000 generated events with what all their ids and prices add up to."""
-    e = generators.events(spark.range(50_000), disorder=7)
-    return e.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("person.id", "auction.id", "bid.auction")).alias("ids"), F.min(F.coalesce("person.id", "auction.id", "bid.auction")).alias("least"))
-
-
-QUERIES = {f.__name__: f for f in (stream_word_count, stream_nx_q0, stream_nx_winning, stream_nx_q4, stream_nx_q6, stream_nx_q1, stream_nx_q2, stream_nx_q3, stream_nx_q5, stream_nx_q7, stream_nx_q8, stream_nx_q8_interval, stream_rt_top5, stream_key_count, stream_running_sum, generated_auctions)}
+QUERIES = {f.__name__: f for f in (stream_word_count, stream_nx_q0, stream_nx_winning, stream_nx_q4, stream_nx_q6, stream_nx_q1, stream_nx_q2, stream_nx_q3, stream_nx_q5, stream_nx_q7, stream_nx_q8, stream_nx_q8_interval, stream_rt_top5, stream_key_count, stream_running_sum)}
 
 SQL = {
     "stream_word_count": words.SQL["wc_ascii"],

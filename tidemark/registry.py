@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import auctions, graphs, reports, streams, words
+from tidemark.plans import auctions, generated, graphs, reports, streams, words
 
-MODULES = (words, auctions, reports, graphs, streams)
+MODULES = (words, auctions, generated, reports, graphs, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -53,6 +53,38 @@ def replayed(rows: DataFrame, time: str, parts: int = 4, flush: bool = True) ->
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
 
 
+def open_loop(spark: SparkSession, per_second: int, domain: int) -> DataFrame:
+    """(key, val = 1, ts): uniform word ids that come by the clock, whether or not earlier ones are done."""
+    from tidemark.sources.generators import below
+
+    rows = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    return rows.select(below(F.col("value"), "key", domain).alias("key"), F.lit(1).cast("long").alias("val"), F.col("timestamp").alias("ts"))
+
+
+class Session:
+    """Rows with a signed multiplicity, handed over by the driver: update() adds some at the present time, advance_to() sends
+    them on and moves the time, close() sends the rest and gives the stream (columns, diff, time), a time per trigger."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema, self.path = spark, schema, folder(spark, "session")
+        self.time, self.rows, self.parts = 0, [], 0
+
+    def update(self, rows: list[tuple], diff: int = 1) -> None:
+        self.rows += [(*r, diff, self.time) for r in rows]
+
+    def advance_to(self, time: int) -> None:
+        if time < self.time:
+            raise ValueError("time does not go back")
+        if self.rows:
+            self.spark.createDataFrame(self.rows, f"{self.schema}, diff long, time long").coalesce(1).write.parquet(f"{self.path}/{self.parts:06d}")
+            self.rows, self.parts = [], self.parts + 1
+        self.time = time
+
+    def close(self) -> DataFrame:
+        self.advance_to(self.time)
+        return self.spark.readStream.schema(f"{self.schema}, diff long, time long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(self.path)
+
+
 def run(stream: DataFrame, mode: str = "append", keys: list[str] | None = None, progress: list | None = None) -> DataFrame:
     """The rows of a stream's sink after all of its present input. append: all rows; complete: the result table of the last
     trigger; update: the last row of each of the keys, each update taking the place of the one before. progress takes the
