@@ -10,8 +10,8 @@ Prefix filter under one global token order, with relations between sets used to
   first (smallest) set of a list or part is its pivot. Round 1 verifies for each set the one pivot with which it shares
   most prefix tokens, so that n near copies make n - 1 pairs and links of round 1 are a forest.
 * A set that is similar to another takes over its component as its answer. Later rounds visit only lists that still hold
-  two components, and in them only pairs across components: of each set and each other component first the nearest pair
-  by sketch, then the nearest few, and in the end all that are left. A list is cut into blocks of positions in it; two
+  two components, and in them only pairs across components: of each set first the nearest by sketch, which halves the number of
+  components of a group at least, then the nearest few, and in the end all that are left. A list is cut into blocks of positions in it; two
   blocks are skipped whole if the sizes and prefix positions in them cannot reach the threshold, or if they lie in one
   component.
 * A pair is verified only if its sizes, positions, and either its number of common prefix tokens (round 1) or the
@@ -39,10 +39,10 @@ from tidemark.operators.stars import components
 
 #: Buckets of the count table; a constant, whatever the input.
 BUCKET_BITS = 20
-#: Rounds across components: one list in so many is looked at (by hash of its token), and so many nearest pairs of a set
-#: and another component are verified. The first round joins most and need not be complete; rounds end when one that has
+#: Rounds across components: one list in so many is looked at (by hash of its token), and of each set so many nearest pairs
+#: with other components are verified. The first rounds join most and need not be complete; rounds end when one that has
 #: looked at all lists has left nothing out.
-ROUNDS = ((4, 1), (1, 32), (1, None))
+ROUNDS = ((4, 1), (4, 1), (1, 4), (1, None))
 #: Bits of a set's sketch.
 SKETCH = 1024
 #: Sets of one list that one task of a later round holds at a time, and rows of the blocks that it skips.
@@ -271,7 +271,7 @@ def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, tried: DataFram
     A pair that reaches the threshold shares a token among the first n - need + 1 of one set and m - need + 1 of the
     other, so that only such positions count; a token at positions i and j allows an overlap of min(i, j) before it and
     min(n - i, m - j) from it on; and the sets' sketches differ in n + m - 2 * need bits at most. most: of a set's pairs
-    with smaller ones in another component, only so many with the nearest sketches (more says that some were left out);
+    with smaller ones in other components, only so many with the nearest sketches (more says that some were left out);
     None: all of them."""
     lists = lists.select("token", "fp", "n", "pos")
     lists = lists if near == 1 else lists.where(F.pmod(F.xxhash64("token"), F.lit(near)) == 0)
@@ -296,9 +296,9 @@ def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, tried: DataFram
         i, j, bits = i[fits], j[fits], bits[fits]
         more = np.zeros(len(i), bool)
         if most is not None and len(i):
-            order = np.lexsort((fp[j], bits, root[j], i))
+            order = np.lexsort((fp[j], bits, i))
             i, j, bits = i[order], j[order], bits[order]
-            new = np.append(True, (i[1:] != i[:-1]) | (root[j[1:]] != root[j[:-1]]))
+            new = np.append(True, i[1:] != i[:-1])
             rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
             more = np.append(rank[1:], 0) == most
             take = rank < most
@@ -356,7 +356,7 @@ def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, tried: DataFram
     found = found.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("ra", "rb", "bits")], F.max("more").alias("more"))
     found = found.join(tried, ["a", "b"], "left_anti")
     if most is not None:
-        w = Window.partitionBy("b", "ra")
+        w = Window.partitionBy("b")
         found = found.withColumns({"k": F.row_number().over(w.orderBy("bits", "a")), "of": F.count("*").over(w)}).withColumn("more", F.col("more") | (F.col("of") > most)).where(F.col("k") <= most)
     return found.select("a", "b", "ra", "rb", "more")
 
