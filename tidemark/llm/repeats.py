@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, small_batches, stage, utf8
+from tidemark.llm.common import lookup_join, pieces, small_batches, stage, utf8
 from tidemark.llm.hashing import blocks, mix, ranges
 
 #: Bytes of a gram that can be an anchor.
@@ -351,8 +351,9 @@ def spans(spark: SparkSession, docs: DataFrame, width: int = 200) -> DataFrame:
     keyed = _keyed(docs)
     marks = stage(spark, _settled(_all_runs(keyed, width)), "marks", free=True)
     open_ = marks.where("kind = 1").drop("kind")
-    sizes = open_.groupBy("digit").agg((F.count("*") > FEW).alias("many"))
-    cut = stage(spark, _cut(keyed, open_.join(sizes, "digit"), width), "cut", free=True)
+    crowded = stage(spark, open_.groupBy("digit").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("digit", F.lit(True).alias("many")), "crowded")
+    open_ = lookup_join(open_, crowded, ["digit"]).withColumn("many", F.coalesce("many", F.lit(False)))
+    cut = stage(spark, _cut(keyed, open_, width), "cut", free=True)
     whole = marks.where("kind = 0").select("doc_id", "rk", "start", "count")
     return whole.union(_sorted(cut.where("not many"), width)).union(_spread(cut.where("many"), width))
 
