@@ -141,7 +141,7 @@ def _parts(table: np.ndarray) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, tables, width: int, num: int, den: int) -> DataFrame:
-    """(token, fp, n, pos, part, parts) for each prefix token of each set of a task."""
+    """(token, fp, n, pos, part, parts, prev) for each prefix token of each set of a task; prev is the set's token before."""
 
     def run(batches):
         lv, deal, apart = tables.value
@@ -165,22 +165,23 @@ def _postings(docs: DataFrame, tables, width: int, num: int, den: int) -> DataFr
             row = np.repeat(np.arange(len(n)), n)
             pos = np.arange(len(key)) - edge[row]
             use = fresh[row] & (pos < _prefix(n, num, den)[row])
+            prev = np.append(np.uint64(0), key[:-1])[: len(key)][use]
             row, pos = row[use], pos[use]
             parts = deal[bucket[use]]
-            yield pa.RecordBatch.from_pydict({"token": pa.array(key[use].astype(np.int64)), "fp": pa.array(fp[row]), "n": pa.array(n[row].astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "part": pa.array((fp[row] % parts).astype(np.int32)), "parts": pa.array(parts)})
+            yield pa.RecordBatch.from_pydict({"token": pa.array(key[use].astype(np.int64)), "fp": pa.array(fp[row]), "n": pa.array(n[row].astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "part": pa.array((fp[row] % parts).astype(np.int32)), "parts": pa.array(parts), "prev": pa.array(prev.view(np.int64))})
 
-    return docs.select("text").mapInArrow(run, "token long, fp long, n int, pos int, part int, parts int")
+    return docs.select("text").mapInArrow(run, "token long, fp long, n int, pos int, part int, parts int, prev long")
 
 
 def _lists(postings: DataFrame) -> DataFrame:
     """Index lists with two different sets or more, each row with the pivot of its list or part: one pass over sorted rows
     that remembers one row. Rows of lists in parts all stay, as other parts may have more."""
-    names = ["token", "fp", "n", "pos", "pivot", "pivot_n"]
+    names = ["token", "fp", "n", "pos", "pivot", "pivot_n", "prev"]
 
     def run(batches):
-        last = None  # token, part and fp of the last row; fp, n, pos of its pivot; whether the pivot went out
+        last = None  # token, part and fp of the last row; fp, n, pos, prev of its pivot; whether the pivot went out
         for b in batches:
-            t, f, n, p, part, parts = (np.asarray(b.column(i)) for i in range(6))
+            t, f, n, p, part, parts, prev = (np.asarray(b.column(i)) for i in range(7))
             if not len(t):
                 continue
             head = np.ones(len(t), bool)
@@ -196,17 +197,17 @@ def _lists(postings: DataFrame) -> DataFrame:
             out = ~head & ~again
             pivots = np.union1d(start[out], np.flatnonzero(head & (parts > 1)))
             rows = np.concatenate([np.flatnonzero(out), pivots[pivots >= 0]])
-            cols = [x[rows] for x in (t, f, n, p, pf, pn)]
-            if goes_on and -1 in pivots and not last[6]:
-                cols = [np.append(c, v) for c, v in zip(cols, (last[0], last[3], last[4], last[5], last[3], last[4]))]
+            cols = [x[rows] for x in (t, f, n, p, pf, pn, prev)]
+            if goes_on and -1 in pivots and not last[7]:
+                cols = [np.append(c, v) for c, v in zip(cols, (last[0], last[3], last[4], last[5], last[3], last[4], last[6]))]
             if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if k in ("token", "fp", "pivot") else np.int32)) for k, c in zip(names, cols)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if k in ("token", "fp", "pivot", "prev") else np.int32)) for k, c in zip(names, cols)], names)
             g = start[-1]
-            sent = bool(g in pivots) or (g == -1 and bool(last[6]))
-            last = (t[-1], part[-1], f[-1], *((f[g], n[g], p[g]) if g >= 0 else last[3:6]), sent)
+            sent = bool(g in pivots) or (g == -1 and bool(last[7]))
+            last = (t[-1], part[-1], f[-1], *((f[g], n[g], p[g], prev[g]) if g >= 0 else last[3:7]), sent)
 
     ordered = postings.repartition("token", "part").sortWithinPartitions("token", "part", "n", "fp")
-    return ordered.mapInArrow(run, "token long, fp long, n int, pos int, pivot long, pivot_n int")
+    return ordered.mapInArrow(run, "token long, fp long, n int, pos int, pivot long, pivot_n int, prev long")
 
 
 def _starred(lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -269,23 +270,26 @@ def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, tried: DataFram
     more. A list longer than BLOCK is dealt to pairs of its blocks.
 
     A pair that reaches the threshold shares a token among the first n - need + 1 of one set and m - need + 1 of the
-    other, so that only such positions count; a token at positions i and j allows an overlap of min(i, j) before it and
+    other, so that only such positions count; where both sets have the same token just before, that token's list gives the
+    pair, and so on to the first token of a run that they share; a token at positions i and j allows an overlap of min(i, j) before it and
     min(n - i, m - j) from it on; and the sets' sketches differ in n + m - 2 * need bits at most. most: of a set's pairs
     with smaller ones in other components, only so many with the nearest sketches (more says that some were left out);
     None: all of them."""
-    lists = lists.select("token", "fp", "n", "pos")
+    lists = lists.select("token", "fp", "n", "pos", "prev")
     lists = lists if near == 1 else lists.where(F.pmod(F.xxhash64("token"), F.lit(near)) == 0)
     rows = lists.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     open_ = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("token", F.ceil(F.col("k") / BLOCK).cast("int").alias("nb"))
     rows = rows.join(open_, "token").join(nodes.groupBy("fp").agg(F.first("sketch").alias("sketch")), "fp")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
-    rows = rows.select("token", "fp", "n", "pos", "root", "mine", "sketch", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "n", "pos", "root", "mine", "sketch")
+    rows = rows.select("token", "fp", "n", "pos", "root", "mine", "prev", "sketch", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "n", "pos", "root", "mine", "prev", "sketch")
     ordered = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "fp")
 
-    def near(i, j, fp, n, pos, root, mine, sketch, cross):
+    def near_pairs(i, j, fp, n, pos, root, mine, prev, sketch, cross):
         """Of pairs of rows (j before i in one list), those that may reach the threshold."""
         apart = (root[i] != root[j]) & ~(cross[i] & (mine[i] == mine[j]))
+        if near == 1:  # else the list of the token before holds both too, and gives the pair
+            apart &= (prev[i] != prev[j]) | (pos[i] == 0) | (pos[j] == 0)
         i, j = i[apart], j[apart]
         need = _need(n[i], n[j], num, den)
         ok = (den * n[j] >= num * n[i]) & (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need)
@@ -306,7 +310,7 @@ def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, tried: DataFram
         if len(i):
             yield pa.RecordBatch.from_arrays([*map(pa.array, (fp[j], fp[i], root[j], root[i])), pa.array(bits.astype(np.int32)), pa.array(more)], ["a", "b", "ra", "rb", "bits", "more"])
 
-    def long_list(fp, n, pos, root, mine, sketch, cross):
+    def long_list(fp, n, pos, root, mine, prev, sketch, cross):
         cut = np.arange(0, len(fp), SKIP)
         size, reach, behind = n[cut], np.maximum.reduceat(pos, cut), np.maximum.reduceat(n - pos, cut)
         largest = n[np.minimum(cut + SKIP, len(fp)) - 1]
@@ -324,7 +328,7 @@ def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, tried: DataFram
                 y = y if rare else y[other[y]]
                 if len(x) and len(y):
                     i, j = np.nonzero(y < x[:, None])
-                    yield from near(x[i], y[j], fp, n, pos, root, mine, sketch, cross)
+                    yield from near_pairs(x[i], y[j], fp, n, pos, root, mine, prev, sketch, cross)
 
     def whole_lists(cols, starts):
         """Lists of up to SKIP rows all at once, longer ones one by one."""
@@ -334,7 +338,7 @@ def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, tried: DataFram
         start, at = np.repeat(starts, sizes), np.arange(len(cols[0]))
         before = np.where(np.repeat(sizes, sizes) <= SKIP, at - start, 0)
         i = np.repeat(at, before)
-        yield from near(i, np.repeat(start, before) + np.arange(len(i)) - np.repeat(np.cumsum(before) - before, before), *cols)
+        yield from near_pairs(i, np.repeat(start, before) + np.arange(len(i)) - np.repeat(np.cumsum(before) - before, before), *cols)
 
     def run(batches):
         held = None  # rows of a list that may go on
