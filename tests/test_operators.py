@@ -63,6 +63,24 @@ def test_staging_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
         staging.work_dir(Elsewhere)
 
 
+def test_staging_leaves_no_shuffle_files(spark):
+    """Shuffle files of a staged table's plan go with its write, while something still refers to the plan."""
+    import time
+
+    from tidemark.operators.staging import stage
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    assert stage(spark, df, "left").count() == 7
+    left = files() - before
+    for _ in range(50):
+        if not (left := left & files()):
+            break
+        time.sleep(0.2)
+    assert not [f for f in left if f.endswith(".data")] and df.count() == 7
+
+
 def test_closure(spark):
     assert graphs.closure(frame(spark, COMPONENTS)).count() == 35
     assert rows(graphs.closure(frame(spark, [(1, 2), (2, 1)]), loops=True)) == [(1, 1), (1, 2), (2, 1), (2, 2)]
