@@ -873,6 +873,41 @@ def test_jaccard_edges_of_a_large_group(spark, monkeypatch):
     assert sum(x.count() for x in made) < 2 * n
 
 
+def test_jaccard_texts_of_a_large_group(spark, monkeypatch):
+    """Texts are sent to be compared by group, not by pair: pairs just below the threshold outnumber them."""
+    sent = []
+    whole = jaccard_join._verified
+
+    def counting(docs, nodes, pairs, *rest):
+        pairs = pairs.cache()
+        sent.append((pairs.count(), pairs.select("cell", "a").distinct().count() + pairs.select("cell", "b").distinct().count()))
+        return whole(docs, nodes, pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counting)
+    rng = random.Random(12)
+    base, rows = [f"w{i}" for i in range(1500)], []
+    for d in range(100):
+        copy = list(base)
+        for _ in range(21):
+            copy[rng.randrange(1500)] = f"x{rng.randrange(10**9)}"
+        rows.append((d, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = collected(jaccard_join.joined(spark, df), "doc_id", "n_shingles", "component_id")
+    assert got == joined_plainly(rows)
+    pairs, texts = map(sum, zip(*sent))
+    assert pairs > 5 * len(rows) and 2 * texts < pairs, (pairs, texts)
+
+
+def test_jaccard_cells_of_large_sets():
+    """A cell holds no more than so many tokens; pairs of the same block of the same list share one otherwise."""
+    one, fp = np.ones(4096, np.int64), np.arange(4096)
+    for n in (1, 350, 5_000, 1_000_000):
+        cells = jaccard_join._cells(one << 40, 0 * one, 0 * one, fp, n * one)
+        most = np.unique(cells, return_counts=True)[1].max()
+        assert most * n <= 2 * jaccard_join.HELD and (n > 350 or len(set(cells)) == 1)
+    assert (jaccard_join._cells(fp << 30, one, one, fp, one) >> 30 == fp).all()
+
+
 def test_jaccard_sets_that_share_a_name(spark, monkeypatch):
     """Sets are told apart by both fingerprints: one name for all of them changes nothing."""
     whole = jaccard_join._prints

@@ -49,6 +49,8 @@ SKETCH = 1024
 BLOCK, SKIP = 2048, 64
 #: Members that one task verifies against a pivot.
 MEMBERS = 512
+#: Tokens of all the sets that a task holds at a time to verify others against, beyond a single set.
+HELD = 1 << 22
 #: Rows of a list from which on it is dealt out in parts, unless lists are that long anyhow.
 PART = 4096
 #: Sets that a task remembers having indexed; beyond that it forgets, and a copy makes one more row.
@@ -141,7 +143,8 @@ def _parts(table: np.ndarray) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, tables, width: int, num: int, den: int) -> DataFrame:
-    """(token, fp, n, pos, part, parts, prev) for each prefix token of each set of a task; prev is the set's token before."""
+    """(token, fp, n, pos, part, parts, prev, prev2) for each prefix token of each set of a task; prev and prev2 are the set's
+    tokens one and two before, -1 where there is none."""
 
     def run(batches):
         lv, deal, apart = tables.value
@@ -165,23 +168,23 @@ def _postings(docs: DataFrame, tables, width: int, num: int, den: int) -> DataFr
             row = np.repeat(np.arange(len(n)), n)
             pos = np.arange(len(key)) - edge[row]
             use = fresh[row] & (pos < _prefix(n, num, den)[row])
-            prev = np.append(np.uint64(0), key[:-1])[: len(key)][use]
+            prev, prev2 = (np.where(pos < k, -1, np.roll(key, k).view(np.int64))[use] for k in (1, 2))
             row, pos = row[use], pos[use]
             parts = deal[bucket[use]]
-            yield pa.RecordBatch.from_pydict({"token": pa.array(key[use].astype(np.int64)), "fp": pa.array(fp[row]), "n": pa.array(n[row].astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "part": pa.array((fp[row] % parts).astype(np.int32)), "parts": pa.array(parts), "prev": pa.array(prev.view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"token": pa.array(key[use].astype(np.int64)), "fp": pa.array(fp[row]), "n": pa.array(n[row].astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "part": pa.array((fp[row] % parts).astype(np.int32)), "parts": pa.array(parts), "prev": pa.array(prev), "prev2": pa.array(prev2)})
 
-    return docs.select("text").mapInArrow(run, "token long, fp long, n int, pos int, part int, parts int, prev long")
+    return docs.select("text").mapInArrow(run, "token long, fp long, n int, pos int, part int, parts int, prev long, prev2 long")
 
 
 def _lists(postings: DataFrame) -> DataFrame:
     """Index lists with two different sets or more, each row with the pivot of its list or part: one pass over sorted rows
     that remembers one row. Rows of lists in parts all stay, as other parts may have more."""
-    names = ["token", "fp", "n", "pos", "pivot", "pivot_n", "prev"]
+    names = ["token", "fp", "n", "pos", "pivot", "pivot_n", "prev", "prev2"]
 
     def run(batches):
-        last = None  # token, part and fp of the last row; fp, n, pos, prev of its pivot; whether the pivot went out
+        last = None  # token, part and fp of the last row; fp, n, pos, prev, prev2 of its pivot; whether the pivot went out
         for b in batches:
-            t, f, n, p, part, parts, prev = (np.asarray(b.column(i)) for i in range(7))
+            t, f, n, p, part, parts, prev, prev2 = (np.asarray(b.column(i)) for i in range(8))
             if not len(t):
                 continue
             head = np.ones(len(t), bool)
@@ -197,17 +200,17 @@ def _lists(postings: DataFrame) -> DataFrame:
             out = ~head & ~again
             pivots = np.union1d(start[out], np.flatnonzero(head & (parts > 1)))
             rows = np.concatenate([np.flatnonzero(out), pivots[pivots >= 0]])
-            cols = [x[rows] for x in (t, f, n, p, pf, pn, prev)]
-            if goes_on and -1 in pivots and not last[7]:
-                cols = [np.append(c, v) for c, v in zip(cols, (last[0], last[3], last[4], last[5], last[3], last[4], last[6]))]
+            cols = [x[rows] for x in (t, f, n, p, pf, pn, prev, prev2)]
+            if goes_on and -1 in pivots and not last[8]:
+                cols = [np.append(c, v) for c, v in zip(cols, (last[0], last[3], last[4], last[5], last[3], last[4], last[6], last[7]))]
             if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if k in ("token", "fp", "pivot", "prev") else np.int32)) for k, c in zip(names, cols)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if k in ("token", "fp", "pivot", "prev", "prev2") else np.int32)) for k, c in zip(names, cols)], names)
             g = start[-1]
-            sent = bool(g in pivots) or (g == -1 and bool(last[7]))
-            last = (t[-1], part[-1], f[-1], *((f[g], n[g], p[g], prev[g]) if g >= 0 else last[3:7]), sent)
+            sent = bool(g in pivots) or (g == -1 and bool(last[8]))
+            last = (t[-1], part[-1], f[-1], *((f[g], n[g], p[g], prev[g], prev2[g]) if g >= 0 else last[3:8]), sent)
 
     ordered = postings.repartition("token", "part").sortWithinPartitions("token", "part", "n", "fp")
-    return ordered.mapInArrow(run, "token long, fp long, n int, pos int, pivot long, pivot_n int, prev long")
+    return ordered.mapInArrow(run, "token long, fp long, n int, pos int, pivot long, pivot_n int, prev long, prev2 long")
 
 
 def _starred(lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -221,20 +224,33 @@ def _starred(lists: DataFrame, num: int, den: int) -> DataFrame:
     return best.select(F.col("best.a").alias("a"), "b", F.col("best.a").alias("ra"), F.col("b").alias("rb"))
 
 
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Pairs of round 1 with their cell: a pivot and its members, dealt to as many cells as they need."""
+    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    return pairs.join(load, "a").withColumn("cell", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts")))).drop("parts")
+
+
+def _cells(token: np.ndarray, i: np.ndarray, j: np.ndarray, fp: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Where pairs of a list are verified: the cells of one list, ordered by its token, hold one pair of its blocks, and
+    sets of one size up to a factor of two, of which they take as many as have HELD tokens."""
+    room = np.exp2(np.floor(np.log2(np.maximum(n, 1))) + 1).astype(np.int64)  # of each set at most
+    deal = np.maximum(1, 2 * BLOCK * room // HELD)
+    h = mix(mix((i.astype(np.uint64) << np.uint64(32)) + j.astype(np.uint64)) + mix(deal.astype(np.uint64)) + (fp % deal).astype(np.uint64))
+    return (token & ~np.int64(0xFFFFF)) | (h & np.uint64(0xFFFFF)).astype(np.int64)
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, apart: dict, width: int, num: int, den: int) -> DataFrame:
     """Of the pairs (a, b) in components ra and rb, those whose whole sets reach the threshold, as edges (a, b) of
-    components: a forest per task. Texts meet by a; a much-paired a goes to as many tasks as its partners need."""
+    components: a forest per task. Texts meet by cell: each a of a cell goes there once and is held, each b goes there
+    once, whatever the number of its pairs there, and passes by."""
     reps = nodes.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    load = pairs.groupBy("a", "ra").agg(F.count("*").alias("k")).select("a", "ra", F.ceil(F.col("k") / MEMBERS).cast("int").alias("parts"))
-    pairs = pairs.join(load.drop("ra"), "a").select("a", "b", "rb", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
-    member = pairs.select(F.col("b").alias("fp"), F.struct("a", "salt", F.lit(1).alias("kind"), F.col("rb").alias("root")).alias("role"))
-    pivot = load.select(F.col("a").alias("fp"), F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda s: F.struct(F.col("a").alias("a"), s.alias("salt"), F.lit(0).alias("kind"), F.col("ra").alias("root")))).alias("role"))
-    roles = member.union(pivot).join(reps, "fp").select("doc_id", "fp", "role")
-    texts = docs.join(roles, "doc_id")
-    rows = texts.select("role.a", "role.salt", "role.kind", "role.root", "fp", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+    held = pairs.select(F.col("a").alias("fp"), "cell", F.lit(0).alias("kind"), F.col("ra").alias("root")).distinct().withColumn("others", F.array().cast("array<long>"))
+    passing = pairs.groupBy(F.col("b").alias("fp"), "cell", F.lit(1).alias("kind"), F.col("rb").alias("root")).agg(F.collect_list("a").alias("others"))
+    roles = held.union(passing).join(reps, "fp")
+    rows = docs.join(roles, "doc_id").select("cell", "kind", "root", "fp", "others", "text").repartition("cell").sortWithinPartitions("cell", "kind")
 
     def run(batches):
-        held, of, of_root = np.zeros(0, np.uint64), None, 0
+        held, of = {}, None
         up: dict[int, int] = {}
 
         def top(x):
@@ -244,21 +260,26 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, apart: dict,
             return x
 
         for part, values, edge in _sets(batches, width):
-            a, salt, kind, root, fp = (part.column(i).to_pylist() for i in range(5))
+            cell, kind, root, fp, others = (part.column(i).to_pylist() for i in range(5))
             (names, _), x, y = _prints(values, edge, apart), [], []
             for i, name in enumerate(names.tolist()):
                 if name != fp[i]:  # another row of the same doc_id
                     continue
+                if cell[i] != of:
+                    held, of = {}, cell[i]
                 mine = values[edge[i] : edge[i + 1]]
                 if kind[i] == 0:
-                    held, of, of_root = mine.copy(), (a[i], salt[i]), root[i]
-                elif of == (a[i], salt[i]) and (r := top(of_root)) != (q := top(root[i])):
-                    n, m = len(held), len(mine)
-                    both = int(np.isin(mine, held, assume_unique=True).sum()) if n and m else 0
-                    if den * both >= num * (n + m - both):
-                        up[max(r, q)] = min(r, q)
-                        x.append(r)
-                        y.append(q)
+                    held[name] = mine.copy(), root[i]
+                    continue
+                for other in others[i]:
+                    theirs, of_root = held[other]
+                    if (r := top(of_root)) != (q := top(root[i])):
+                        n, m = len(theirs), len(mine)
+                        both = int(np.isin(mine, theirs, assume_unique=True).sum()) if n and m else 0
+                        if den * both >= num * (n + m - both):
+                            up[max(r, q)] = min(r, q)
+                            x.append(r)
+                            y.append(q)
             if x:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
@@ -266,30 +287,32 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, apart: dict,
 
 
 def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, tried: DataFrame, num: int, den: int, near: int, most: int | None) -> DataFrame:
-    """Untried pairs (a, b, ra, rb, more) of different components in one list, from the lists that hold two components or
+    """Untried pairs (a, b, ra, rb, cell, more) of different components in one list, from the lists that hold two components or
     more. A list longer than BLOCK is dealt to pairs of its blocks.
 
     A pair that reaches the threshold shares a token among the first n - need + 1 of one set and m - need + 1 of the
-    other, so that only such positions count; where both sets have the same token just before, that token's list gives the
-    pair, and so on to the first token of a run that they share; a token at positions i and j allows an overlap of min(i, j) before it and
+    other, so that only such positions count; where both sets have a token in common among the two just before, that token's
+    list gives the pair, and so on to the first token of a run that they share; a token at positions i and j allows an overlap of min(i, j) before it and
     min(n - i, m - j) from it on; and the sets' sketches differ in n + m - 2 * need bits at most. most: of a set's pairs
     with smaller ones in other components, only so many with the nearest sketches (more says that some were left out);
     None: all of them."""
-    lists = lists.select("token", "fp", "n", "pos", "prev")
+    lists = lists.select("token", "fp", "n", "pos", "prev", "prev2")
     lists = lists if near == 1 else lists.where(F.pmod(F.xxhash64("token"), F.lit(near)) == 0)
     rows = lists.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     open_ = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("token", F.ceil(F.col("k") / BLOCK).cast("int").alias("nb"))
     rows = rows.join(open_, "token").join(nodes.groupBy("fp").agg(F.first("sketch").alias("sketch")), "fp")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
-    rows = rows.select("token", "fp", "n", "pos", "root", "mine", "prev", "sketch", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "n", "pos", "root", "mine", "prev", "sketch")
+    rows = rows.select("token", "fp", "n", "pos", "root", "mine", "prev", "prev2", "sketch", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "n", "pos", "root", "mine", "prev", "prev2", "sketch")
     ordered = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "fp")
 
-    def near_pairs(i, j, fp, n, pos, root, mine, prev, sketch, cross):
+    def near_pairs(i, j, token, left, right, fp, n, pos, root, mine, prev, prev2, sketch, cross):
         """Of pairs of rows (j before i in one list), those that may reach the threshold."""
         apart = (root[i] != root[j]) & ~(cross[i] & (mine[i] == mine[j]))
-        if near == 1:  # else the list of the token before holds both too, and gives the pair
-            apart &= (prev[i] != prev[j]) | (pos[i] == 0) | (pos[j] == 0)
+        if near == 1:  # else the list of a token before holds both too, and gives the pair
+            for x in (prev, prev2):
+                for y in (prev, prev2):
+                    apart &= (x[i] != y[j]) | (x[i] < 0)
         i, j = i[apart], j[apart]
         need = _need(n[i], n[j], num, den)
         ok = (den * n[j] >= num * n[i]) & (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need)
@@ -308,9 +331,9 @@ def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, tried: DataFram
             take = rank < most
             i, j, bits, more = i[take], j[take], bits[take], more[take]
         if len(i):
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (fp[j], fp[i], root[j], root[i])), pa.array(bits.astype(np.int32)), pa.array(more)], ["a", "b", "ra", "rb", "bits", "more"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (fp[j], fp[i], root[j], root[i], _cells(token[i], left[i], right[i], fp[j], n[j]))), pa.array(bits.astype(np.int32)), pa.array(more)], ["a", "b", "ra", "rb", "cell", "bits", "more"])
 
-    def long_list(fp, n, pos, root, mine, prev, sketch, cross):
+    def long_list(token, left, right, fp, n, pos, root, mine, prev, prev2, sketch, cross):
         cut = np.arange(0, len(fp), SKIP)
         size, reach, behind = n[cut], np.maximum.reduceat(pos, cut), np.maximum.reduceat(n - pos, cut)
         largest = n[np.minimum(cut + SKIP, len(fp)) - 1]
@@ -328,7 +351,7 @@ def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, tried: DataFram
                 y = y if rare else y[other[y]]
                 if len(x) and len(y):
                     i, j = np.nonzero(y < x[:, None])
-                    yield from near_pairs(x[i], y[j], fp, n, pos, root, mine, prev, sketch, cross)
+                    yield from near_pairs(x[i], y[j], token, left, right, fp, n, pos, root, mine, prev, prev2, sketch, cross)
 
     def whole_lists(cols, starts):
         """Lists of up to SKIP rows all at once, longer ones one by one."""
@@ -351,18 +374,18 @@ def _across(lists: DataFrame, nodes: DataFrame, comp: DataFrame, tried: DataFram
             t, i, j = cols[:3]
             starts = np.append(0, np.flatnonzero((t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1)
             if len(starts) > 1:
-                yield from whole_lists([c[: starts[-1]] for c in cols[3:]], starts[:-1])
+                yield from whole_lists([c[: starts[-1]] for c in cols], starts[:-1])
             held = [c[starts[-1] :] for c in cols]
         if held is not None:
-            yield from whole_lists(held[3:], np.zeros(1, np.int64))
+            yield from whole_lists(held, np.zeros(1, np.int64))
 
-    found = ordered.mapInArrow(run, "a long, b long, ra long, rb long, bits int, more boolean")
-    found = found.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("ra", "rb", "bits")], F.max("more").alias("more"))
+    found = ordered.mapInArrow(run, "a long, b long, ra long, rb long, cell long, bits int, more boolean")
+    found = found.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("ra", "rb", "bits")], F.min("cell").alias("cell"), F.max("more").alias("more"))
     found = found.join(tried, ["a", "b"], "left_anti")
     if most is not None:
         w = Window.partitionBy("b")
         found = found.withColumns({"k": F.row_number().over(w.orderBy("bits", "a")), "of": F.count("*").over(w)}).withColumn("more", F.col("more") | (F.col("of") > most)).where(F.col("k") <= most)
-    return found.select("a", "b", "ra", "rb", "more")
+    return found.select("a", "b", "ra", "rb", "cell", "more")
 
 
 def _apart(nodes: DataFrame) -> dict[tuple[int, int], int]:
@@ -418,11 +441,10 @@ def joined(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: floa
     tables = spark.sparkContext.broadcast((_levels(table), _parts(table), apart))
     lists = stage(spark, _lists(_postings(keyed, tables, width, num, den)), "lists", free=True)
     pairs = stage(spark, _starred(lists, num, den), "pairs", free=True)
-    comp = _contracted(spark, spark.createDataFrame([], "node long, root long"), stage(spark, _verified(keyed, nodes, pairs, apart, width, num, den), "links", free=True))
+    comp = _contracted(spark, spark.createDataFrame([], "node long, root long"), stage(spark, _verified(keyed, nodes, _stars(pairs), apart, width, num, den), "links", free=True))
     tried = pairs.select("a", "b")  # the set that comes first by size and name is always a
     for near, most in ROUNDS:
-        found = _across(lists, nodes, comp, tried, num, den, near, most)
-        pairs = stage(spark, found, "pairs", free=True)
+        pairs = stage(spark, _across(lists, nodes, comp, tried, num, den, near, most), "pairs", free=True)
         some, left = pairs.agg(F.count("*"), F.max("more")).first()
         if some:
             comp = _contracted(spark, comp, stage(spark, _verified(keyed, nodes, pairs, apart, width, num, den), "links", free=True))
