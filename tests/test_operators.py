@@ -1,5 +1,7 @@
 """Fixtures with known results for graphs, windows, control messages, multisets and sources."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +88,26 @@ def test_closure(spark):
     assert rows(graphs.closure(frame(spark, [(1, 2), (2, 1)]), loops=True)) == [(1, 1), (1, 2), (2, 1), (2, 2)]
 
 
+def test_closure_of_cycles(spark, monkeypatch):
+    """Pairs by brute force in any kind of graph; those of a cycle are not staged one by one."""
+    rng, staged = random.Random(5), []
+    whole = graphs.cut
+    for nodes, n in ((12, 18), (40, 44), (9, 40)):
+        pairs = sorted({(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(n)})
+        reach = set(pairs)
+        while more := {(a, d) for a, b in reach for c, d in pairs if b == c} - reach:
+            reach |= more
+        assert rows(graphs.closure(frame(spark, pairs), loops=True)) == sorted(reach)
+        assert rows(graphs.closure(frame(spark, pairs))) == sorted(p for p in reach if p[0] != p[1])
+    monkeypatch.setattr(graphs, "cut", lambda df: staged.append(whole(df)) or staged[-1])
+    monkeypatch.setattr("tidemark.operators.iterate.cut", graphs.cut)
+    monkeypatch.setattr(graphs, "CHUNK", 7)
+    ring = [(i, (i + k) % 100) for i in range(100) for k in (1, 10, 31)] + [(i + 1000, i % 100) for i in range(300)]
+    got = graphs.closure(frame(spark, ring))
+    assert got.count() == got.distinct().count() == 100 * 99 + 300 * 100
+    assert max(df.count() for df in staged) <= len(ring)
+
+
 def test_triangles(spark):
     assert rows(graphs.triangles(frame(spark, TRIANGLES + [(2, 1), (3, 3)]))) == [(1, 2, 3), (1, 2, 5), (1, 3, 4), (3, 7, 8)]
 
