@@ -395,6 +395,38 @@ def test_closed_auctions(spark, tmp_path):
     assert rows(streams.run(streams.closed_auctions(stream))) == [(1, 3, 7, 1000, 9, 70)]
 
 
+def test_auctions_share_states(spark, tmp_path):
+    """A state holds many auctions or sellers, over several triggers; each closes once the watermark has passed its end."""
+    rng = random.Random(3)
+    auctions = {i: (i * 10, i * 10 + rng.choice((40, 5000, 100_000))) for i in range(1, 201)}
+    bids = [(a, rng.randrange(auctions[a][0] - 10, auctions[a][0] + 6000), rng.randrange(100), b) for b in range(2000) for a in (rng.choice(list(auctions)),)]
+    events = sorted([(a, "auction", o, e, 20, a % 7, 1, 0, 0) for a, (o, e) in auctions.items()] + [(a, "bid", t, 0, 0, 0, 0, p, b) for a, t, p, b in bids], key=lambda r: (r[2], r[1]))
+    events.append((-1, "flush", 10**9, 0, 0, 0, 0, 0, 0))
+    want = {}
+    for a, t, p, b in bids:
+        if auctions[a][0] <= t < auctions[a][1] and p >= 20:
+            want[a] = min(want.get(a, (0, 0, 0)), (-p, t, b))
+    kind = "auction long, kind string, ts timestamp, at_ms long, expires_ms long, reserve long, seller long, category int, price long, bidder long"
+    for i in range(4):
+        part = events[i * 600 : (i + 1) * 600]
+        df = spark.createDataFrame(part, "auction long, kind string, at_ms long, expires_ms long, reserve long, seller long, category int, price long, bidder long")
+        df.withColumn("ts", F.timestamp_millis("at_ms")).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")).withWatermark("ts", "0 seconds")
+    progress = []
+    got = rows(streams.run(streams.closed_auctions(stream, 3), progress=progress))
+    assert got == sorted((a, a % 7, 1, auctions[a][1], b, -p) for a, (p, t, b) in want.items() if p)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 3
+    for i in range(3):
+        spark.createDataFrame(got[i * 50 : (i + 1) * 50], "auction long, seller long, category int, expires_ms long, bidder long, price long").coalesce(1).write.parquet(str(tmp_path / f"won/{i}"))
+    closed = spark.readStream.schema("auction long, seller long, category int, expires_ms long, bidder long, price long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "won"))
+    means, held = [], {}
+    for i in range(3):
+        for a, s, _, _, _, p in sorted(got[i * 50 : (i + 1) * 50], key=lambda r: (r[3], r[0])):
+            held[s] = (held.get(s, []) + [p])[-4:]
+            means.append((s, a, sum(held[s]) / len(held[s])))
+    assert rows(streams.run(streams.last_means(closed, 4, 2))) == sorted(means)
+
+
 def test_late_rows_and_the_flush(spark):
     """A window closes when the watermark passes it: rows that come later are left out, and the last windows close with
     the flush only."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -268,35 +269,69 @@ def latest_left(stream: DataFrame, key: str, left: str, right: str, kinds: tuple
     return keyed(stream, key, fold, f"{key} {kind}, {left} {kinds[0]}, {right} {kinds[1]}", f"latest {kinds[0]}, waiting array<{kinds[1]}>")
 
 
-def closed_auctions(stream: DataFrame) -> DataFrame:
-    """(auction, kind, ts, at_ms, ...) rows of both sides of an auction stream -> the winner of each auction once the
-    watermark passes its end: bids wait in the state until then, for auctions that are still to come too. An auction is
-    open from its time on and before it expires."""
+def grouped(stream: DataFrame, key: str, groups: int, fold, out: str, due: bool = False) -> DataFrame:
+    """keyed() for many small keys: a state holds all keys of one of so many groups, as an Arrow table, and a trigger folds
+    whole tables. fold(rows, held, watermark in ms) -> (result rows, state or None, time in ms of the next notice or
+    None) gets and gives data frames; rows and held are None where there are none, as rows are at a notice."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    def best(bids, opened, expires, reserve):
-        good = [tuple(b) for b in bids if opened <= b[0] < expires and b[1] >= reserve]
-        return min(good, key=lambda b: (-b[1], b[0], b[2])) if good else None
+    names = [c.strip().split()[0] for c in out.split(",")]
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = None if state.hasTimedOut else pd.concat(list(batches)).drop(columns="tm_group")
+        held = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else None
+        mark = state.getCurrentWatermarkMs() if due else 0
+        result, after, at = fold(rows, held, mark)
+        if after is None or not len(after):
+            if state.exists:
+                state.remove()
+        else:
+            table = pa.Table.from_pandas(after, preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            state.update((sink.getvalue().to_pybytes(),))
+            if at is not None:
+                state.setTimeoutTimestamp(max(int(at), mark + 1))
+        if len(result):
+            yield result[names]
+
+    dealt = stream.withColumn("tm_group", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
+    return dealt.groupBy("tm_group").applyInPandasWithState(step, out, "held binary", "append", GroupStateTimeout.EventTimeTimeout if due else GroupStateTimeout.NoTimeout)
 
-    def fold(k, rows, held):
-        opened, expires, reserve, seller, category, bids = held if held else (None, None, None, None, None, [])
-        if not rows:
-            won = best(bids, opened, expires, reserve)
-            return ([(k, seller, category, expires, won[2], won[1])] if won else []), None
-        bids = [tuple(b) for b in bids]
-        for r in rows:
-            if r["kind"] == "auction":
-                opened, expires, reserve, seller, category = (int(r[c]) for c in ("at_ms", "expires_ms", "reserve", "seller", "category"))
-            elif r["kind"] == "bid":
-                bids.append((int(r["at_ms"]), int(r["price"]), int(r["bidder"])))
-        if expires is None and not bids:  # the flush
-            return [], None
-        if expires is not None:  # only what can still win is kept
-            won = best(bids, opened, expires, reserve)
-            bids = [won] if won else []
-        return [], (opened, expires, reserve, seller, category, bids)
-
-    kept = "opened long, expires long, reserve long, seller long, category int, bids array<struct<at: long, price: long, bidder: long>>"
-    return keyed(stream, "auction", fold, "auction long, seller long, category int, expires_ms long, bidder long, price long", kept, lambda state: state[1])
+
+#: Groups that auctions and sellers are dealt to: a state holds a group's.
+GROUPS = 512
+
+
+def closed_auctions(stream: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """(auction, kind, ts, at_ms, ...) rows of both sides of an auction stream -> the winner of each auction once the
+    watermark passes its end: bids wait in the state until then, for auctions that are still to come too, as long as
+    these may come with a time at or before the bid's. An auction is open from its time on and before it expires. Of an
+    auction that is there only the bid that wins so far is kept."""
+    terms = {"opened": "at_ms", "expires": "expires_ms", "reserve": "reserve", "seller": "seller", "category": "category"}
+
+    def fold(rows, held, mark):
+        parts = [] if held is None else [held]
+        if rows is not None:
+            parts.append(rows.loc[rows["kind"].isin(("auction", "bid")), ["auction", "kind", *dict.fromkeys(["at_ms", *terms.values()]), "price", "bidder"]])
+        every = pd.concat(parts)
+        kinds = every["kind"] == "auction"
+        known = every[kinds].drop_duplicates("auction", keep="last")
+        bids = every.loc[~kinds, ["auction", "at_ms", "price", "bidder"]]
+        of = known[["auction", *dict.fromkeys(terms.values())]].rename(columns={v: k for k, v in terms.items()})
+        met = bids.merge(of, on="auction")
+        met = met[(met["opened"] <= met["at_ms"]) & (met["at_ms"] < met["expires"]) & (met["price"] >= met["reserve"])]
+        best = met.sort_values(["price", "at_ms", "bidder"], ascending=[False, True, True]).drop_duplicates("auction")
+        over = best["expires"] < mark
+        waiting = bids[(bids["at_ms"] > mark) & ~bids["auction"].isin(known["auction"])]
+        kept = best.loc[~over, ["auction", "at_ms", "price", "bidder"]]
+        open_ = known[known["expires_ms"] >= mark]
+        after = pd.concat([open_, pd.concat([kept, waiting]).assign(kind="bid", **{c: 0 for c in dict.fromkeys(terms.values()) if c != "at_ms"})])
+        at = open_["expires_ms"].min() if len(open_) else None
+        return best[over].rename(columns={"expires": "expires_ms"}), after, at
+
+    return grouped(stream, "auction", groups, fold, "auction long, seller long, category int, expires_ms long, bidder long, price long", due=True)
 
 
 def auction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,18 +362,27 @@ def category_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(_again(closed).groupBy("category").agg(F.avg("price").alias("avg_price")), "update", ["category"])
 
 
-def seller_means(spark: SparkSession, sf_dir: str, last: int = 10) -> DataFrame:
-    """The mean of a seller's last winning prices after each closed auction: a keyed state of so many prices."""
+def last_means(closed: DataFrame, last: int, groups: int = GROUPS) -> DataFrame:
+    """(seller, auction, avg_price) of rows (seller, auction, expires_ms, price) as they come: the mean of the seller's last
+    prices after each, in a state of so many prices a seller."""
 
-    def fold(k, rows, held):
-        prices, out = list(held[0]) if held else [], []
-        for r in sorted(rows, key=lambda r: (r["expires_ms"], r["auction"])):
-            prices = (prices + [r["price"]])[-last:]
-            out.append((k, r["auction"], sum(prices) / len(prices)))
-        return out, (prices,)
+    def fold(rows, held, mark):
+        rows = rows[["seller", "auction", "expires_ms", "price"]].sort_values(["expires_ms", "auction"]).assign(new=True)
+        every = rows if held is None else pd.concat([held.assign(new=False), rows])
+        every = every.sort_values("seller", kind="stable").reset_index(drop=True)
+        at, total = every.groupby("seller").cumcount(), every.groupby("seller")["price"].cumsum()
+        gone = total.groupby(every["seller"]).shift(last).fillna(0).astype("int64")
+        means = every.assign(avg_price=(total - gone) / (at + 1).clip(upper=last))
+        after = every.groupby("seller").tail(last)[["seller", "auction", "expires_ms", "price"]]
+        return means[every["new"]], after, None
+
+    return grouped(closed, "seller", groups, fold, "seller long, auction long, avg_price double")
 
+
+def seller_means(spark: SparkSession, sf_dir: str, last: int = 10) -> DataFrame:
+    """The mean of a seller's last winning prices after each closed auction."""
     closed = run(closed_auctions(auction_rows(spark, sf_dir)))
-    return run(keyed(_again(closed), "seller", fold, "seller long, auction long, avg_price double", "prices array<long>"))
+    return run(last_means(_again(closed), last))
 
 
 def snapshot(df: DataFrame) -> DataFrame:
