@@ -552,6 +552,20 @@ def test_codec(model, texts):
     assert c.decode(ids) == [right.decode(np.frombuffer(i, "<i4").tolist()) for i in ids]
 
 
+def test_decoding_by_the_bytes_of_pieces(model):
+    """Any ids, bytes that are no text among them, decode as the library decodes them, which is asked about those only."""
+    rng = random.Random(4)
+    c = sentencepieces.Codec(model)
+    n = len(c.model.pieces)
+    some = [[rng.randrange(n) for _ in range(rng.randint(0, 40))] for _ in range(300)] + [[rng.randrange(min(n, 300)) for _ in range(rng.randint(0, 8))] for _ in range(700)] + [[i] for i in range(n)]
+    want = c.ours.decode_batch(some, skip_special_tokens=False)
+    assert c.decode([np.array(i, "<i4").tobytes() for i in some]) == want
+    texts = ["plain words é 日本", "", "  two  spaces ", "😀 tab\t."]
+    ids = c.encode(texts)[0]
+    c.ours = None
+    assert c.decode(ids) == texts
+
+
 def test_codec_of_a_unigram_model():
     """A small unigram model, written here field by field."""
     import struct

@@ -111,6 +111,7 @@ class Model:
         return not (self.charsmap or self.squeeze or not self.dummy_prefix or self.kind != BPE) and not any(MARK in p.lstrip(MARK) or kind == USER for p, _, kind in self.pieces if kind in (NORMAL, USER))
 
 
+BYTE_PIECE = re.compile("<0x[0-9A-Fa-f]{2}>")
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -136,6 +137,7 @@ class Codec:
 
             self.core = self.model.tokenizer()
             self.core.normalizer = normalizers.Sequence([])
+            self.bytes_of = [bytes([int(p[3:5], 16)]) if BYTE_PIECE.fullmatch(p) else p.replace(MARK, " ").encode() for p, _, _ in self.model.pieces]
         self.known: dict[str, bytes] = {}
         self.odd: set[str] = set()  # words on which the libraries differ
 
@@ -169,7 +171,19 @@ class Codec:
         return out, ok, [a == b for a, b in zip(self.decode(out), texts)]
 
     def decode(self, ids: list[bytes]) -> list[str]:
-        return self.ours.decode_batch([np.frombuffer(i, "<i4").tolist() for i in ids], skip_special_tokens=False)
+        """Whole texts. Where texts are encoded word by word, the bytes of a text's pieces are put together here, as the
+        library's decoder does; it is asked itself about bytes that are no text."""
+        rows = [np.frombuffer(i, "<i4").tolist() for i in ids]
+        if not self.apart:
+            return self.ours.decode_batch(rows, skip_special_tokens=False)
+        out = []
+        for row in rows:
+            raw = b"".join(map(self.bytes_of.__getitem__, row))
+            try:
+                out.append(raw.decode().removeprefix(" "))
+            except UnicodeDecodeError:
+                out.append(self.ours.decode(row, skip_special_tokens=False))
+        return out
 
 
 @lru_cache(2)
