@@ -949,6 +949,135 @@ def test_jaccard_lists_in_parts(spark, monkeypatch):
     assert jaccard_join.joined(spark, df).where("doc_id is null").first()["component_id"] is None
 
 
+def shuffled(spark, run):
+    """What run() returns, and the records and bytes that its shuffles write."""
+    sc = spark.sparkContext
+    jvm, store = sc._jvm, sc._jsc.sc().statusStore()
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(x := stages.apply(i)).stageId(): (x.shuffleWriteRecords(), x.shuffleWriteBytes()) for i in range(stages.size())}
+
+    before = written()
+    out = run()
+    return out, *map(sum, zip(*[v for k, v in written().items() if k not in before]))
+
+
+def random_texts(rng, n, words):
+    return [" ".join(f"w{rng.randrange(10**9)}" for _ in range(words)) for _ in range(n)]
+
+
+def test_jaccard_texts_without_a_pair_stay(spark):
+    """Of 300 texts, only the two that are compared are sent."""
+    texts = random_texts(random.Random(13), 300, 300)
+    texts[7] = texts[3] + " more"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    raw = "".join(texts).encode()
+    values, edge = jaccard_join.shingle_sets(np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, texts)]))
+    fp = jaccard_join._prints(values, edge)[0].tolist()
+    nodes = spark.createDataFrame(list(enumerate(fp)), "doc_id long, fp long")
+    pairs = spark.createDataFrame([(fp[3], fp[7], fp[3], fp[7], 1)], "a long, b long, ra long, rb long, cell long")
+    docs.persist().count()
+    got, _, size = shuffled(spark, lambda: jaccard_join._verified(docs, nodes, pairs, {}, 5, 4, 5).collect())
+    docs.unpersist()
+    assert sorted(got[0]) == sorted((fp[3], fp[7])) and len(got) == 1
+    assert size < len(raw) / 10, (size, len(raw))
+
+
+def test_jaccard_index_is_packed(spark):
+    """The shuffles of a join write far fewer records than the index has rows."""
+    texts = random_texts(random.Random(14), 200, 500)
+    rows = list(enumerate([*texts, texts[0] + " more"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    docs.count()
+    got, records, _ = shuffled(spark, lambda: collected(jaccard_join.joined(spark, docs), "doc_id", "n_shingles", "component_id"))
+    docs.unpersist()
+    assert got == joined_plainly(rows)
+    assert records < 201 * 100 / 2, records
+
+
+def test_jaccard_rows_without_a_partner(spark, monkeypatch):
+    """Every pair of a list that sizes and positions allow has both rows marked, and some rows are not."""
+    made = []
+    whole = jaccard_join._across
+    monkeypatch.setattr(jaccard_join, "_across", lambda lists, *a: made.append(lists) or whole(lists, *a))
+    monkeypatch.setattr(jaccard_join, "PAIRED", 5)
+    rng = random.Random(15)
+    common = random_texts(rng, 6, 25)
+    texts = [" ".join([a, rng.choice(common), b]) for n in range(10, 60) for a, b in [random_texts(rng, 2, n)]]
+    rows = list(enumerate([*texts, *edited_copies(rng, 20, 60, 6), *(t for _ in range(6) for t in edited_copies(rng, 2, 60, 2))]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert collected(jaccard_join.joined(spark, df), "doc_id", "n_shingles", "component_id") == joined_plainly(rows)
+    lists = {}
+    for r in made[0].collect():
+        lists.setdefault(r["token"], []).append(r)
+    marks = Counter()
+    for of in lists.values():
+        for x in of:
+            most = 0 if len(of) <= 5 else 2
+            for y in of:
+                a, b = (x, y) if (x["n"], x["fp"]) > (y["n"], y["fp"]) else (y, x)
+                need = -(-4 * (a["n"] + b["n"]) // 9)
+                if x is not y and 5 * b["n"] >= 4 * a["n"] and a["pos"] + need <= a["n"] and b["pos"] + need <= b["n"] and min(a["n"] - a["pos"], b["n"] - b["pos"]) + min(a["pos"], b["pos"]) >= need:
+                    most = max(most, 1 if {a["prev"], a["prev2"]} & {b["prev"], b["prev2"]} - {-1} else 2)
+            assert x["use"] == most
+            marks[most] += 1
+    assert min(marks[k] for k in (0, 1, 2)) > 0, marks
+
+
+def test_jaccard_large_sets_apart(spark, monkeypatch):
+    """Large sets that share a passage only are told apart by their sketches; no text of theirs is sent after round 1."""
+    sent = []
+    whole = jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda docs, nodes, pairs, *a: sent.append(pairs.count()) or whole(docs, nodes, pairs, *a))
+    rng = random.Random(17)
+    rows = [(5 * g + d, f"{text} {common}") for g, common in enumerate(random_texts(rng, 4, 200)) for d, text in enumerate(random_texts(rng, 5, 4000))]
+    rows.append((20, rows[0][1].replace("w", "x", 40)))
+    rows.append((21, rows[0][1] + " more"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert collected(jaccard_join.joined(spark, df), "doc_id", "n_shingles", "component_id") == joined_plainly(rows)
+    assert sum(sent[1:]) <= 2, sent
+
+
+def test_jaccard_sketches_of_two_sizes():
+    """Sketches of any sizes differ in no more bits than their sets have tokens apart."""
+    rng = np.random.default_rng(18)
+    for n, m in ((10, 12), (2000, 2100), (2048, 2049), (4000, 4200), (30000, 33000)):
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        b = np.unique(np.concatenate([a[n // 50 :], rng.integers(0, 2**64, m - n + 1, np.uint64)]))
+        wide = jaccard_join._sketch(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        most = len(np.setxor1d(a, b))
+        sizes, one, two = np.array([len(a), len(b)]), np.array([0]), np.array([1])
+        bits = jaccard_join._apart_bits(sizes, jaccard_join._folded(wide, jaccard_join.SKETCH), np.array(wide, object), one, two, sizes[:1] + sizes[1:])
+        assert 0 < bits[0] <= most
+        assert [8 * len(x) for x in wide] == jaccard_join._bits(sizes).tolist()
+
+
+def test_jaccard_left_out_beside_tried(spark):
+    """That pairs of a set were left out is told, even if the last one that was not has been tried before."""
+    lists = spark.createDataFrame([(1, fp, 100, 0, -1, -1, 2) for fp in range(1, 8)], "token long, fp long, n int, pos int, prev long, prev2 long, use int")
+    nodes = spark.createDataFrame([(fp, fp, 100, bytes(128)) for fp in range(1, 8)], "doc_id long, fp long, n long, sketch binary")
+    comp = spark.createDataFrame([], "node long, root long")
+    tried = spark.createDataFrame([(4, 6), (4, 7)], "a long, b long")
+    found = jaccard_join._across(lists, nodes, comp, tried, 4, 5, 1, 4).collect()
+    assert {r["b"] for r in found if r["more"]} == {6, 7}
+    assert {(r["a"], r["b"]) for r in found if not r["old"]} == {(a, b) for b in range(2, 8) for a in range(1, min(b, 5))} - {(4, 6), (4, 7)}
+    late = spark.createDataFrame([(7,)], "fp long")
+    assert (5, 7) in {(r["a"], r["b"]) for r in jaccard_join._across(lists, nodes, comp, tried, 4, 5, 1, None, late).collect()}
+    assert not jaccard_join._across(lists, nodes, comp, tried, 4, 5, 1, None, late.where("fp = 0")).collect()
+
+
+def test_jaccard_small_groups(spark, monkeypatch):
+    """Many groups of few rows, packed in twos, and a filter with many texts of equal hash."""
+    for name, value in (("GROUP", 64), ("GATHERED", 300), ("PACKED", 2), ("PAIRED", 3), ("PAIRS", 4), ("FILTER", 64)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(16)
+    rows = list(enumerate([t for n in (3, 6, 30, 90) for t in edited_copies(rng, 15, n, 4) * 2] + ["", " ", "a", None]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert collected(jaccard_join.joined(spark, df), "doc_id", "n_shingles", "component_id") == joined_plainly(rows)
+
+
 def test_runs_of_long_rows(monkeypatch):
     """Rows of more bytes than positions give every suffix the anchor that it has in a row of any length."""
 
