@@ -108,6 +108,23 @@ def test_closure_of_cycles(spark, monkeypatch):
     assert max(df.count() for df in staged) <= len(ring)
 
 
+def test_closure_of_many_sources(spark, monkeypatch):
+    """What nodes that no edge leads to can reach is not staged; pairs by brute force, from lists, rows and blocks of pairs."""
+    rng, staged, whole = random.Random(7), [], graphs.cut
+    pairs = {(1000 + i, rng.randrange(40)) for i in range(200) for _ in range(5)} | {(m, 100 + rng.randrange(40)) for m in range(40) for _ in range(6)}
+    pairs = sorted(pairs | {(100, 101), (101, 100), (102, 102), (2000, 2000)})
+    reach = set(pairs)
+    while more := {(a, d) for a, b in reach for c, d in pairs if b == c} - reach:
+        reach |= more
+    monkeypatch.setattr(graphs, "cut", lambda df: staged.append(whole(df)) or staged[-1])
+    monkeypatch.setattr("tidemark.operators.iterate.cut", graphs.cut)
+    for limits in ({}, {"SENT": 60, "LIST": 30}):
+        for name, value in limits.items():
+            monkeypatch.setattr(graphs, name, value)
+        assert rows(graphs.closure(frame(spark, pairs), loops=True)) == sorted(reach)
+        assert len(reach) > 4 * len(pairs) and max(df.count() for df in staged) <= len(pairs)
+
+
 def test_triangles(spark):
     assert rows(graphs.triangles(frame(spark, TRIANGLES + [(2, 1), (3, 3)]))) == [(1, 2, 3), (1, 2, 5), (1, 3, 4), (3, 7, 8)]
 
